@@ -5,23 +5,100 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprint as fp
+from . import licenses, line_dedup, mixing
+from .chat import format_records, records_of_rows
 from .common import table
 from .pii import find_pii
 from .secrets import find_secrets
 
+#: The conversation that op7 adds: both turns say what the template must not trip over.
+EXTRA_CONVERSATION, EXTRA_TEXT = -7, "\\### Assistant: </turn> ok"
+
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = fp.with_next(fp.with_sketch(docs, F.col("text"), "own"), "doc_id", ["text", "own"])
+    n, cut = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
+    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), "edited")
+    docs = fp.with_sketch(docs, F.col("edited"), "new")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fp.as_text(F.col("own")).alias("fingerprint"),
+        fp.as_text(F.col("new")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("own"), F.col("new")).alias("near_edited"),
+        fp.resemblance(F.col("own"), F.col("after")).alias("near_next"),
+        fp.containment(F.col("own"), F.col("new")).alias("contained_in_edited"),
+        fp.distinct_shingles(F.col("own")).alias("n_shingles"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs, "source").select("doc_id", "source", "n_lines", "n_dropped", "text")
+
+
+OP3_SQL = f"""
+    WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
+    totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
+    lines AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10)))) AS line FROM pages) WHERE line <> '' GROUP BY ALL),
+    bad AS (SELECT l.source, list(line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= {line_dedup.LEAST_PAGES} AND n > total * {line_dedup.RATIO} GROUP BY l.source),
+    split AS (SELECT doc_id, d.source, text, coalesce(string_split(text, chr(10)), []) AS every, coalesce(bad, []) AS bad FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source),
+    kept AS (SELECT *, list_filter(every, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) AS chosen FROM split),
+    done AS (SELECT *, CASE WHEN len(list_filter(chosen, lambda x: trim(x) <> '')) = 0 THEN every ELSE chosen END AS final FROM kept)
+    SELECT doc_id, source, CAST(len(every) AS BIGINT) AS n_lines, CAST(len(every) - len(final) AS BIGINT) AS n_dropped,
+        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(final, chr(10)) END AS text FROM done"""
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = """
+    WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+        CAST('0x' || substr(md5(CASE WHEN source IS NULL THEN CAST(doc_id AS VARCHAR) ELSE CAST(doc_id AS VARCHAR) || ':' || source END), 1, 15) AS BIGINT) AS hash FROM documents),
+    sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, 2 * s AS cap FROM sources),
+    weighed AS (SELECT *, CASE (k - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM ranked),
+    levels AS (SELECT *, (sum(s) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS own FROM weighed
+        WINDOW before AS (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    level AS (SELECT max(own) AS level FROM levels WHERE cap / w > own),
+    targets AS (SELECT source, s, least(cap::DOUBLE, coalesce(level * w, cap::DOUBLE)) AS target FROM levels, level),
+    full_rounds AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE CAST(floor(target / s) AS BIGINT) END AS rounds FROM targets),
+    by_hash AS (SELECT source, hash, sum(size) AS n FROM sized GROUP BY source, hash),
+    upto AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY hash) AS upto FROM by_hash),
+    extra AS (SELECT u.source, hash, (upto <= target - rounds * s OR (upto - n <= target - rounds * s AND (target - rounds * s - upto + n) * 2 > n)) AND target > rounds * s AS once_more
+        FROM upto u JOIN full_rounds f ON u.source IS NOT DISTINCT FROM f.source)
+    SELECT doc_id, size, s AS source_size, target, CAST(size * (rounds + CASE WHEN once_more THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM sized z JOIN full_rounds f ON z.source IS NOT DISTINCT FROM f.source JOIN extra e ON z.source IS NOT DISTINCT FROM e.source AND z.hash = e.hash"""
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(EXTRA_CONVERSATION, 0, "user", EXTRA_TEXT), (EXTRA_CONVERSATION, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
+    return format_records(records_of_rows(rows.unionByName(extra)), "conv_id", "record").drop("formatted")
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_secrets": op5_secrets}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op5_secrets, op6_mixing, op7_chat, op8_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_licenses": licenses.oracle()}
