@@ -14,7 +14,7 @@ from .common import BLANK
 #: Words of a shingle and hashes kept; the standard error of a resemblance is at most 0.5 / sqrt(K).
 SHINGLE, K = 5, 128
 #: Consecutive ids that are put in order together.
-BLOCK = 1024
+BLOCK_BITS = 10
 
 
 def words(text: Column) -> Column:
@@ -81,26 +81,25 @@ def as_text(sketch: Column) -> Column:
 def with_next(df: DataFrame, key: str, what: list[str]) -> DataFrame:
     """Adds next: a struct of the columns `what` of the next row by ascending key, of the first after the last.
 
-    No window runs over all rows.  Blocks of BLOCK ids are put in order side by
+    No window runs over all rows.  Blocks of 2 ** BLOCK_BITS ids are put in order side by
     side; the last row of each block takes the first of the next one, found by
     way of a table with one row for each block (its own blocks are put in order
-    the same way, and only one row for each BLOCK * BLOCK ids meets in a task).
+    the same way, and only one row for each 4 ** BLOCK_BITS ids meets in a task).
     Null keys come first.  Rows that share a key follow each other by `what`.
     """
-    block = F.coalesce(F.floor(F.col(key) / BLOCK), F.lit(-(2**62)))
+    block = F.coalesce(F.shiftright(F.col(key).cast("long"), BLOCK_BITS), F.lit(-(2**62)))
     rows = df.withColumn("__block", block)
     order = [F.col(key).asc_nulls_first(), *(F.col(x).asc_nulls_first() for x in what if dict(df.dtypes)[x] == "string")]
     inside = Window.partitionBy("__block").orderBy(*order)
-    rows = rows.withColumn("next", F.lead(F.struct(*what)).over(inside)).withColumn("__last", F.col("next").isNull())
-    # From here on only ids are read, and then the first row of each block.
-    blocks = df.select(F.col(key).alias("__id"), block.alias("__block")).groupBy("__block").agg(F.min("__id").alias("__first")).withColumn("__outer", F.floor(F.col("__block") / BLOCK))
+    rows = rows.withColumn("next", F.lead(F.struct(*what)).over(inside)).withColumn("__last", F.col("next").isNull()).withColumn("__begins", F.lag(F.lit(1)).over(inside).isNull())
+    # Which block follows which is found from ids alone.  The three uses of rows share one shuffle.
+    blocks = df.select(F.col(key).alias("__id"), block.alias("__block")).groupBy("__block").agg(F.count("*")).withColumn("__outer", F.shiftright("__block", BLOCK_BITS))
     within, across = Window.partitionBy("__outer").orderBy("__block"), Window.orderBy("__outer")
     outer = blocks.groupBy("__outer").agg(F.min("__block").alias("__low"))
     least = outer.agg(F.min("__low").alias("__least"))
     outer = outer.withColumn("__after", F.lead("__low").over(across)).crossJoin(F.broadcast(least)).select("__outer", F.coalesce("__after", "__least").alias("__after"))
     follows = blocks.withColumn("__to", F.lead("__block").over(within)).join(outer, "__outer").select(F.col("__block").alias("__from"), F.coalesce("__to", "__after").alias("__block"))
-    firsts = df.withColumn("__block", block).join(blocks.select("__block", F.col("__first")), "__block").where(F.col(key).eqNullSafe(F.col("__first")))
-    firsts = firsts.withColumn("__n", F.row_number().over(inside)).where("__n = 1").select("__block", F.struct(*what).alias("__head"))
+    firsts = rows.where("__begins").select("__block", F.struct(*what).alias("__head"))
     heads = follows.join(firsts, "__block").select(F.col("__from").alias("__block"), "__head")
     ends = rows.where("__last").join(heads, "__block").withColumn("next", F.col("__head")).drop("__head")
-    return rows.where("not __last").unionByName(ends).drop("__block", "__last")
+    return rows.where("not __last").unionByName(ends).drop("__block", "__last", "__begins")
