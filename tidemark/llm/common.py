@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,9 +12,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch to a Python worker; texts may be a hundred thousand characters long.
 BATCH_ROWS = 256
+#: Ids up to which a list of ids is broadcast.
+SMALL_IDS = 1_000_000
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
@@ -35,6 +39,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, where a checkpoint of wide rows would be larger."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_enough(ids: DataFrame, limit: int = SMALL_IDS) -> DataFrame:
+    """Marks a list of ids for broadcast if it has at most `limit` rows, of 16 bytes each; a longer one is joined by shuffle."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches whose memory is bounded."""
     spark = df.sparkSession
@@ -54,22 +72,29 @@ def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a column of texts, and where each text begins in them (one offset more than texts).
+def coded_words(column: pa.Array, strip: bytes = b"") -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of a column of texts, A to Z lowered: the distinct ones, all of them as places in those, and where each text begins (one offset more than texts).
 
-    lower: A to Z only.  Each distinct word of the batch is hashed once.
+    strip: characters to take off both ends of words; words of nothing else go.
     """
     texts = pc.fill_null(column, "").cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
-    offsets = offsets - offsets[0]
     coded = flat.dictionary_encode()
     names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    if strip:
+        names = [x.strip(strip) for x in names]
     codes = coded.indices.to_numpy(zero_copy_only=False)
     real = np.fromiter((bool(x) for x in names), bool, len(names))[codes] if len(names) else np.zeros(0, bool)
     before = np.concatenate([[0], np.cumsum(real)])
-    return (hashed[codes[real]] if len(codes) else np.zeros(0, np.uint64)), before[offsets]
+    return names, codes[real], before[offsets - offsets[0]]
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a column of texts, and where each text begins in them; each distinct word is hashed once."""
+    names, codes, offsets = coded_words(column)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    return hashed[codes], offsets
 
 
 def mix(x: np.ndarray) -> np.ndarray:

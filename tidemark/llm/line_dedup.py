@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 RATIO, LEAST_PAGES = 0.05, 5
 
 
-def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
-    """The rows of df with the boilerplate lines of their host taken out of the text, and n_lines, n_dropped (long).
+def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """The rows of df with the boilerplate lines of their host taken out of the text, and two columns (long) with how many
+    lines it had and lost, named by counts_as.
 
     Pages are counted by distinct texts of a host: copies of a page count once,
     so that copying a page doesn't make its content boilerplate.  Lines are
@@ -40,12 +41,12 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     out = df.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn("__split", F.split(F.col(text), "\n"))
     kept = F.filter("__split", lambda x: (F.trim(x) == "") | ~F.coalesce(F.array_contains(F.col("__bad"), clean(x)), F.lit(False)))
     out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__split")).otherwise(kept))
+    n_lines, n_dropped = counts_as
     whole = ~F.exists("__kept", lambda x: F.trim(x) != "")
     return (
         out.withColumn("__kept", F.when(whole, F.col("__split")).otherwise(F.col("__kept")))
-        .withColumn("n_lines", F.coalesce(F.size("__split"), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines")))
-        .withColumn("n_dropped", F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - F.size("__kept")))
-        .withColumn(text, F.when(F.col("n_dropped") == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
+        .withColumn(n_lines, F.when(F.col(text).isNull(), 0).otherwise(F.size("__split")).cast("long"))
+        .withColumn(n_dropped, F.when(F.col(text).isNull(), 0).otherwise(F.size("__split") - F.size("__kept")).cast("long"))
+        .withColumn(text, F.when(F.col(n_dropped) == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
         .drop("__host", "__bad", "__split", "__kept")
     )

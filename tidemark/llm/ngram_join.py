@@ -23,15 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shingle_hashes, word_hashes
+from .common import cut, map_arrow, shingle_hashes, small_enough, word_hashes
 from .components import components
 
 #: Buckets of the word counts, and words of a shingle.
 BUCKET_BITS, WORDS = 20, 3
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
-#: Ids up to which a list of ids is broadcast (16 bytes each); beyond, it is joined by shuffle.
-SMALL_IDS = 1_000_000
 
 
 def word_levels(df: DataFrame, text_col: str) -> np.ndarray:
@@ -121,13 +119,27 @@ def _possible(a: str, b: str, percent: int) -> Column:
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets are alike.  Only texts of documents in pairs are read into sets."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= SMALL_IDS else ids
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi"), n))
+    sets = cut(_sets(docs.join(small_enough(ids), "doc_id", "left_semi"), n))
     left, right = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     tested = pairs.join(left, "a").join(right, "b")
     return tested.where(alike(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a"), F.size("set_b"), percent)).select("a", "b").distinct()
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of df of which the id is the smallest of its component, with all their columns; of repeated ids one row.
+
+    Texts without words and rows without an id all stay.
+    """
+    found = cut(near_components(df, id_col, text_col, n, percent))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    out = df.join(small_enough(cut(gone)), id_col, "left_anti").select(df.columns)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)))
+    if again.isEmpty():
+        return out
+    again = small_enough(again)
+    return out.join(again, id_col, "left_anti").select(df.columns).unionByName(out.join(again, id_col, "left_semi").select(df.columns).dropDuplicates([id_col]))
+
+
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of df.
 

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import fingerprint as fp
-from . import licenses, line_dedup, mixing
+from . import licenses, line_dedup, mixing, toxicity
 from .chat import format_records, records_of_rows
 from .common import table
+from .decontaminate import find_leaks
+from .ngram_join import near_components
 from .pii import find_pii
 from .secrets import find_secrets
 
@@ -59,6 +63,11 @@ OP3_SQL = f"""
         CASE WHEN text IS NULL THEN NULL ELSE array_to_string(final, chr(10)) END AS text FROM done"""
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
@@ -96,8 +105,20 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op5_secrets, op6_mixing, op7_chat, op8_licenses)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
