@@ -91,7 +91,9 @@ def with_next(df: DataFrame, key: str, what: list[str]) -> DataFrame:
     rows = df.withColumn("__block", block)
     order = [F.col(key).asc_nulls_first(), *(F.col(x).asc_nulls_first() for x in what if dict(df.dtypes)[x] == "string")]
     inside = Window.partitionBy("__block").orderBy(*order)
-    rows = rows.withColumn("next", F.lead(F.struct(*what)).over(inside)).withColumn("__last", F.col("next").isNull()).withColumn("__begins", F.lag(F.lit(1)).over(inside).isNull())
+    # lead of the columns and not of a struct of them, which would be built, and shuffled, beside them.
+    rows = rows.withColumns({**{f"__next_{x}": F.lead(x).over(inside) for x in what}, "__last": F.lead(F.lit(1)).over(inside).isNull(), "__begins": F.lag(F.lit(1)).over(inside).isNull()})
+    rows = rows.withColumn("next", F.struct(*(F.col(f"__next_{x}").alias(x) for x in what))).drop(*(f"__next_{x}" for x in what))
     # Which block follows which is found from ids alone.  The three uses of rows share one shuffle.
     blocks = df.select(F.col(key).alias("__id"), block.alias("__block")).groupBy("__block").agg(F.count("*")).withColumn("__outer", F.shiftright("__block", BLOCK_BITS))
     within, across = Window.partitionBy("__outer").orderBy("__block"), Window.orderBy("__outer")
