@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: A line goes if it is on more than this share of its host's pages, and on at least so many pages.
 RATIO, LEAST_PAGES = 0.05, 5
+#: Hashes and hosts of boilerplate up to which the table is broadcast (16 bytes each); a larger one is joined by shuffle.
+SMALL = 1_000_000
 
 
 def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
@@ -26,7 +30,8 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     A host has at most (its mean lines a page) / ratio boilerplate lines, so the
     array of their hashes that is joined by host is small whatever the number of
     pages.  Counting combines in each task before the shuffle, so a host with a
-    third of all pages is no burden; the join by host can be split by Spark.
+    third of all pages is no burden.  Up to SMALL hashes the arrays are broadcast
+    and the texts aren't shuffled; beyond, Spark can split the join by host.
     """
     clean = lambda x: F.xxhash64(F.trim(x))
     hashes = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), clean))
@@ -38,6 +43,9 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     lines = counts.where("not __l.all").where(F.col("count") >= least).select("__host", F.col("__l.h").alias("__h"), "count")
     total = counts.where("__l.all").select(F.col("__host").alias("__of"), F.col("count").alias("__total"))
     bad = lines.join(total, F.col("__host").eqNullSafe(F.col("__of"))).where(F.col("count") > F.col("__total") * ratio).groupBy("__host").agg(F.collect_list("__h").alias("__bad"))
+    bad = cut(bad)
+    entries = bad.agg(F.coalesce(F.sum(F.size("__bad")), F.lit(0)) + F.count("*")).first()[0]
+    bad = F.broadcast(bad) if entries <= SMALL else bad
     out = df.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn("__split", F.split(F.col(text), "\n"))
     kept = F.filter("__split", lambda x: (F.trim(x) == "") | ~F.coalesce(F.array_contains(F.col("__bad"), clean(x)), F.lit(False)))
     out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__split")).otherwise(kept))
