@@ -72,28 +72,33 @@ def sha256_hex(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def coded_words(column: pa.Array, strip: bytes = b"") -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded_words(column: pa.Array, strip: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The words of a column of texts, A to Z lowered: the distinct ones, all of them as places in those, and where each text begins (one offset more than texts).
 
-    strip: characters to take off both ends of words; words of nothing else go.
+    strip: ASCII characters to take off both ends of words; words of nothing else go.
     """
+    if column.offset:  # splitting reads a slice wrongly
+        column = column.take(pa.array(np.arange(len(column))))
     texts = pc.fill_null(column, "").cast(pa.large_string())
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat, offsets = lists.flatten(), np.asarray(lists.offsets, dtype=np.int64)
     coded = flat.dictionary_encode()
-    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    if strip:
-        names = [x.strip(strip) for x in names]
+    names = pc.ascii_trim(coded.dictionary, characters=strip) if strip else coded.dictionary
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    real = np.fromiter((bool(x) for x in names), bool, len(names))[codes] if len(names) else np.zeros(0, bool)
+    real = (pc.binary_length(names).to_numpy(zero_copy_only=False) > 0)[codes]
     before = np.concatenate([[0], np.cumsum(real)])
     return names, codes[real], before[offsets - offsets[0]]
 
 
+def as_list(names: pa.Array) -> list[str]:
+    """Much faster than to_pylist for many short strings."""
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of a column of texts, and where each text begins in them; each distinct word is hashed once."""
     names, codes, offsets = coded_words(column)
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, as_list(names)), np.uint64, len(names))
     return hashed[codes], offsets
 
 

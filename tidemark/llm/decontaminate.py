@@ -23,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, map_arrow
+from .common import as_list, coded_words, map_arrow
 
 #: Items searched at once, and dimensions of the latent space beyond one for each of them.
 BLOCK_ITEMS, EXTRA_RANK = 256, 32
 #: Words of a passage or window, and from one window's start to the next.
-WINDOW, HOP = 48, 12
+WINDOW, HOP = 48, 16
 #: A term is common if more than this share of passages has it; each item keeps its rarest terms even so.
 COMMON, KEPT_TERMS = 0.01, 6
 COSINE = 0.5
@@ -39,12 +40,13 @@ COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Weight of the benchmark's own vectors, against the corpus's sum.
 OWN_WEIGHT = 10.0
-PUNCTUATION = bytes(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123)))
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _WINDOWS_AT_ONCE = 2048
 
 
-def _words(text: str) -> list[bytes]:
+def _words(text: str) -> list[str]:
     names, codes, _ = coded_words(pa.array([text], pa.string()), PUNCTUATION)
+    names = as_list(names)
     return [names[c] for c in codes]
 
 
@@ -70,22 +72,23 @@ def lcs(masks: dict[int, int], length: int, sequence) -> int:
 
 @dataclass
 class Items:
-    """A block of the benchmark: ids, words as numbers, and those numbers by word."""
+    """A block of the benchmark: ids, words as numbers, and all words by number."""
 
     ids: list[int]
     words: list[list[int]]
     answers: list[list[int]]
-    vocabulary: dict[bytes, int]
+    vocabulary: list[str]
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
-        vocabulary: dict[bytes, int] = {}
+        vocabulary: dict[str, int] = {}
         number = lambda text: [vocabulary.setdefault(w, len(vocabulary)) for w in _words(text)]
-        return Items([i for i, _ in rows], [number(t or "") for _, t in rows], [number(answer_of(t or "")) for _, t in rows], vocabulary)
+        return Items([i for i, _ in rows], [number(t or "") for _, t in rows], [number(answer_of(t or "")) for _, t in rows], list(vocabulary))
 
-    def numbers(self, names: list[bytes]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.fromiter((get(x, -1) for x in names), np.int32, len(names))
+    def numbers(self, names: pa.Array) -> np.ndarray:
+        """The number of each word, -1 if no item has it."""
+        found = pc.index_in(names, value_set=pa.array(self.vocabulary, pa.large_string()))
+        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int32)
 
 
 @dataclass
@@ -117,8 +120,11 @@ def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
         counts = np.zeros(size + 1, np.int64)
         for batch in batches:
             number, passage, n = _passages(sent.value, batch.column(0))
-            pairs = np.unique(passage * size + number)
-            counts[:-1] += np.bincount(pairs % size, minlength=size) if size else 0
+            for a in range(0, n if size else 0, 1024):  # which words are in which passage, some passages at a time
+                lo, hi = np.searchsorted(passage, [a, a + 1024])
+                has = np.zeros((min(1024, n - a), size), bool)
+                has[passage[lo:hi] - a, number[lo:hi]] = True
+                counts[:-1] += has.sum(0)
             counts[-1] += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int32()), pa.array(counts)], names=["word", "n"])
 
@@ -221,7 +227,7 @@ def candidates(space: Space, number: np.ndarray, at: np.ndarray, cosine: float =
         a, b = lo[i : i + _WINDOWS_AT_ONCE], hi[i : i + _WINDOWS_AT_ONCE]
         base = int(a.min())
         rows = space.terms[number[place[base : int(b.max())]]]
-        sums = np.concatenate([np.zeros((1, rows.shape[1]), np.float32), np.cumsum(rows, axis=0, dtype=np.float64).astype(np.float32)])
+        sums = np.concatenate([np.zeros((1, rows.shape[1]), np.float32), np.cumsum(rows, axis=0)])
         z = sums[b - base] - sums[a - base]
         near = z @ space.items.T
         norm = np.linalg.norm(z, axis=1)
@@ -237,19 +243,37 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 
 class Checker:
-    """Word-by-word check of a window against an item."""
+    """Word-by-word check of windows against items."""
 
     def __init__(self, items: Items):
         self.items = items
+        self.sizes = np.array([len(x) for x in items.words])
         self.masks = [_masks(x) for x in items.words]
         self.answer_masks = [_masks(x) for x in items.answers]
+        # Whether an item has a word; the last column is for words of no item.
+        self.has = np.zeros((len(items.ids), len(items.vocabulary) + 1), bool)
+        for k, x in enumerate(items.words):
+            self.has[k, x] = True
+        self.margin = np.maximum(0, self.sizes - WINDOW) + WINDOW // 2
+
+    def possible(self, number: np.ndarray, at: np.ndarray, text: np.ndarray, start: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which windows have enough of an item's words, in any order, around them; the others can't pass check()."""
+        keep = np.zeros(len(text), bool)
+        low, high = np.maximum(at[text], at[text] + start - self.margin[item]), np.minimum(at[text + 1], at[text] + start + WINDOW + self.margin[item])
+        span = np.arange(int((high - low).max(initial=0)))
+        for i in range(0, len(text), _WINDOWS_AT_ONCE):
+            part = slice(i, i + _WINDOWS_AT_ONCE)
+            place = low[part, None] + span
+            there = self.has[item[part, None], number[np.minimum(place, len(number) - 1)]] & (place < high[part, None])
+            keep[part] = there.sum(1) >= PARAPHRASE * self.sizes[item[part]]
+        return keep
 
     def check(self, number: np.ndarray, start: int, item: int) -> tuple[float, float] | None:
         """Shares of the item's and of its answer's words that are there in order, if that makes it a leak.  number: a whole text's words."""
-        size = len(self.items.words[item])
-        margin = max(0, size - WINDOW) + WINDOW // 2
-        near = number[max(0, start - margin) : start + WINDOW + margin].tolist()
-        share = lcs(self.masks[item], size, near) / size
+        size, margin = self.sizes[item], self.margin[item]
+        near = number[max(0, start - margin) : start + WINDOW + margin]
+        near = near[self.has[item, near]].tolist()
+        share = lcs(self.masks[item], int(size), near) / size
         if share < PARAPHRASE:
             return None
         answer = self.items.answers[item]
@@ -289,8 +313,9 @@ def _search(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> DataF
             names, codes, at = coded_words(batch.column(1), PUNCTUATION)
             number = items.numbers(names)[codes]
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for part in candidates(space, number, at):
-                for text, start, item, cosine in zip(*(x.tolist() for x in part), strict=True):
+            for text, start, item, cosine in candidates(space, number, at):
+                good = checker.possible(number, at, text, start, item)
+                for text, start, item, cosine in zip(*(x[good].tolist() for x in (text, start, item, cosine)), strict=True):
                     if (text, item) not in found and (shares := checker.check(number[at[text] : at[text + 1]], start, item)):
                         found[text, item] = (round(cosine, 6), round(shares[0], 6), round(shares[1], 6))
             which = sorted(found)

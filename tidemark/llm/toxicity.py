@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded_words, map_arrow
+from .common import as_list, coded_words, map_arrow
 
 FEATURE_BITS = 20
 #: Characters of a word's beginning that are features besides the word.
@@ -31,7 +31,7 @@ FEATURES, LEAST_Z, LEAST_DOCS = 512, 5.0, 8
 LEAST_POSITIVE = 10
 FOLDS, ROUNDS, L2, RATE = 3, 250, 1e-4, 0.2
 THRESHOLD = 0.5
-PUNCTUATION = bytes(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123)))
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that mark the finer categories among rows labelled toxic; the last category is the label itself.
 CATEGORIES = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
@@ -43,10 +43,10 @@ CATEGORIES = {
 def features(column: pa.Array) -> list[np.ndarray]:
     """The distinct buckets of each text's words and of their beginnings, which inflected and compound words share."""
     names, codes, at = coded_words(column, PUNCTUATION)
-    forms = [x.decode("utf-8", "ignore") for x in names]
+    forms = as_list(names)
     buckets = np.empty((len(names), 1 + len(BEGINNINGS)), np.int32)
     for k, n in enumerate((None, *BEGINNINGS)):
-        keys = names if n is None else [f"{x[:n]}*" for x in forms]
+        keys = forms if n is None else [f"{x[:n]}*" for x in forms]
         buckets[:, k] = np.fromiter((xxhash.xxh3_64_intdigest(x) >> (64 - FEATURE_BITS) for x in keys), np.int32, len(names))
     return [np.unique(buckets[np.unique(codes[a:b])]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
