@@ -1 +1 @@
-
+"""Column expressions: cursors, truthiness and message rendering."""

@@ -1 +1 @@
-
+"""Reading and writing: snapshots, inventories, archives and the live source."""
