@@ -1,14 +1,17 @@
 """Grouped prefix join: documents whose sets of word shingles are alike, and the components they form.
 
 Two sets that are alike enough share one of the first shingles of each in any
-common order (prefix filter).  The order here puts shingles with rare words
-first; how rare is counted over all documents in a fixed number of hash
-buckets, so the order costs one byte a bucket to send, whatever the corpus.
+common order (prefix filter).  The order here puts rare shingles first.  How
+rare is counted over all documents in a fixed number of hash buckets, once for
+words and once for shingles; a shingle is at most as frequent as either bucket
+says.  The order costs a byte a bucket to send, whatever the corpus, and any
+order is right: a coarse one only tests more pairs.
 
 Equal sets are one class, and classes with the same prefix and size one group.
 Groups meet by shingle of their prefixes.  To find components it isn't needed
 to test all pairs of a list: first each group is tested against its list's
-smallest (pivots), which gathers nearly all copies; then all pairs that are left
+pivot, which gathers nearly all copies (the pivot has the list's shingle
+earliest, so the fewest rarer ones of its own: it is the least edited); then all pairs that are left
 between different components are tested as well, so no link between components
 is lost.  Every test counts the exact intersection.
 """
@@ -26,41 +29,75 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, shingle_hashes, small_enough, word_hashes
 from .components import components
 
-#: Buckets of the word counts, and words of a shingle.
-BUCKET_BITS, WORDS = 20, 3
+#: Buckets of the counts of words and of shingles (powers of two), and words of a shingle.
+WORD_BITS, SHINGLE_BITS, WORDS = 20, 21, 3
+#: Buckets in a row of counts.
+_CHUNK = 1 << 16
 #: Two sets link when 100 * intersection >= PERCENT * union.
 PERCENT = 90
 
 
-def word_levels(df: DataFrame, text_col: str) -> np.ndarray:
-    """For each bucket of words the logarithm of how often they occur in all texts, in eighths, as a byte."""
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket of words, and of shingles, the logarithm of how often they occur in all texts, in eighths, as a byte.
+
+    A task sends its counts in 2 ** WORD_BITS + 2 ** SHINGLE_BITS places, and as
+    many come to the driver; both are fixed.
+    """
+    sizes = (1 << WORD_BITS, 1 << SHINGLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
+        counts, waiting = np.zeros(sum(sizes), np.int64), []
+
+        def add():
+            nonlocal counts, waiting
+            if waiting:
+                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                waiting = []
+
+        for batch in batches:
+            words, at = word_hashes(batch.column(0))
+            waiting.append(_bucket(words, WORD_BITS))
+            if len(words) >= n:
+                whole = np.ones(len(words) - n + 1, bool)  # shingles that lie within one text
+                for i in range(1, n):
+                    inner = at[1:-1] - i
+                    whole[inner[(inner >= 0) & (inner < len(whole))]] = False
+                waiting.append(_bucket(shingle_hashes(words, n)[whole], SHINGLE_BITS) + sizes[0])
+            if sum(map(len, waiting)) > 4_000_000:
+                add()
+        add()
+        parts = range(0, len(counts), _CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.minimum(counts[i : i + _CHUNK], 2**32 - 1).astype(np.uint32).tobytes() for i in parts], pa.binary())], names=["chunk", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            words, _ = word_hashes(batch.column(0))
-            at, n = np.unique(words >> np.uint64(64 - BUCKET_BITS), return_counts=True)
-            counts[at.astype(np.int64)] += n
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 65536):
-            part = at[i : i + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(counts[part], pa.int64())], names=["bucket", "n"])
-
-    total = map_arrow(df.select(text_col), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
-    out[total["bucket"].to_numpy()] = np.minimum(255, 8 * np.log2(1 + total["n"].to_numpy()))
-    return out
-
-
-def ordered_set(words: np.ndarray, levels: np.ndarray, n: int) -> np.ndarray:
-    """The distinct shingles of a text, those with the rarest word first."""
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw, np.uint32).astype(np.int64)
+                sums[chunk] = sums[chunk] + x if chunk in sums else x
+        rows = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "level"])
+
+    parts = map_arrow(df.select(text_col), run, "chunk int, counts binary").repartition("chunk")
+    got = map_arrow(parts, total, "chunk int, level binary").toArrow()
+    out = np.zeros(sum(sizes), np.uint8)
+    for chunk, raw in zip(got["chunk"].to_pylist(), got["level"].to_pylist(), strict=True):
+        out[chunk : chunk + _CHUNK] = np.frombuffer(raw, np.uint8)
+    return out[: sizes[0]], out[sizes[0] :]
+
+
+def ordered_set(words: np.ndarray, order: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """The distinct shingles of a text, the rarest first."""
     shingles = shingle_hashes(words, n)
     if not len(shingles):
         return shingles
-    own = levels[(words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-    n = min(n, len(words))
-    level = own[: len(shingles)]
-    for i in range(1, n):
+    own = order[0][_bucket(words, WORD_BITS)]
+    level = order[1][_bucket(shingles, SHINGLE_BITS)] if len(words) >= n else own[:1]
+    for i in range(min(n, len(words))):
         level = np.minimum(level, own[i : len(shingles) + i])
     distinct, first = np.unique(shingles, return_index=True)
     return distinct[np.argsort(level[first], kind="stable")]
@@ -70,9 +107,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
-def _prefixes(df: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
+def _prefixes(df: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int, percent: int) -> DataFrame:
     """doc_id, n (set size), class (digest of the set), sig (digest of prefix and size), prefix."""
-    shared = df.sparkSession.sparkContext.broadcast(levels)
+    shared = df.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +187,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     aren't read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    levels = word_levels(docs, "text")
-    rows = cut(_prefixes(docs, levels, n, percent))
+    rows = cut(_prefixes(docs, levels(docs, "text", n), n, percent))
     full = rows.where("n > 0 and doc_id is not null")
     classes = full.groupBy("class", "sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = cut(classes)
@@ -161,7 +197,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = cut(classes.select("sig", "rep").join(several, "sig").select("g", "rep"))
 
     postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
-    lists = postings.groupBy("t").agg(F.count("*").alias("k"), F.min(F.struct("g", "n", "pos")).alias("p")).where("k > 1").select("t", "p")
+    lists = postings.groupBy("t").agg(F.count("*").alias("k"), F.min(F.struct("pos", "g", "n")).alias("p")).where("k > 1").select("t", "p")
     shared = cut(postings.join(lists, "t").select("t", F.struct("g", "n", "pos").alias("x"), "p"))
 
     # Each group against the pivots of its lists, each member against its group's smallest.
