@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ FEATURE_BITS = 20
 #: Characters of a word's beginning that are features besides the word.
 BEGINNINGS = (4, 5)
 #: Labelled rows that the models are fitted on at most; those whose id has the least hash.
-SAMPLE = 12_000
+SAMPLE = 10_000
 #: Words kept for a category, the z-score they need, and documents they must be in.
 FEATURES, LEAST_Z, LEAST_DOCS = 512, 5.0, 8
 #: Positive examples below which a category is predicted as its rate.
@@ -71,13 +72,16 @@ def flatten(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else np.zeros(0, np.int32)), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
 
-def fit_linear(sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> Linear:
+def fit_linear(flat: np.ndarray, row: np.ndarray, earlier: np.ndarray, y: np.ndarray) -> Linear:
+    """flat, row: the words of all texts and which text each is of.
+
+    A category without enough examples of both kinds is given its rate, and never predicted.
+    """
     size = 1 << FEATURE_BITS
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+    rate = min(0.25, (y.sum() + 0.5) / (len(y) + 10))
     weights, chained = np.zeros(size, np.float32), np.zeros(earlier.shape[1])
     if y.sum() < LEAST_POSITIVE or y.sum() > len(y) - LEAST_POSITIVE:
         return Linear(weights, chained, float(np.log(rate / (1 - rate))))
-    flat, row = flatten(sets)
     docs, hits = np.bincount(flat, minlength=size), np.bincount(flat, y[row], size)
     p = y.mean()
     z = (hits - docs * p) / np.sqrt(np.maximum(docs * p * (1 - p), 1e-9))
@@ -115,18 +119,24 @@ class Chain:
         return out
 
 
-def fit_chain(sets: list[np.ndarray], labels: dict[str, np.ndarray], seed: int = 3) -> Chain:
-    fold = np.random.default_rng(seed).permutation(len(sets)) % FOLDS
-    earlier, models = np.zeros((len(sets), 0)), []
+def fit_chain(flat: np.ndarray, row: np.ndarray, labels: dict[str, np.ndarray], seed: int = 3) -> Chain:
+    n = len(next(iter(labels.values())))
+    fold = np.random.default_rng(seed).permutation(n) % FOLDS
+    earlier, models = np.zeros((n, 0)), []
+
+    def part(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.cumsum(chosen, dtype=np.int32) - 1
+        keep = chosen[row]
+        return flat[keep], place[row[keep]]
+
     for name, y in labels.items():
-        held_out = np.zeros(len(sets))
+        held_out = np.zeros(n)
         if name != list(labels)[-1]:
             for k in range(FOLDS):
-                fit, rest = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-                part = fit_linear([sets[i] for i in fit], earlier[fit], y[fit])
-                flat, row = flatten([sets[i] for i in rest])
-                held_out[rest] = _sigmoid(part.margins(flat, row, len(rest), earlier[rest]))
-        models.append(fit_linear(sets, earlier, y))
+                fit, rest = fold != k, fold == k
+                model = fit_linear(*part(fit), earlier[fit], y[fit])
+                held_out[rest] = _sigmoid(model.margins(*part(rest), int(rest.sum()), earlier[rest]))
+        models.append(fit_linear(flat, row, earlier, y))
         earlier = np.column_stack([earlier, held_out])
     return Chain(list(labels), models)
 
@@ -146,22 +156,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tolist() for x in features(batch.column(2))], pa.list_(pa.int32()))], names=["doc_id", "toxic", "words"])
+            sets = features(batch.column(2))
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(flatten(sets)[0], pa.int32()))], names=["doc_id", "toxic", "words"])
 
     found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    got = map_arrow(found, run, "doc_id long, toxic int, words array<int>").toArrow().sort_by([("doc_id", "ascending")])
-    seen: dict[bytes, int] = {}
-    sets, toxic = [], []
-    for x, y in zip(got["words"].to_pylist(), got["toxic"].to_pylist(), strict=True):
-        x = np.array(x, np.int32)
-        if seen.setdefault(x.tobytes(), len(sets)) == len(sets):
-            sets.append(x)
-            toxic.append(y > 0)
-        elif y > 0:
-            toxic[seen[x.tobytes()]] = True
-    y = np.array(toxic, float)
-    of = lambda words: np.array([bool(np.isin(known, x).any()) for x in sets], float) if len(known := np.array([word_bucket(w) for w in words])) else np.ones(len(sets))
-    return fit_chain(sets, {name: y * of(words) for name, words in CATEGORIES.items()})
+    got = map_arrow(found, run, "doc_id long, toxic int, words array<int>").toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    words = got["words"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    flat, ends = words.flatten().to_numpy(), np.cumsum([0, *pc.list_value_length(words).to_pylist()])
+    # Equal sets of words count once, as toxic if one of them is.
+    toxic: dict[str, float] = {}
+    one: list[int] = []
+    of: list[str] = []
+    for k, y in enumerate(got["toxic"].to_pylist()):
+        key = xxhash.xxh3_128_hexdigest(flat[ends[k] : ends[k + 1]].tobytes())
+        if key not in toxic:
+            one.append(k)
+            of.append(key)
+        toxic[key] = max(toxic.get(key, 0.0), float(y > 0))
+    keep = np.zeros(len(ends) - 1, bool)
+    keep[one] = True
+    which = np.repeat(keep, np.diff(ends))
+    row = np.repeat(np.arange(len(one), dtype=np.int32), np.diff(ends)[one])
+    flat, y = flat[which].astype(np.int32), np.array([toxic[k] for k in of])
+    labelled = {}
+    for name, marks in CATEGORIES.items():
+        known = np.array([word_bucket(w) for w in marks])
+        has = np.bincount(row[np.isin(flat, known)], minlength=len(one)) > 0 if len(known) else np.ones(len(one), bool)
+        labelled[name] = y * has
+    return fit_chain(flat, row, labelled)
 
 
 def score(df: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
