@@ -6,8 +6,6 @@ model: null and '' are absent for strings, null and 0 for numbers.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,12 +36,12 @@ def id_number(x: Column | str) -> Column:
 
 
 def newest_cursor(*xs: Column | str) -> Column:
-    """The truthy id with the largest number, the first one on ties; null if there is none."""
-
-    def later(a: Column, b: Column) -> Column:
-        return F.when(a.isNull(), b).when(b.isNotNull() & (id_number(b) > id_number(a)), b).otherwise(a)
+    """The truthy id with the largest number, the first one on ties; null if there is none.
 
-    return reduce(later, [truthy(x) for x in xs])
+    Each argument is there a few times only, so that nested uses stay small.
+    """
+    ranked = [F.when(truthy(x).isNotNull(), F.struct(id_number(x).alias("num"), F.lit(-k).alias("place"), col(x).alias("id"))) for k, x in enumerate(xs)]
+    return (F.greatest(*ranked) if len(ranked) > 1 else ranked[0])["id"]
 
 
 def first_cursor(*xs: Column | str) -> Column:

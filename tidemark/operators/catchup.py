@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursors import truthy
+from ..plans.cut import cut
 from .audit import active_queue, messages_after
 from .ledger import mark_queue
 from .select import select_worker
@@ -38,7 +39,7 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
     count, as does the failed read's absence.
     """
     chosen = candidates.select("rank", "entry_key", F.coalesce(truthy("cursor"), F.lit("0")).alias("cursor")).join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key")
-    chosen = chosen.persist()  # at most limits.entries rows, used three times
+    chosen = cut(chosen)  # at most limits.entries rows, used three times
     after = messages_after(F.broadcast(chosen), messages.select("channel_id", "id", "id_num"))
     size, pages, reads = F.lit(limits.page), F.lit(limits.pages), F.lit(limits.reads)
     counts = after.groupBy("entry_key").agg(F.count("*").alias("n"))
@@ -60,10 +61,11 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
     c = c.withColumn("status", status)
     # The id of the last message added; a bounded number of messages of each entry is ranked.
     ranked = ranked_messages(after, limits).join(F.broadcast(c.select("entry_key", "added")), "entry_key").where(F.col("rn") == F.col("added"))
-    return c.join(ranked.select("entry_key", F.col("id").alias("reached")), "entry_key", "left").select(
+    # At most limits.entries rows again; messages, entries and queue after the run all join them.
+    return cut(c.join(ranked.select("entry_key", F.col("id").alias("reached")), "entry_key", "left").select(
         "rank", "entry_key", "relative_path", "cursor", F.col("behind").cast("bigint").alias("behind"), F.col("batches").cast("bigint").alias("batches"), F.col("reads").cast("bigint").alias("reads"),
         F.col("added").cast("bigint").alias("added"), "status", F.coalesce("reached", "cursor").alias("new_cursor"),
-    ).persist()  # fmt: skip  # at most limits.entries rows; messages, entries and queue after the run all join it
+    ))
 
 
 def ranked_messages(after: DataFrame, limits: Limits) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursors import ACTIVE, INCOMPLETE, INCOMPLETE_PREVIEW, durable_cursor, newest_cursor, or_default, parse_day, truthy, written_cursor
+from ..plans.cut import cut
 from .ledger import upsert_queue
 
 CANDIDATE = ("entry_key", "tier", "cursor", "priority", "reason", "queue_status")
@@ -38,7 +39,7 @@ def worker_tiers(entries: DataFrame, queue: DataFrame, run_date: str) -> DataFra
     last = lambda default: F.coalesce(truthy("last_backup"), F.lit(default))
     items = _selectable(queue).select(F.col("entry_key").alias("k"), "cursor_message_id", F.col("priority").alias("q_priority"), F.col("reason").alias("q_reason"), "q_status", "created_at", F.col("relative_path").alias("q_path"), "ordinal")
     active = entries.join(items, F.col("entry_key") == F.col("k")).select(
-        *_row(1, newest_cursor("cursor_message_id", durable_cursor()), or_default("q_priority", 50), F.col("q_reason"), F.col("q_status"), F.format_string("%010d", or_default("q_priority", 50)), F.coalesce("created_at", F.lit("")), F.coalesce("q_path", F.lit("")), F.col("ordinal"))
+        *_row(1, newest_cursor("cursor_message_id", "last_written_message_id", "last_message_id"), or_default("q_priority", 50), F.col("q_reason"), F.col("q_status"), F.format_string("%010d", or_default("q_priority", 50)), F.coalesce("created_at", F.lit("")), F.coalesce("q_path", F.lit("")), F.col("ordinal"))
     )
     e = entries.join(_first_items(queue), "entry_key", "left").withColumn("newest", durable_cursor())
     upserted = lambda p: F.when(F.col("item").isNull(), F.lit(p)).otherwise(F.least(or_default("item.priority", 99), F.lit(p)))
@@ -72,6 +73,7 @@ def queue_after_selection(entries: DataFrame, queue: DataFrame, run_date: str, n
     tiers.
     """
     tiers = worker_tiers(entries, queue, run_date)
+    tiers = cut(tiers)  # a few rows for each entry, used four times
     chosen = _ranked(tiers, limit)
     full = chosen.agg(F.coalesce(F.count_if(F.col("tier") == 1) >= limit, F.lit(False)).alias("full"))
     seen = tiers.where("tier = 1").select("entry_key").distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 RUN_DATE = "2024-01-30"
 RUN_TIME = "2024-01-30T09:00:00Z"
 
@@ -78,15 +82,15 @@ class Ledger:
     def _table(self, name: str) -> DataFrame:
         return self.spark.sql(f"{with_ctes(name)} SELECT * FROM {name}".replace("FROM events", "FROM {events}"), events=self.events)
 
-    # Ledger and queue, a row for each channel, are read many times by a query, so they are kept; a lost part is computed again.
+    # Ledger and queue, a row for each channel, are read many times by a query.
 
-    @property
+    @cached_property
     def entries(self) -> DataFrame:
-        return self._table("entries").persist()
+        return cut(self._table("entries"))
 
-    @property
+    @cached_property
     def queue(self) -> DataFrame:
-        return self._table("queue").persist()
+        return cut(self._table("queue"))
 
     @property
     def disk(self) -> DataFrame:

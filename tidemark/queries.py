@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions.cursors import ACTIVE, id_number, newest_cursor
 from .operators import audit, catchup, digest, discover, ledger, migrate, select
+from .plans.cut import cut
 from .plans.derived import RUN_DATE, RUN_TIME, Ledger, with_ctes
 from .sources.snapshots import retained
 
@@ -259,7 +260,7 @@ def picked(limit: int, name: str = "picked") -> str:
 
 
 def _normal(x: Ledger) -> DataFrame:
-    return ledger.normalize_queue(x.queue, x.entries, RUN_TIME).drop("group").persist()
+    return cut(ledger.normalize_queue(x.queue, x.entries, RUN_TIME).drop("group"))
 
 
 @query(f"{EQ}, {FOLDED}, {TIERS}, {picked(SELECTED)} SELECT CAST(rank AS INT) AS rank, entry_key, CAST(tier AS INT) AS tier, cursor, CAST(priority AS INT) AS priority, reason, queue_status FROM picked")
