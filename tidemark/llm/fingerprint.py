@@ -56,7 +56,7 @@ def merge_sketches(df: DataFrame, keys: list[str], sketch: str, k: int = K) -> D
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated Jaccard likeness; exact while both have fewer than k shingles.  Two empty sketches are alike, one is like nothing."""
+    """Estimated Jaccard likeness; exact while both together have at most k shingles.  Two empty sketches are alike, one is like nothing."""
     union = merge_two(a, b, k)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.size(union))
 
