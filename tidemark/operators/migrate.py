@@ -106,3 +106,10 @@ def migrate_queue_merge(queue: DataFrame, classified: DataFrame, now: str) -> Da
 def queue_order() -> list[Column]:
     """The order in which a migrated queue is stored."""
     return [or_default("priority", 99), F.coalesce("created_at", F.lit("")), F.coalesce("relative_path", F.lit("")), F.col("ordinal").asc_nulls_last(), F.col("entry_key")]
+
+
+def migrate_header(header: DataFrame, queue_path: str, schema: str) -> DataFrame:
+    """The ledger's header row at the current version; a cursor policy that is there stays."""
+    policy = {"source_of_truth": "last_written_message_id", "compat_field": "last_message_id", "complete_when": "message read after cursor returns 0", "never_advance_past_unwritten_raw": "true"}
+    default = F.create_map(*(F.lit(x) for pair in policy.items() for x in pair))
+    return header.withColumns({"version": F.greatest(F.coalesce("version", F.lit(0)), F.lit(VERSION)), "schema": F.lit(schema), "queue_path": F.lit(queue_path), "cursor_policy": F.coalesce("cursor_policy", default)})
