@@ -18,6 +18,7 @@ is lost.  Every test counts the exact intersection.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,11 +80,20 @@ def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = np.frombuffer(raw, np.uint32).astype(np.int64)
                 sums[chunk] = sums[chunk] + x if chunk in sums else x
-        rows = [np.minimum(255, 8 * np.log2(1 + x)).astype(np.uint8).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "level"])
-
-    parts = map_arrow(df.select(text_col), run, "chunk int, counts binary").repartition("chunk")
-    got = map_arrow(parts, total, "chunk int, level binary").toArrow()
+        rows = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in total(batches):
+            rows = [np.minimum(255, 8 * np.log2(1 + np.frombuffer(x, np.uint32))).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["chunk", "level"])
+
+    # Added up in two steps, so that no task reads more than about the square root of the number of tasks.
+    texts = df.select(text_col)
+    steps = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+    parts = map_arrow(texts, run, "chunk int, counts binary").withColumn("step", F.spark_partition_id() % steps)
+    parts = map_arrow(parts.repartition("chunk", "step").select("chunk", "counts"), total, "chunk int, counts binary")
+    got = map_arrow(parts.repartition("chunk"), level, "chunk int, level binary").toArrow()
     out = np.zeros(sum(sizes), np.uint8)
     for chunk, raw in zip(got["chunk"].to_pylist(), got["level"].to_pylist(), strict=True):
         out[chunk : chunk + _CHUNK] = np.frombuffer(raw, np.uint8)
@@ -149,7 +159,7 @@ def alike(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 def _possible(a: str, b: str, percent: int) -> Column:
     """Whether two groups of sizes n that share a shingle at positions pos can be alike, if it is the first they share."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
     return alike(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m, percent)
 
 
@@ -196,12 +206,14 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Groups of one are their own only member and aren't listed.
     members = cut(classes.select("sig", "rep").join(several, "sig").select("g", "rep"))
 
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "t"))
-    lists = postings.groupBy("t").agg(F.count("*").alias("k"), F.min(F.struct("pos", "g", "n")).alias("p")).where("k > 1").select("t", "p")
-    shared = cut(postings.join(lists, "t").select("t", F.struct("g", "n", "pos").alias("x"), "p"))
+    # Narrow rows, counted before anything else is looked for: most shingles are of one group only.
+    postings = groups.select("g", F.posexplode("prefix").alias("pos", "t"), F.col("n").cast("int").alias("n")).select("t", "g", "pos", "n")
+    lists = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
+    shared = cut(postings.join(lists, "t").select("t", F.struct("g", "n", "pos").alias("x")))
 
     # Each group against the pivots of its lists, each member against its group's smallest.
-    with_pivot = shared.where(F.col("x.g") != F.col("p.g")).where(_possible("x", "p", percent)).select(F.col("p.g").alias("a"), F.col("x.g").alias("b"))
+    pivots = shared.groupBy("t").agg(F.min(F.struct("x.pos", "x.g", "x.n")).alias("p"))
+    with_pivot = shared.join(pivots, "t").where(F.col("x.g") != F.col("p.g")).where(_possible("x", "p", percent)).select(F.col("p.g").alias("a"), F.col("x.g").alias("b"))
     first = cut(with_pivot.unionByName(members.where("g <> rep").select(F.col("g").alias("a"), F.col("rep").alias("b"))).distinct())
     links = cut(_verified(first, docs, n, percent))
 
