@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as tox
-from tidemark.llm.common import cut, small_enough, stored, table
+from tidemark.llm.common import cut, discard, scratch_path, small_enough, stored, table
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.line_dedup import drop_boilerplate
 from tidemark.llm.mixing import mix_sources
@@ -56,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    """The last stage's rows over documents.  A stage's table goes once the next one's is written; the last but one is read by the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = scratch_path(spark)
+        docs = stored(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -41,8 +41,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: bool = False) -> DataFrame:
     """One row for each row of df: doc_id, source, size, source_size, target, taken, times (how often it is taken).
 
-    keep: the columns of df are kept as well, joined to their decision by id and
-    source hash.  A null text has size 0.  Null sources are one source, the last.
+    keep: the columns of df are kept as well, but for those named like one of the
+    results.  A null text has size 0.  Null sources are one source, the last.
     Rows with the same id and source have the same hash and share their fate.
     Empty sources have target 0.  The hash is taken from the id and source alone,
     so reruns agree.
@@ -73,7 +73,11 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         # If no bucket of a source goes over, rounding alone is left of its budget and the threshold lies above all.
         top = F.col("open") & F.col("to").isNull()
         state = cut(state.join(first, F.col("s").eqNullSafe(F.col("of")), "left").select("s", F.when(here, F.col("left")).otherwise(F.col("budget")).alias("budget"), F.when(top, F.lit(2**HASH_BITS)).otherwise(low).alias("low"), here.alias("open")))
-    rounds = plan.join(state, F.col("source").eqNullSafe(F.col("s"))).select(F.col("s").alias("of"), "source_size", "target", full.alias("full"), F.col("low").alias("threshold"))
-    rows = (df.withColumns({"__source": F.col(source_col), "size": size, "__hash": hashed}) if keep else sized.withColumnsRenamed({"hash": "__hash"}).withColumn("__source", F.col("source"))).join(small(rounds), F.col("__source").eqNullSafe(F.col("of")))
-    times = (F.col("full") + F.when(F.col("__hash") < F.col("threshold"), 1).otherwise(0)).cast("long")
-    return rows.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop("__source", "__hash", "of", "full", "threshold")
+    rounds = plan.join(state, F.col("source").eqNullSafe(F.col("s"))).select(F.col("s").alias("__of"), "source_size", "target", full.alias("__full"), F.col("low").alias("__threshold"))
+    if keep:
+        rows = df.withColumns({"__source": F.col(source_col), "__size": size, "__hash": hashed}).drop("size", "source_size", "target", "times", "taken").withColumnRenamed("__size", "size")
+    else:
+        rows = sized.withColumnRenamed("hash", "__hash").withColumn("__source", F.col("source"))
+    rows = rows.join(small(rounds), F.col("__source").eqNullSafe(F.col("__of")))
+    times = (F.col("__full") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0)).cast("long")
+    return rows.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop("__source", "__hash", "__of", "__full", "__threshold")

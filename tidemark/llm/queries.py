@@ -11,7 +11,7 @@ import corpus_pipeline
 
 from . import fingerprint as fp
 from . import licenses, line_dedup, mixing, toxicity
-from .chat import format_records, records_of_rows
+from .chat import BODY, END, TURN, format_records, records_of_rows
 from .common import table
 from .decontaminate import find_leaks
 from .ngram_join import near_components
@@ -101,6 +101,17 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_records(records_of_rows(rows.unionByName(extra)), "conv_id", "record").drop("formatted")
 
 
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_MARKS = len(TURN + BODY + END)
+OP7_SQL = rf"""
+    WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES ({EXTRA_CONVERSATION}, 0, 'user', '{EXTRA_TEXT}'), ({EXTRA_CONVERSATION}, 1, 'assistant', '{EXTRA_TEXT}'))
+    SELECT conv_id, 'rows' AS layout, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum({_MARKS} + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id"""
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -122,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_licenses": licenses.oracle()}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle()}
