@@ -199,12 +199,12 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(_prefixes(docs, levels(docs, "text", n), n, percent))
     full = rows.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("class", "sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = cut(classes)
-    groups = classes.groupBy("sig").agg(F.min("rep").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    several = groups.where("members > 1").select("sig", "g")
+    # Prefixes are kept once and shuffled once, with their groups; classes are narrow.
+    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    groups = full.groupBy("sig").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    several = classes.groupBy("sig").agg(F.min("rep").alias("g"), F.count("*").alias("members")).where("members > 1").select("sig", "g")
     # Groups of one are their own only member and aren't listed.
-    members = cut(classes.select("sig", "rep").join(several, "sig").select("g", "rep"))
+    members = cut(classes.join(several, "sig").select("g", "rep"))
 
     # Narrow rows, counted before anything else is looked for: most shingles are of one group only.
     postings = groups.select("g", F.posexplode("prefix").alias("pos", "t"), F.col("n").cast("int").alias("n")).select("t", "g", "pos", "n")
