@@ -41,7 +41,7 @@ COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Weight of the benchmark's own vectors, against the corpus's sum.
 OWN_WEIGHT = 10.0
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_WINDOWS_AT_ONCE = 2048
+_WINDOWS_AT_ONCE = 1024
 
 
 def _words(text: str) -> list[str]:
@@ -146,9 +146,9 @@ def _gram(docs: DataFrame, items: Items, idf: np.ndarray, omega: np.ndarray) ->
             number, passage, _ = _passages(items, batch.column(0))
             keep = idf[number] > 0
             pairs, tf = np.unique(passage[keep] * d + number[keep], return_counts=True)
-            for i in range(0, len(pairs), 50_000):
-                row, term = np.unique(pairs[i : i + 50_000] // d, return_inverse=True)[1], pairs[i : i + 50_000] % d
-                weight = (idf[term] * tf[i : i + 50_000]).astype(np.float32)
+            for i in range(0, len(pairs), 8_000):
+                row, term = np.unique(pairs[i : i + 8_000] // d, return_inverse=True)[1], pairs[i : i + 8_000] % d
+                weight = (idf[term] * tf[i : i + 8_000]).astype(np.float32)
                 norm = np.sqrt(np.bincount(row, weight * weight))
                 weight /= norm[row].astype(np.float32)
                 starts = np.flatnonzero(np.diff(row, prepend=-1))

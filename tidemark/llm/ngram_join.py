@@ -39,7 +39,7 @@ PERCENT = 90
 
 
 def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +51,13 @@ def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray
     sizes = (1 << WORD_BITS, 1 << SHINGLE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting = np.zeros(sum(sizes), np.int64), []
+        counts, waiting = np.zeros(sum(sizes), np.uint32), []
 
         def add():
             nonlocal counts, waiting
             if waiting:
-                counts += np.bincount(np.concatenate(waiting), minlength=len(counts))
+                at, times = np.unique(np.concatenate(waiting), return_counts=True)
+                counts[at] += times.astype(np.uint32)
                 waiting = []
 
         for batch in batches:
@@ -68,11 +69,11 @@ def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray
                     inner = at[1:-1] - i
                     whole[inner[(inner >= 0) & (inner < len(whole))]] = False
                 waiting.append(_bucket(shingle_hashes(words, n)[whole], SHINGLE_BITS) + sizes[0])
-            if sum(map(len, waiting)) > 4_000_000:
+            if sum(map(len, waiting)) > 500_000:
                 add()
         add()
         parts = range(0, len(counts), _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([np.minimum(counts[i : i + _CHUNK], 2**32 - 1).astype(np.uint32).tobytes() for i in parts], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([counts[i : i + _CHUNK].tobytes() for i in parts], pa.binary())], names=["chunk", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
