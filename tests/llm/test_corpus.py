@@ -319,6 +319,18 @@ def test_leaks_planted_and_clean(spark, block, monkeypatch):
     assert decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_in_lists_of_short_items(spark):
+    """Neighbours in the same window don't hide an item, though each has a small part of the window's weight."""
+    rng = random.Random(13)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(n))) for k, n in enumerate([6, 7, 8, 9, 10, 12, 15] * 6)]
+    rows = [(k, " ".join(words_of(rng, rng.randint(1, 300), 5000)), "s") for k in range(100)]
+    lists = {1000 + k: items[a : a + 14] for k, a in enumerate((0, 14, 28))}
+    lists |= {2000 + n: items[k::7] for k, n in enumerate([6, 7, 8, 9, 10, 12, 15])}
+    rows += [(i, " ".join([*words_of(rng, 7, 5000), *(x for _, x in listed)]), "s") for i, listed in lists.items()]
+    df = decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in df.collect()} == {(i, k) for i, listed in lists.items() for k, _ in listed}
+
+
 def test_leaks_of_the_tables(spark):
     d = f"{DATA}/sf0.01"
     found = {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, d).collect()}

@@ -8,8 +8,9 @@ matrix, Nystroem form: Halko, Martinsson and Tropp, 2011; Tropp et al., 2017).
 The benchmark's own vectors are added to that matrix with a large weight, so that
 the latent space has their directions however rare a leak is.  The last pass
 projects every window of every text, takes those whose cosine with an item is
-high, and checks them word by word: the longest common subsequence with the
-item, and whether the item's answer is there, which paraphrases keep.
+high or that hold enough of the item's own weight, whatever else they hold, and
+checks them word by word: the longest common subsequence with the item, and
+whether the item's answer is there, which paraphrases keep.
 
 The benchmark is taken in blocks, so what is sent to the tasks is bounded
 whatever its size; all texts are read whole for each.
@@ -36,6 +37,8 @@ WINDOW, HOP = 48, 16
 #: A term is common if more than this share of passages has it; each item keeps its rarest terms even so.
 COMMON, KEPT_TERMS = 0.01, 6
 COSINE = 0.5
+#: Share of an item's squared weight that a window holds, however much its other words dilute the cosine: that of a part whose cosine is COSINE where it stands alone.
+SHARE = COSINE**2
 #: Share of an item's words, in order, that a leak has; or that a paraphrase has if the answer is there by ANSWER.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6
 #: Weight of the benchmark's own vectors, against the corpus's sum.
@@ -93,10 +96,11 @@ class Items:
 
 @dataclass
 class Space:
-    """The latent space: idf-weighted directions by term (0 for common ones), and the items in it, of length 1."""
+    """The latent space: idf-weighted directions by term (0 for common ones), the items in it, of length 1, and the projection onto each of a window that holds all of it."""
 
     terms: np.ndarray
     items: np.ndarray
+    whole: np.ndarray
 
 
 def _passages(items: Items, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -187,8 +191,8 @@ def latent_space(docs: DataFrame, items: Items, seed: int = 17) -> Space:
     own = np.zeros((len(items.ids), d))
     for k, words in enumerate(items.words):
         np.add.at(own[k], words, idf[words])
-    norm = np.linalg.norm(own, axis=1, keepdims=True)
-    own = np.divide(own, norm, out=np.zeros_like(own), where=norm > 0)
+    length = np.linalg.norm(own, axis=1, keepdims=True)
+    own = np.divide(own, length, out=np.zeros_like(own), where=length > 0)
     rank = min(d, len(items.ids) + EXTRA_RANK)
     omega = np.random.default_rng(seed).normal(size=(d, rank))
     y = _gram(docs, items, idf, omega)
@@ -203,10 +207,11 @@ def latent_space(docs: DataFrame, items: Items, seed: int = 17) -> Space:
     terms = (idf[:, None] * directions).astype(np.float32)
     own = own @ directions
     norm = np.linalg.norm(own, axis=1, keepdims=True)
-    return Space(terms, np.divide(own, norm, out=np.zeros_like(own), where=norm > 0).astype(np.float32))
+    whole = np.where(norm > 0, length * norm, np.inf)[:, 0]
+    return Space(terms, np.divide(own, norm, out=np.zeros_like(own), where=norm > 0).astype(np.float32), whole.astype(np.float32))
 
 
-def candidates(space: Space, number: np.ndarray, at: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def candidates(space: Space, number: np.ndarray, at: np.ndarray, cosine: float = COSINE, share: float = SHARE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, window start, item, cosine) arrays of what is near, for texts given as word numbers; in bounded parts."""
     live = np.abs(space.terms).sum(1) > 0
     place = np.flatnonzero((number >= 0) & live[number])
@@ -231,7 +236,7 @@ def candidates(space: Space, number: np.ndarray, at: np.ndarray, cosine: float =
         z = sums[b - base] - sums[a - base]
         near = z @ space.items.T
         norm = np.linalg.norm(z, axis=1)
-        w, item = np.nonzero(near >= cosine * np.maximum(norm, 1e-6)[:, None])
+        w, item = np.nonzero(near >= np.minimum(cosine * np.maximum(norm, 1e-6)[:, None], share * space.whole))
         yield of[i + w], start[i + w], item, near[w, item] / norm[w]
 
 
