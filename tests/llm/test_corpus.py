@@ -331,6 +331,15 @@ def test_leaks_in_lists_of_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in df.collect()} == {(i, k) for i, listed in lists.items() for k, _ in listed}
 
 
+def test_some_window_holds_an_item_of_36_words_whole(spark):
+    items = decontaminate.Items.of([(0, " ".join(f"x{j}" for j in range(36)))])
+    space = decontaminate.Space(np.eye(36, dtype=np.float32), np.full((1, 36), 1 / 6, np.float32), np.array([6], np.float32))
+    for before in range(decontaminate.WINDOW):
+        number = np.concatenate([np.full(before, -1), items.words[0], np.full(60, -1)]).astype(np.int32)
+        parts = decontaminate.candidates(space, number, np.array([0, len(number)]), cosine=2.0, share=0.999)
+        assert sum(len(part[0]) for part in parts), before
+
+
 def test_leaks_of_the_tables(spark):
     d = f"{DATA}/sf0.01"
     found = {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, d).collect()}
