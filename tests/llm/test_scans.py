@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -200,6 +201,24 @@ def test_canonical_forms(spark):
     assert licenses.scan_licenses(both.union(both)).first()[2:] == (2, 2)
 
 
+def test_entire_licenses(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    at = Path("/usr/share/common-licenses")
+    if not all((at / x).exists() for x in files):
+        pytest.skip("texts aren't on this machine")
+    texts = [(at / x).read_text() for x in files]
+    end = "END OF TERMS AND CONDITIONS"
+    short = [t[: t.index(end) + len(end)] if end in t else t for t in texts]
+    got = licenses.scan_licenses(docs_of(spark, [*texts, *short])).where("n_text > 0").collect()
+    assert sorted((r.doc_id, r.license, r.n_text) for r in got) == [(k, x, 1) for k, x in enumerate([*files.values()] * 2)]
+
+
+def test_other_digests(spark):
+    known = [(hashlib.md5(licenses.canonical_python("The Own Licence").encode()).hexdigest(), "Own")]
+    got = licenses.scan_licenses(docs_of(spark, ["the own license.", "MIT License"]), known=known).collect()
+    assert [tuple(r) for r in got] == [(0, "Own", 1, 1)]
+
+
 def test_canonical_python_is_the_same(spark):
     texts = [t for x in LICENSES.values() for t in x] + ["Ünï (C) x\n copyright foo\nAll rights reserved.\nv 2 LICENCE  sub-licence"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(licenses.F.col("t"))).collect()

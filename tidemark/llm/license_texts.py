@@ -107,3 +107,13 @@ LICENSES: dict[str, list[str]] = {
     "CC-BY-NC-4.0": _notices("CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
     "CC-BY-ND-4.0": _notices("CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
 }
+
+#: md5 of the canonical form of entire texts that are too long to stand here, as in Debian's /usr/share/common-licenses: with what follows "END OF TERMS AND CONDITIONS", and up to it.
+DIGESTS: dict[str, list[str]] = {
+    "Apache-2.0": ["b27c759862531cc87d642844b66233c5", "140fc7dd3fe13f9e3a727dc78d989884"],
+    "GPL-3.0": ["057f186a69ca5796ed5fd60ffc00e686", "9622e348e3655fc913d2a9a03f2362b1"],
+    "GPL-2.0": ["e374d0b43c25aed1a2b28951fe92a546", "cbb3451938de95cbb302d3c10690ede8"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "MPL-2.0": ["d6b1c6968967dbdd8154736ff657ee32"],
+    "CC0-1.0": ["dcb3226ed1c311f82507296410434b55"],
+}

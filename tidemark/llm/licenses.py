@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_texts import LICENSES
+from .license_texts import DIGESTS, LICENSES
 
 #: Spellings that count as the same, of whole words after lower-casing and punctuation.
 SPELLINGS = [
@@ -58,7 +58,7 @@ def canonical(text: Column) -> Column:
 
 def known_digests() -> list[tuple[str, str]]:
     """(digest, licence), one row for each known text."""
-    out = {}
+    out = {digest: name for name, digests in DIGESTS.items() for digest in digests}
     for name, texts in LICENSES.items():
         for text in texts:
             form = canonical_python(text)
@@ -74,16 +74,17 @@ def marked(text: Column) -> Column:
     return F.lower(text).rlike("|".join(patterns))
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, license, n_text, n_lines: which ids have a text that is a known licence or notice, whole or in a whole line.
 
     One row for each id and licence.  n_text counts rows whose entire text is
     the licence, n_lines lines that are (a text of one line counts as both).
     Ids without one, null and empty texts give no row; repeated rows add up; a
-    null id is an id of its own.  The digests are a fixed table of a few rows, so
+    null id is an id of its own.  The digests (known: another table than
+    known_digests(), of canonical forms with one of MARKERS) are a few rows, so
     they are broadcast; only what is found is shuffled.
     """
-    known = df.sparkSession.createDataFrame(known_digests(), "digest string, license string")
+    known = df.sparkSession.createDataFrame(known_digests() if known is None else known, "digest string, license string")
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")).where(marked(F.col("t")))
     lines = F.transform(F.filter(F.split("t", "\n"), marked), lambda x: F.struct(x.alias("unit"), F.lit(0).alias("whole")))
     units = rows.select("doc_id", F.explode(F.concat(F.array(F.struct(F.col("t").alias("unit"), F.lit(1).alias("whole"))), lines)).alias("u"))
