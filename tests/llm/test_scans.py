@@ -128,6 +128,22 @@ def test_spans_do_not_depend_on_where_windows_begin():
         assert [text[a:b] for k, a, b in pii.model_spans([text], model)[0]] == ["(017) 555-7713"]
 
 
+def test_stretches_hold_whole_runs_around_an_anchor():
+    for x in ("firstname.lastname.department @ example.com", "name@a-host-of-quite-a-few-more-than-24-letters dot com"):
+        text = f"{'the and ' * 40}{x}{' the and' * 40}"
+        assert any(a <= 320 and 320 + len(x) <= b for a, b in pii.stretches(text))
+    rng = random.Random(4)
+    for _ in range(500):
+        text = "".join(rng.choice("aaaaaaaaaaaaaaaaaaaaaaaaaaa     \n1@") * rng.randint(1, 30) for _ in range(rng.randint(0, 60)))
+        got, want = pii.stretches(text), set()
+        for m in re.finditer("[0-9@]", text):
+            a, b = max(0, m.start() - pii.CONTEXT), min(len(text), m.start() + pii.CONTEXT + 1)
+            want |= {*range(a - len(re.search(r"\S*\Z", text[:a])[0]), b + len(re.match(r"\S*", text[b:])[0]))}
+        want = {y for x in want for y in (x - pii.CONTEXT, x, x + pii.CONTEXT) if 0 <= y < len(text)} | want
+        assert want <= {x for a, b in got for x in range(a, b)}
+        assert all(a < b for a, b in got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+
+
 def test_pii_query_cases(spark):
     texts = [None, "", "a@b.co", "é" * 100_000 + " a@b.co 10.0.0.1", "a@b.co", "call (017) 555-7713 now"]
     rows = pii.find_pii(docs_of(spark, texts)).orderBy("doc_id").collect()

@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds the forms they miss.
 
 The model is trained on generated labelled spans.  A span always holds a digit
-or an @ (all four kinds do), so characters further than CONTEXT from any digit
-or @ are tagged O without running the network; this is exact for decoding under
-that constraint and holds for texts of any length.  Elsewhere the text is cut
+or an @ (all four kinds do), so the network runs only within CONTEXT of a digit
+or @, on through the run of non-blank characters that this ends in, and CONTEXT
+more; other characters are tagged O.  A span that reaches further is cut there,
+and scores at the edges come from cut contexts.  Within a stretch the text is cut
 into overlapping windows; their scores are averaged where they overlap, weighted
 towards the windows' middles, and one Viterbi pass over each connected stretch
 reconciles them, so that no span depends on where a window happened to begin.
@@ -36,6 +37,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
+_RUN = re.compile(r"\S*")
 
 
 def luhn(digits: str) -> bool:
@@ -142,14 +144,20 @@ def trained_model(examples: int = 1500, seed: int = 5) -> BiLstmCrf:
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Connected stretches within CONTEXT of a digit or an @."""
+    """Connected stretches within CONTEXT of a digit or an @, each carried on at both ends through the non-blank run there and CONTEXT more."""
     out: list[list[int]] = []
     for m in _ANCHOR.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.start() + CONTEXT + 1)
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        low = out[-1][1] if out else 0
+        if b + CONTEXT <= low:
+            continue
+        while a > low and not text[a - 1].isspace():
+            a -= 1
+        b = min(len(text), _RUN.match(text, b).end() + CONTEXT)
+        if out and a - CONTEXT <= low:
+            out[-1][1] = max(low, b)
         else:
-            out.append([a, b])
+            out.append([max(0, a - CONTEXT), b])
     return [(a, b) for a, b in out]
 
 
