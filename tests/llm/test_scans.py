@@ -204,6 +204,12 @@ def test_rows_with_nulls_ties_and_repeats(spark):
     assert got == {1: [("user", "a"), ("", ""), ("user", "b"), ("user", "b")], None: [("user", "n")]}
 
 
+def test_conversation_of_null_turns_only(spark):
+    df = spark.createDataFrame([(1, None, "user", "b"), (1, None, "assistant", "a"), (2, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.layout, chat.read_back(r.formatted).turns) for r in chat.format_records(chat.records_of_rows(df), "conv_id", "record").collect()}
+    assert got == {1: ("rows", [("assistant", "a"), ("user", "b")]), 2: ("rows", [("", "")])}
+
+
 # ---- licences ----
 
 

@@ -176,4 +176,4 @@ def records_of_rows(df: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = df.select(F.col(id_col).alias("conv_id"), turn.alias("t"))
-    return rows.groupBy("conv_id").agg(F.collect_list("t").alias("turns")).select("conv_id", F.to_json(F.struct("turns")).alias("record"))
+    return rows.groupBy("conv_id").agg(F.collect_list("t").alias("turns")).select("conv_id", F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
