@@ -128,20 +128,28 @@ def test_spans_do_not_depend_on_where_windows_begin():
         assert [text[a:b] for k, a, b in pii.model_spans([text], model)[0]] == ["(017) 555-7713"]
 
 
-def test_stretches_hold_whole_runs_around_an_anchor():
-    for x in ("firstname.lastname.department @ example.com", "name@a-host-of-quite-a-few-more-than-24-letters dot com"):
-        text = f"{'the and ' * 40}{x}{' the and' * 40}"
-        assert any(a <= 320 and 320 + len(x) <= b for a, b in pii.stretches(text))
-    rng = random.Random(4)
-    for _ in range(500):
-        text = "".join(rng.choice("aaaaaaaaaaaaaaaaaaaaaaaaaaa     \n1@") * rng.randint(1, 30) for _ in range(rng.randint(0, 60)))
-        got, want = pii.stretches(text), set()
-        for m in re.finditer("[0-9@]", text):
-            a, b = max(0, m.start() - pii.CONTEXT), min(len(text), m.start() + pii.CONTEXT + 1)
-            want |= {*range(a - len(re.search(r"\S*\Z", text[:a])[0]), b + len(re.match(r"\S*", text[b:])[0]))}
-        want = {y for x in want for y in (x - pii.CONTEXT, x, x + pii.CONTEXT) if 0 <= y < len(text)} | want
-        assert want <= {x for a, b in got for x in range(a, b)}
-        assert all(a < b for a, b in got) and all(x[1] < y[0] for x, y in zip(got, got[1:]))
+def test_spans_are_those_of_decoding_whole_texts(spark):
+    """The query decodes between places that are O in any case; full_spans scores every window and decodes the whole text."""
+    model, rng = pii.trained_model(), random.Random(4)
+    long = ["write to maria.magdalena.von.hohenzollern.sigmaringen @ examplehost.com", "verylongfirstname_andverylonglastname@mailhost dot com"]
+    texts = [f"{'the and ' * k}{x}{' ' * (k % 7)}{'the and ' * j}" for x in long for k in range(0, 24, 3) for j in (0, 1, 9)]
+    for _ in range(250):
+        texts.append("".join(rng.choice(["the", " ", " ", "1", "23", "@", ".", "-", "a", "\n", "(017) 555-7713", "x@y dot com", "10 . 0 . 0 . 1", "é", "日本", "word " * 30, "9" * 40]) for _ in range(rng.randint(1, 60))))
+    texts += ["", "1", "@" * 700, "1 2 3 " * 900, "a" * 63 + "1", "a" * 64 + "1", "1" + "a" * 95, "0123456789" * 300]
+    texts += [r[0] or "" for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("text").collect()]
+    got = pii.model_spans(texts, model)
+    assert got == [sorted(set(pii.full_spans(x, model))) for x in texts]
+    assert [texts[0][a:b] for _, a, b in got[0]] == [long[0].removeprefix("write to ")] and sum(map(len, got)) > 100
+
+
+def test_texts_of_many_cells_are_several_jobs(monkeypatch):
+    model = pii.trained_model()
+    texts = ["call (017) 555-7713 now " * 80, "x@y dot com the and " * 60]
+    want = [pii.full_spans(x, model) for x in texts]
+    for held, piece in ((1, 1), (3, 2), (7, 40)):
+        monkeypatch.setattr(pii, "HELD", held)
+        monkeypatch.setattr(pii, "PIECE", piece)
+        assert pii.model_spans(texts, model) == want
 
 
 def test_pii_query_cases(spark):

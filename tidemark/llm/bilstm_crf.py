@@ -51,8 +51,24 @@ class BiLstmCrf:
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Scores (windows, steps, tags)."""
-        x = self.p["E"][ids.T]
-        h = np.concatenate([self._run("f", x, False)[0], self._run("b", x, False)[0]], axis=2)
+        e, h_n, both = self.p["E"].shape[1], self.hidden, []
+        for d in "fb":
+            # What each symbol adds to the gates, and rows of a half, so that tanh(x / 2) serves as the sigmoid of x.
+            half = np.repeat(np.array([0.5, 1], np.float32), [3 * h_n, h_n])
+            table, U = (self.p["E"] @ self.p[f"W{d}"][:e] + self.p[f"b{d}"]) * half, self.p[f"W{d}"][e:] * half
+            h = c = np.zeros((len(ids), h_n), np.float32)
+            out = np.empty((ids.shape[1], len(ids), h_n), np.float32)
+            for t in range(ids.shape[1]) if d == "f" else reversed(range(ids.shape[1])):
+                z = h @ U
+                z += table[ids[:, t]]
+                np.tanh(z, out=z)
+                s = z[:, : 3 * h_n]
+                s += 1
+                s *= 0.5
+                c = s[:, h_n : 2 * h_n] * c + s[:, :h_n] * z[:, 3 * h_n :]
+                h = np.multiply(s[:, 2 * h_n :], np.tanh(c), out=out[t])
+            both.append(out)
+        h = np.concatenate(both, axis=2)
         return np.ascontiguousarray((h @ self.p["O"] + self.p["o"]).transpose(1, 0, 2))
 
     def _crf(self, em: np.ndarray, tags: np.ndarray):
@@ -122,6 +138,61 @@ class BiLstmCrf:
             losses.append(loss)
         return losses
 
+    def surely_outside(self, em: np.ndarray, lengths: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places (pieces, steps) where every best path has tag 0, whatever stands before and after the piece.
+
+        em: scores of pieces of texts, sorted by falling lengths.  begins, ends:
+        whether the text begins, ends with the piece.  For each place and tag an
+        upper bound of how far the best path up to it that ends in that tag can be
+        ahead of the one that ends in 0 is carried forward, and the same backward;
+        where the sum is below 0 for all other tags, no best path has them.
+        """
+        T, margin = self.p["T"], 1e-3
+        delta = em - em[:, :, :1]
+        n, steps, _ = em.shape
+        active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(steps)]
+        ahead = (T - T[:, :1]).max(0)  # of any path that goes on to a tag, before one that goes on to 0
+        fore = np.empty_like(delta)
+        x = np.where(begins[:, None], 0, ahead) + delta[:, 0]
+        fore[:, 0] = x
+        for t in range(1, steps):
+            k = active[t]
+            x = np.minimum((x[:k, :, None] + T).max(1) - T[0, 0], ahead) + delta[:k, t]
+            fore[:k, t] = x
+        behind = (T - T[:1]).max(1)
+        back = np.empty_like(delta)
+        rows, at = np.arange(n), lengths - 1
+        x = np.where(ends[:, None], 0, np.broadcast_to(behind, (n, len(behind)))).astype(np.float32)
+        back[rows, at] = x
+        for t in range(1, steps):
+            k = active[t]
+            at = lengths[:k] - 1 - t
+            x = np.minimum((T + (x[:k] + delta[rows[:k], at + 1])[:, None, :]).max(2) - T[0, 0], behind)
+            back[rows[:k], at] = x
+        total = (fore + back)[:, :, 1:].max(2)
+        return (total < -margin) & (np.arange(steps) < lengths[:, None])
+
+    def best_tags(self, em: np.ndarray, lengths: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The best tags (pieces, steps), of pieces sorted by falling lengths.  after, before: whether the piece stands after, before a place of tag 0 (else the text begins, ends there)."""
+        T = self.p["T"]
+        n, steps, _ = em.shape
+        back = np.zeros(em.shape, np.int8)
+        score = em[:, 0] + np.where(after[:, None], T[0], 0)
+        for t in range(1, steps):
+            k = int(np.searchsorted(-lengths, -t, side="left"))
+            all_ = score[:k, :, None] + T
+            back[:k, t] = all_.argmax(1)
+            score[:k] = all_.max(1) + em[:k, t]
+        out, rows = np.zeros((n, steps), np.int8), np.arange(n)
+        last = (score + np.where(before[:, None], T[:, 0], 0)).argmax(1)
+        out[rows, lengths - 1] = last
+        for t in range(1, steps):
+            k = int(np.searchsorted(-lengths, -t, side="left"))
+            at = lengths[:k] - 1 - t
+            last = back[rows[:k], at + 1, last[:k]]
+            out[rows[:k], at] = last
+        return out
+
     def viterbi(self, em: np.ndarray) -> np.ndarray:
         """The best tags of one sequence of scores (steps, tags)."""
         T, score = self.p["T"], em[0]

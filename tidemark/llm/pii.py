@@ -1,13 +1,17 @@
 """Personal data: fixed patterns, and a character BiLSTM-CRF that adds the forms they miss.
 
-The model is trained on generated labelled spans.  A span always holds a digit
-or an @ (all four kinds do), so the network runs only within CONTEXT of a digit
-or @, on through the run of non-blank characters that this ends in, and CONTEXT
-more; other characters are tagged O.  A span that reaches further is cut there,
-and scores at the edges come from cut contexts.  Within a stretch the text is cut
-into overlapping windows; their scores are averaged where they overlap, weighted
-towards the windows' middles, and one Viterbi pass over each connected stretch
-reconciles them, so that no span depends on where a window happened to begin.
+The model is trained on generated labelled spans.  Every text is cut into
+overlapping windows on one grid; their scores are averaged where they overlap,
+weighted towards the windows' middles, and the best tag sequence of the whole text
+under these scores reconciles them, so that no span depends on where a window
+happened to begin.
+
+An added span holds a digit or an @ (all four kinds do); spans without one are
+dropped.  So the windows around these characters are scored first, and more on
+either side until a place is found where every best sequence of the whole text has
+tag O, whatever else the text says.  Between two such places the best sequence is
+that of the whole text: the result is that of decoding all of it, and a test holds
+one against the other.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +31,12 @@ from .bilstm_crf import BiLstmCrf, char_ids
 from .common import map_arrow, sha256_hex
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, HOP, CONTEXT = 64, 32, 24
-#: Windows that go through the network at once, and characters whose scores are held at once (more only for one longer text).
-AT_ONCE, HELD = 512, 300_000
+#: Characters of a window, and from one's start to the next; each HOP characters are a cell, covered by two windows.
+WINDOW, HOP = 64, 32
+#: Windows that go through the network at once, and cells of one text, and of several, that are decoded at once to begin with.
+AT_ONCE, HELD = 512, 4096
+#: Cells of a piece in which places of tag O are looked for, beside one more on either side.
+PIECE = 14
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +45,6 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _ANCHOR = re.compile(r"[0-9@]")
-_RUN = re.compile(r"\S*")
 
 
 def luhn(digits: str) -> bool:
@@ -114,9 +121,9 @@ def labelled_spans(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, in
     return out
 
 
-def windows_of(n: int) -> list[int]:
-    """Starts of the windows over n characters."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, HOP), n - WINDOW]
+def last_window(n: int) -> int:
+    """Number of the last window over n characters; windows start every HOP."""
+    return max(0, -(-(n - WINDOW) // HOP))
 
 
 def tagged_windows(data) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +133,7 @@ def tagged_windows(data) -> tuple[np.ndarray, np.ndarray]:
         y = np.zeros(len(x), np.int64)
         for kind, a, b in spans:
             y[a], y[a + 1 : b] = 1 + 2 * KINDS.index(kind), 2 + 2 * KINDS.index(kind)
-        for s in windows_of(len(x)):
+        for s in range(0, last_window(len(x)) * HOP + 1, HOP):
             pad = max(0, WINDOW - (len(x) - s))
             ids.append(np.pad(x[s : s + WINDOW], (0, pad)))
             tags.append(np.pad(y[s : s + WINDOW], (0, pad)))
@@ -142,73 +149,175 @@ def trained_model(examples: int = 1500, seed: int = 5) -> BiLstmCrf:
 
 # ---- decoding ----
 
+_SHAPE = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Connected stretches within CONTEXT of a digit or an @, each carried on at both ends through the non-blank run there and CONTEXT more."""
-    out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        a, b = max(0, m.start() - CONTEXT), min(len(text), m.start() + CONTEXT + 1)
-        low = out[-1][1] if out else 0
-        if b + CONTEXT <= low:
-            continue
-        while a > low and not text[a - 1].isspace():
-            a -= 1
-        b = min(len(text), _RUN.match(text, b).end() + CONTEXT)
-        if out and a - CONTEXT <= low:
-            out[-1][1] = max(low, b)
-        else:
-            out.append([max(0, a - CONTEXT), b])
-    return [(a, b) for a, b in out]
 
+@dataclass
+class _Job:
+    """Some places of one text that hold a digit or an @."""
 
-_SHAPE = 1 + np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]).astype(np.float32)
+    text: int
+    ids: np.ndarray
+    anchors: np.ndarray
+
+
+def _symbols(text: str) -> np.ndarray:
+    return char_ids(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
 
 
 def model_spans(texts: list[str], model: BiLstmCrf) -> list[list[tuple[str, int, int]]]:
     """Spans that the model finds in each text."""
-    out, jobs, held = [], [], 0
-    for k, text in enumerate(texts):
-        out.append([])
-        for a, b in stretches(text):
-            jobs.append((k, a, char_ids(np.frombuffer(text[a:b].encode("utf-32-le", "replace"), np.uint32).astype(np.int64))))
-            held += b - a
-        if held > HELD or k == len(texts) - 1:
-            for n, a, tags in _decoded(jobs, model):
-                out[n] += _spans_of(tags, a, texts[n])
-            jobs, held = [], 0
-    return out
+    found: list[set] = [set() for _ in texts]
+    jobs: list[_Job] = []
+    held = 0
 
+    def done():
+        nonlocal jobs, held
+        for k, a, tags in _decoded(jobs, model):
+            found[k].update(_spans_of(tags, a, texts[k]))
+        jobs, held = [], 0
 
-def _decoded(jobs: list[tuple[int, int, np.ndarray]], model: BiLstmCrf) -> Iterator[tuple[int, int, np.ndarray]]:
-    starts = [(j, s) for j, (_, _, x) in enumerate(jobs) for s in windows_of(len(x))]
-    sums = [np.zeros((len(x), model.tags), np.float32) for _, _, x in jobs]
-    weights = [np.zeros(len(x), np.float32) for _, _, x in jobs]
-    for i in range(0, len(starts), AT_ONCE):
-        part = starts[i : i + AT_ONCE]
+    for k, text in enumerate(texts):
+        anchors = np.array([m.start() for m in _ANCHOR.finditer(text)], np.int64)
+        if not len(anchors):
+            continue
+        ids, cells = _symbols(text), anchors // HOP
+        new = np.cumsum(np.diff(cells, prepend=-1) > 0) // HELD  # a text of very many such cells is several jobs
+        for part in range(int(new[-1]) + 1):
+            jobs.append(_Job(k, ids, anchors[new == part]))
+            held += len(np.unique(cells[new == part]))
+            if held >= HELD:
+                done()
+    if jobs:
+        done()
+    return [sorted(x) for x in found]
+
+
+def _decoded(jobs: list[_Job], model: BiLstmCrf) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(text, first place, tags) of stretches that hold all places of the jobs which may be in a span."""
+    size = np.array([len(j.ids) for j in jobs])
+    n_cells, last = -(-size // HOP), np.array([last_window(n) for n in size])
+    first = np.concatenate([[0], np.cumsum(n_cells + 1)])[:-1]  # a cell is left free after each text, so that texts don't touch
+    job = np.repeat(np.arange(len(jobs)), [len(j.anchors) for j in jobs])
+    spot = np.concatenate([j.anchors for j in jobs]) + first[job] * HOP
+    of_cell = lambda c: np.searchsorted(first, c, side="right") - 1
+    inside = lambda c: c[(c >= 0) & (c - first[(o := of_cell(np.maximum(c, 0)))] < n_cells[o])]
+    near = lambda c: inside(np.unique(np.concatenate([c - 1, c, c + 1])))
+    have, scores = np.zeros(0, np.int64), np.zeros((0, WINDOW, model.tags), np.float32)
+    cells = near(np.unique(spot // HOP))
+    while len(spot):
+        # Windows are numbered like the cells that they begin with.
+        of = of_cell(cells)
+        local = cells - first[of]
+        pairs = [(cells, local <= last[of], 0), (cells - 1, (local >= 1) & (local - 1 <= last[of]), HOP)]
+        new = np.setdiff1d(np.concatenate([w[ok] for w, ok, _ in pairs]), have)
+        have, at = np.unique(np.concatenate([have, new]), return_index=True)
+        scores = np.concatenate([scores, *_windows(jobs, new, of_cell, first, model)])[at]
+        em, weight = np.zeros((len(cells), HOP, model.tags), np.float32), np.zeros((len(cells), HOP, 1), np.float32)
+        for w, ok, part in pairs:
+            shape = _SHAPE[part : part + HOP, None]
+            em[ok] += scores[np.searchsorted(have, w[ok]), part : part + HOP] * shape
+            weight[ok] += shape
+        em /= weight
+        lengths = np.minimum(HOP, size[of] - local * HOP)
+        sure = _sure(em, cells, lengths, local == 0, local == n_cells[of] - 1, model)
+
+        # The stretch of places not known to be O around each spot, and whether it ends within what has scores.
+        flat, place = sure.ravel(), (cells[:, None] * HOP + np.arange(HOP)).ravel()
+        begins, ends = np.repeat(np.diff(cells, prepend=-9) > 1, HOP), np.repeat(np.diff(cells, append=cells[-1] + 9) > 1, HOP)
+        inner = np.tile(np.arange(HOP), len(cells))
+        stop_left, stop_right = begins & (inner == 0), ends & (inner == np.repeat(lengths - 1, HOP)) | (inner >= np.repeat(lengths, HOP))
+        index = np.arange(len(flat))
+        low = np.maximum.accumulate(np.where(flat, index + 1, np.where(stop_left, index, 0)))
+        high = np.minimum.accumulate(np.where(flat, index - 1, np.where(stop_right, index, len(flat)))[::-1])[::-1]
+        here = np.searchsorted(place, spot)
+        open_ = ~flat[here]
+        spot, here = spot[open_], here[open_]
+        a, b = low[here], high[here]
+        more_left, more_right = stop_left[a] & ~np.repeat(local == 0, HOP)[a], stop_right[b] & ~np.repeat(local == n_cells[of] - 1, HOP)[b]
+        ready = ~(more_left | more_right)
+        if ready.any():
+            yield from _best(em.reshape(-1, model.tags), np.unique(np.stack([a[ready], b[ready]], 1), axis=0), stop_left, stop_right, place, of_cell, first, jobs, model)
+        # What is left goes on with its own stretches, wider by as many cells as they have.
+        spot, a, b, more_left, more_right = spot[~ready], a[~ready], b[~ready], more_left[~ready], more_right[~ready]
+        if len(spot):
+            lo, hi = place[a] // HOP, place[b] // HOP
+            wide = np.minimum(hi - lo + 1, 8)
+            o = of_cell(spot // HOP)
+            lo, hi = np.maximum(first[o], lo - np.where(more_left, wide, 1)), np.minimum(first[o] + n_cells[o] - 1, hi + np.where(more_right, wide, 1))
+            cells = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in np.unique(np.stack([lo, hi], 1), axis=0)]))
+
+
+def _windows(jobs: list[_Job], windows: np.ndarray, of_cell, first: np.ndarray, model: BiLstmCrf) -> Iterator[np.ndarray]:
+    for i in range(0, len(windows), AT_ONCE):
+        part = windows[i : i + AT_ONCE]
         ids = np.zeros((len(part), WINDOW), np.int16)
-        for r, (j, s) in enumerate(part):
-            x = jobs[j][2][s : s + WINDOW]
+        for r, (w, j) in enumerate(zip(part, of_cell(part), strict=True)):
+            x = jobs[j].ids[(w - first[j]) * HOP :][:WINDOW]
             ids[r, : len(x)] = x
-        for (j, s), em in zip(part, model.emissions(ids), strict=True):
-            n = min(WINDOW, len(sums[j]) - s)
-            sums[j][s : s + n] += em[:n] * _SHAPE[:n, None]
-            weights[j][s : s + n] += _SHAPE[:n]
-    for (k, a, _), em, w in zip(jobs, sums, weights, strict=True):
-        yield k, a, model.viterbi(em / w[:, None])
+        yield model.emissions(ids)
+
+
+def _sure(em: np.ndarray, cells: np.ndarray, lengths: np.ndarray, begins: np.ndarray, ends: np.ndarray, model: BiLstmCrf) -> np.ndarray:
+    """Places (cells, HOP) that are O in any case.  Runs of cells are taken in pieces, each with a cell more on either side, which all are looked at together."""
+    start = np.flatnonzero(np.diff(cells, prepend=-9) > 1)
+    stop = np.append(start[1:], len(cells))
+    own = np.array([(x, min(x + PIECE, b), a, b) for a, b in zip(start, stop, strict=True) for x in range(a, b, PIECE)])
+    lo, hi = np.maximum(own[:, 0] - 1, own[:, 2]), np.minimum(own[:, 1] + 1, own[:, 3])
+    n = (hi - lo - 1) * HOP + lengths[hi - 1]
+    order = np.argsort(-n, kind="stable")
+    own, lo, hi, n = own[order], lo[order], hi[order], n[order]
+    out = np.zeros((len(cells), HOP), bool)
+    for i in range(0, len(n), 2048):
+        part = slice(i, i + 2048)
+        grid = np.minimum(lo[part, None] + np.arange(int((hi - lo)[part].max())), len(cells) - 1)
+        piece = em[grid].reshape(len(grid), -1, em.shape[2])[:, : n[i]]
+        found = model.surely_outside(piece, n[part], begins[lo[part]], ends[hi[part] - 1])
+        for r, (x, y, l) in enumerate(zip(own[part, 0], own[part, 1], lo[part], strict=True)):
+            mine = found[r, (x - l) * HOP : (y - l) * HOP]
+            out[x:y].reshape(-1)[: len(mine)] = mine
+    return out
+
+
+def _best(em, stretches, stop_left, stop_right, place, of_cell, first, jobs, model) -> Iterator[tuple[int, int, np.ndarray]]:
+    stretches = stretches[np.argsort(stretches[:, 0] - stretches[:, 1], kind="stable")]  # the longest first
+    n = stretches[:, 1] - stretches[:, 0] + 1
+    i = 0
+    while i < len(n):
+        part = slice(i, i + max(1, HELD * HOP // int(n[i])))
+        a, b = stretches[part].T
+        piece = em[np.minimum(a[:, None] + np.arange(n[i]), len(em) - 1)]
+        tags = model.best_tags(piece, n[part], ~stop_left[a], ~stop_right[b])
+        for r in np.flatnonzero(tags.any(1)):
+            j = of_cell(place[a[r]] // HOP)
+            yield jobs[j].text, int(place[a[r]] - first[j] * HOP), tags[r, : n[part][r]]
+        i = part.stop
+
+
+def full_spans(text: str, model: BiLstmCrf) -> list[tuple[str, int, int]]:
+    """The same by scoring every window and decoding the whole text: what model_spans is held against."""
+    ids = _symbols(text)
+    total, weight = np.zeros((len(ids), model.tags), np.float32), np.zeros(len(ids), np.float32)
+    for s in range(0, last_window(len(ids)) * HOP + 1, HOP) if len(ids) else ():
+        x = np.zeros((1, WINDOW), np.int16)
+        x[0, : len(ids) - s] = ids[s : s + WINDOW]
+        n = min(WINDOW, len(ids) - s)
+        total[s : s + n] += model.emissions(x)[0, :n] * _SHAPE[:n, None]
+        weight[s : s + n] += _SHAPE[:n]
+    return _spans_of(model.viterbi(total / weight[:, None]), 0, text) if len(ids) else []
 
 
 def _spans_of(tags: np.ndarray, at: int, text: str) -> list[tuple[str, int, int]]:
-    out, t = [], 0
-    while t < len(tags):
-        end = t + 1
-        if tags[t]:
-            kind = (tags[t] - 1) // 2
-            while end < len(tags) and tags[end] == 2 + 2 * kind:
-                end += 1
-            span = text[at + t : at + end]
-            if _ANCHOR.search(span):
-                out.append((KINDS[kind], at + t, at + t + len(span.rstrip())))
-        t = end
+    out, end = [], 0
+    for t in np.flatnonzero(tags).tolist():
+        if t < end:
+            continue
+        kind, end = (int(tags[t]) - 1) // 2, t + 1
+        while end < len(tags) and tags[end] == 2 + 2 * kind:
+            end += 1
+        span = text[at + t : at + end]
+        if _ANCHOR.search(span):
+            out.append((KINDS[kind], at + t, at + t + len(span.rstrip())))
     return out
 
 
