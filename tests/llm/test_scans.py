@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 from pathlib import Path
 
 import pyarrow as pa
@@ -231,16 +232,35 @@ def test_canonical_forms(spark):
     assert licenses.scan_licenses(both.union(both)).first()[2:] == (2, 2)
 
 
-def test_entire_licenses(spark):
-    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+#: Entire texts by identifier, and files in Debian's folder of licences.
+ENTIRE = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def wrapped(text, width):
+    paragraphs = (" ".join(x.split()) for x in re.split(r"\n\s*\n", text))
+    return "\n\n".join(textwrap.fill(x, width, break_long_words=False, break_on_hyphens=False) for x in paragraphs)
+
+
+def test_entire_licenses_however_wrapped(spark):
     at = Path("/usr/share/common-licenses")
-    if not all((at / x).exists() for x in files):
-        pytest.skip("texts aren't on this machine")
-    texts = [(at / x).read_text() for x in files]
+    texts = [(name, (at / x).read_text(errors="replace")) for name, x in ENTIRE.items() if (at / x).exists()]
     end = "END OF TERMS AND CONDITIONS"
-    short = [t[: t.index(end) + len(end)] if end in t else t for t in texts]
-    got = licenses.scan_licenses(docs_of(spark, [*texts, *short])).where("n_text > 0").collect()
-    assert sorted((r.doc_id, r.license, r.n_text) for r in got) == [(k, x, 1) for k, x in enumerate([*files.values()] * 2)]
+    texts += [(name, t[: t.index(end) + len(end)]) for name, t in texts if end in t]
+    texts += [(name, t) for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause") for t in LICENSES[name] if len(t) > 300]
+    texts += [(name, f"Copyright (c) 2020, 2021 Some Body, Inc.\nAll rights reserved.\n\n{t}") for name, t in texts[-8:]]
+    forms = [(name, form) for name, t in texts for form in (t, " ".join(t.split()), *(wrapped(t, w) for w in (40, 60, 70, 79, 100, 120)))]
+    got = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, [t for _, t in forms])).where("n_text > 0").collect()}
+    assert got == {k: name for k, (name, _) in enumerate(forms)}
+
+
+def test_only_notices_are_taken_for_copyright_notices():
+    keep = ["copyright notice and this permission notice", "(c) you must retain all copyright", "copyright law", "the copyright holder 2020"]
+    for x in keep:
+        assert licenses.canonical_python(f"permission is hereby granted\n{x}") == licenses.canonical_python(f"permission is hereby granted {x}") != "permission is hereby granted"
+    gone = ["Copyright (c) 2020 A", "© 2020 A, B", "(C) Copyright 1999-2003 A. All rights reserved.", "Copyright 2020 A\nCopyright 2021 B\nall rights  reserved"]
+    for x in gone:
+        assert licenses.canonical_python(f"{x}\n\nRedistribution and use x") == "redistribution and use x" == licenses.canonical_python(f"{x} Redistribution and use x")
+    assert licenses.canonical_python("Copyright (c) 2020 A. Released under MIT.") == "released under mit"
 
 
 def test_other_digests(spark):
@@ -250,7 +270,7 @@ def test_other_digests(spark):
 
 
 def test_canonical_python_is_the_same(spark):
-    texts = [t for x in LICENSES.values() for t in x] + ["Ünï (C) x\n copyright foo\nAll rights reserved.\nv 2 LICENCE  sub-licence"]
+    texts = [t for x in LICENSES.values() for t in x] + ["Ünï (C) x\n copyright foo\nAll rights reserved.\nv 2 LICENCE  sub-licence", " \n Copyright ©\n2020 x\n \ny", "x (c) 2020 y\n", "Copyright 2020" + " x" * 200 + "\n\ny"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(licenses.F.col("t"))).collect()
     assert [r[0] for r in got] == [licenses.canonical_python(t) for t in texts]
 

@@ -110,10 +110,17 @@ LICENSES: dict[str, list[str]] = {
 
 #: md5 of the canonical form of entire texts that are too long to stand here, as in Debian's /usr/share/common-licenses: with what follows "END OF TERMS AND CONDITIONS", and up to it.
 DIGESTS: dict[str, list[str]] = {
-    "Apache-2.0": ["b27c759862531cc87d642844b66233c5", "140fc7dd3fe13f9e3a727dc78d989884"],
-    "GPL-3.0": ["057f186a69ca5796ed5fd60ffc00e686", "9622e348e3655fc913d2a9a03f2362b1"],
-    "GPL-2.0": ["e374d0b43c25aed1a2b28951fe92a546", "cbb3451938de95cbb302d3c10690ede8"],
-    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
-    "MPL-2.0": ["d6b1c6968967dbdd8154736ff657ee32"],
+    "Apache-2.0": ["184d4af64a58c708bcf4cb2468396a96", "8d99569c7b33d2f613388e7f7b6676c3"],
+    "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
     "CC0-1.0": ["dcb3226ed1c311f82507296410434b55"],
+    "GFDL-1.2": ["ab7b5c327701da3f51c4685be3637e7b"],
+    "GFDL-1.3": ["3684ce789cf10740b9525e2f664b19b8"],
+    "GPL-1.0": ["fc612179e94c9cb3923841860cfa9a4e", "3aecf3f85b2a7e1cf719c688a1c214fa"],
+    "GPL-2.0": ["cb1eb18b44b31180cc7a0abc196d0eb5", "08fc7904273686408e9b590734de5b14"],
+    "GPL-3.0": ["3b0dde2c42fd48066d699b996be97e73", "444f95dc767ede978b60cfb20fbd0bca"],
+    "LGPL-2.0": ["0a25d2aecfda735541d43229ff8080bd", "2ea042204e231b3b068b34aabcb576c6"],
+    "LGPL-2.1": ["289ba0a8647a7ad2647bd232a2712184", "779e2ace56e0d116674a950a1728889b"],
+    "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "MPL-1.1": ["0f0c1f60803aac0283d5423bdccdfcc4"],
+    "MPL-2.0": ["47daab7b99aa07cc72294488182970a7"],
 }

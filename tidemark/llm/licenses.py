@@ -1,8 +1,9 @@
 """Licence scan: whole texts and whole lines are brought to a canonical form, and its digest is looked up.
 
 DataFrame functions only.  The rules of the canonical form (case, punctuation,
-copyright lines, equivalent spellings) follow the public matching guidelines of
-the SPDX licence list.
+copyright notices, equivalent spellings) follow the public matching guidelines of
+the SPDX licence list.  Copyright lines are told by what a notice has (a sign, a
+year), not by the word alone, with which wrapped lines of a licence begin too.
 """
 
 from __future__ import annotations
@@ -31,15 +32,27 @@ SPELLINGS = [
 ]
 #: A canonical text that is known has one of these; others are not looked up.
 MARKERS = ("licens", "permission", "redistribution", "released under", "distributed under", "available under")
-_COPYRIGHT = r"(?m)^[^\S\n]*(all rights reserved|copyright|\(c\)|©)[^\n]*$"
-_AFTER = [(r"[^a-z0-9\n]+", " "), (r"\s+", " ")]
+#: What a licence or notice begins with after the copyright notice, wherever lines are broken.
+OPENINGS = (
+    "permission is hereby granted", "permission to use", "redistribution and use", "everyone is permitted", "this program is free software", "this program comes with", "gnomovision comes with",
+    "this library is free software", "this work is licensed", "licensed under", "released under", "distributed under", "available under",
+)
+#: A copyright notice: the word and a sign, a year or a place for one, or a sign and a year; then up to NOTICE characters to an opening, an empty line, "all rights reserved" or the end.
+NOTICE = 300
+_YEAR = r"[12][0-9]{3}|\[yyyy\]|<year>"
+_BEGINS = rf"(copyright\s*(\(c\)|©|{_YEAR})|(\(c\)|©)\s*(copyright|[12][0-9]{{3}}))"
+_RULES = [
+    (rf"(?s){_BEGINS}.{{0,{NOTICE}}}?({'|'.join(x.replace(' ', r'\s+') for x in (*OPENINGS, 'all rights reserved'))}|\n\s*\n|$)", 5),
+    (r"all\s+rights\s+reserved", 0),
+    (r"[^a-z0-9]+", 0),
+]
 
 
 def canonical_python(text: str) -> str:
     """The same form for the table of known digests."""
-    x = re.sub(_COPYRIGHT, " ", text.lower())
-    for a, b in _AFTER:
-        x = re.sub(a, b, x)
+    x = text.lower().strip()
+    for pattern, group in _RULES:
+        x = re.sub(pattern, rf" \{group} " if group else " ", x)
     x = f" {x.strip()} "
     for a, b in SPELLINGS:
         x = x.replace(f" {a} ", f" {b} ")
@@ -47,9 +60,10 @@ def canonical_python(text: str) -> str:
 
 
 def canonical(text: Column) -> Column:
-    x = F.regexp_replace(F.lower(text), _COPYRIGHT, " ")
-    for a, b in _AFTER:
-        x = F.regexp_replace(x, a, b)
+    """Lower case, no copyright notices, no punctuation, one spelling.  Where lines are broken makes no difference, but that a notice ends at an empty line too."""
+    x = F.regexp_replace(F.lower(text), r"^\s+|\s+$", "")
+    for pattern, group in _RULES:
+        x = F.regexp_replace(x, pattern, f" ${group} " if group else " ")
     x = F.concat(F.lit(" "), F.trim(x), F.lit(" "))
     for a, b in SPELLINGS:
         x = F.replace(x, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -95,9 +109,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def oracle(table: str = "documents") -> str:
     """The same in DuckDB's SQL."""
-    x = f"regexp_replace(lower(unit), '{_COPYRIGHT.removeprefix('(?m)')}', ' ', 'gm')"
-    for a, b in _AFTER:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    x = r"regexp_replace(lower(unit), '^\s+|\s+$', '', 'g')"
+    for pattern, group in _RULES:
+        x = f"regexp_replace({x}, '{pattern}', '{f' \\{group} ' if group else ' '}', 'g')"
     x = f"' ' || trim({x}) || ' '"
     for a, b in SPELLINGS:
         x = f"replace({x}, ' {a} ', ' {b} ')"
