@@ -93,7 +93,7 @@ def test_sketches_merge(spark):
 # ---- line dedup ----
 
 
-def brute_lines(rows, ratio=line_dedup.RATIO, least=line_dedup.LEAST_PAGES):
+def brute_lines(rows, ratio=line_dedup.RATIO, least=2):
     pages = {}
     for _, t, s in rows:
         if t is not None:
@@ -106,8 +106,6 @@ def brute_lines(rows, ratio=line_dedup.RATIO, least=line_dedup.LEAST_PAGES):
             continue
         lines = t.split("\n")
         kept = [x for x in lines if not x.strip(" ") or x.strip(" ") not in bad[s]]
-        if not any(x.strip(" ") for x in kept):
-            kept = lines
         out.append((i, "\n".join(kept), len(lines), len(lines) - len(kept)))
     return out
 
@@ -123,6 +121,21 @@ def test_line_dedup_like_brute_force(spark, small, monkeypatch):
     key = lambda x: (x[0], x[1] or "")
     assert sorted(map(tuple, got), key=key) == sorted(brute_lines(rows), key=key)
     assert line_dedup.drop_boilerplate(docs_of(spark, []), "source").count() == 0
+    alone = line_dedup.drop_boilerplate(docs_of(spark, rows), "source", least=1).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, alone), key=key) == sorted(brute_lines(rows, least=1), key=key)
+
+
+def test_line_dedup_by_host_of_url(spark):
+    urls = {"http://a.example.com/x": "a.example.com", "HTTPS://u:p@A.Example.COM.:8080?q#f": "a.example.com", "http://b.example.com": "b.example.com", "src1": "src1", "": "", "ftp:///x": "", None: None}
+    df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", line_dedup.host_of(F.col("u")).alias("h"))
+    assert {r.u: r.h for r in df.collect()} == urls
+    rows = [(k, f"menu\nown {k}", f"http://{'ab'[k % 2]}.example.com/{k}") for k in range(6)] + [(7, "menu\nown", "http://c.example.com/")]
+    extra = {"n_lines": "mine", "n_dropped": "too", "__host": "h", "__bad": "b", "__split": "p", "__own": "o", "__kept": "k"}
+    df = docs_of(spark, rows).withColumns({k: F.lit(x) for k, x in extra.items()})
+    got = line_dedup.drop_boilerplate(df, "source")
+    assert got.columns == [*df.columns, "n_lines_", "n_dropped_"]
+    assert {r.doc_id: (r.text, r.n_lines_, r.n_dropped_) for r in got.collect()} == {**{k: (f"own {k}", 2, 1) for k in range(6)}, 7: ("menu\nown", 2, 0)}
+    assert all(r[k] == x for r in got.collect() for k, x in extra.items())
 
 
 # ---- toxicity ----

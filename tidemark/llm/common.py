@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset and all tasks run in this process (tests)."""
+    context = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -63,6 +66,13 @@ def small_enough(ids: DataFrame, limit: int = SMALL_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= limit else ids
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores after it as no column of df is called."""
+    while name.lower() in {x.lower() for x in df.columns}:
+        name += "_"
+    return name
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches whose memory is bounded."""
     spark = df.sparkSession

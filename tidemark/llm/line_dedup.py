@@ -5,26 +5,37 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, unused
 
-#: A line goes if it is on more than this share of its host's pages, and on at least so many pages.
-RATIO, LEAST_PAGES = 0.05, 5
+#: A line goes if it is on more than this share of its host's pages.
+RATIO = 0.05
 #: Hashes and hosts of boilerplate up to which the table is broadcast (16 bytes each); a larger one is joined by shuffle.
 SMALL = 1_000_000
 
 
-def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float = RATIO, least: int = LEAST_PAGES, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port and a last dot; what has no scheme, like the name of a source, is a host itself."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"\.$", "")
+    return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), host).otherwise(url)
+
+
+def drop_boilerplate(df: DataFrame, url: str, text: str = "text", ratio: float = RATIO, least: int = 2, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The rows of df with the boilerplate lines of their host taken out of the text, and two columns (long) with how many
-    lines it had and lost, named by counts_as.
+    lines it had and lost, named by counts_as; a column of df that is called so stays, and the new one gets an underscore more.
+
+    url: the column whose host_of is a page's host.  A line goes if it is on more
+    than `ratio` of the host's pages, and on at least `least`: on 2, since a line
+    that a host has on one page only repeats nothing, however few pages there are
+    (1: the ratio alone, by which hosts of fewer than 1 / ratio pages lose all
+    their texts).  A page of which every line goes has an empty text.
 
-    Pages are counted by distinct texts of a host: copies of a page count once,
-    so that copying a page doesn't make its content boilerplate.  Lines are
-    compared without spaces at their ends; blank lines are never dropped.  A page
-    of which every line with content would go stays whole: it is the content.  A
-    null text stays null and has no lines; null hosts are one host.  Repeated
+    A page is a distinct text of a host: copies under other ids are one page, so
+    that copying a page doesn't make its content boilerplate.  Lines are compared
+    without spaces at their ends; blank lines are never dropped.  A null text
+    stays null, is no page and has no lines; null hosts are one host.  Repeated
     rows stay.
 
     A host has at most (its mean lines a page) / ratio boilerplate lines, so the
@@ -33,9 +44,10 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     third of all pages is no burden.  Up to SMALL hashes the arrays are broadcast
     and the texts aren't shuffled; beyond, Spark can split the join by host.
     """
+    n_lines, n_dropped, at, bad_here, split, own, kept = (unused(df, x) for x in (*counts_as, "__host", "__bad", "__split", "__own", "__kept"))
     clean = lambda x: F.xxhash64(F.trim(x))
     hashes = F.array_distinct(F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: F.trim(x) != ""), clean))
-    pages = df.where(F.col(text).isNotNull()).select(F.col(host).alias("__host"), F.xxhash64(text).alias("__page"), hashes.alias("__lines"))
+    pages = df.where(F.col(text).isNotNull()).select(host_of(F.col(url)).alias("__host"), F.xxhash64(text).alias("__page"), hashes.alias("__lines"))
     # One row for each distinct text: hashes and not texts are shuffled, and copies meet map-side.
     pages = pages.groupBy("__host", "__page").agg(F.first("__lines").alias("__lines"))
     # The total of a host is counted as the lines are, as one more line, in the same pass.
@@ -45,16 +57,15 @@ def drop_boilerplate(df: DataFrame, host: str, text: str = "text", ratio: float
     bad = lines.join(total, F.col("__host").eqNullSafe(F.col("__of"))).where(F.col("count") > F.col("__total") * ratio).groupBy("__host").agg(F.collect_list("__h").alias("__bad"))
     bad = cut(bad)
     entries = bad.agg(F.coalesce(F.sum(F.size("__bad")), F.lit(0)) + F.count("*")).first()[0]
-    bad = F.broadcast(bad) if entries <= SMALL else bad
-    out = df.join(bad, F.col(host).eqNullSafe(F.col("__host")), "left").withColumn("__split", F.split(F.col(text), "\n"))
-    kept = F.filter("__split", lambda x: (F.trim(x) == "") | ~F.coalesce(F.array_contains(F.col("__bad"), clean(x)), F.lit(False)))
-    out = out.withColumn("__kept", F.when(F.col("__bad").isNull(), F.col("__split")).otherwise(kept))
-    n_lines, n_dropped = counts_as
-    whole = ~F.exists("__kept", lambda x: F.trim(x) != "")
+    bad = F.broadcast(bad.toDF(at, bad_here)) if entries <= SMALL else bad.toDF(at, bad_here)
+    out = df.join(bad, host_of(F.col(url)).eqNullSafe(F.col(at)), "left").withColumn(split, F.split(F.col(text), "\n"))
+    # What a text has of its host's lines is found by hashing, and is short; only that is searched line by line.
+    out = out.withColumn(own, F.array_intersect(F.transform(split, clean), bad_here))
+    rest = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(own), clean(x)))
+    out = out.withColumn(kept, F.when(F.size(own) > 0, rest).otherwise(F.col(split)))
     return (
-        out.withColumn("__kept", F.when(whole, F.col("__split")).otherwise(F.col("__kept")))
-        .withColumn(n_lines, F.when(F.col(text).isNull(), 0).otherwise(F.size("__split")).cast("long"))
-        .withColumn(n_dropped, F.when(F.col(text).isNull(), 0).otherwise(F.size("__split") - F.size("__kept")).cast("long"))
-        .withColumn(text, F.when(F.col(n_dropped) == 0, F.col(text)).otherwise(F.array_join("__kept", "\n")))
-        .drop("__host", "__bad", "__split", "__kept")
+        out.withColumn(n_lines, F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long"))
+        .withColumn(n_dropped, F.when(F.col(text).isNull(), 0).otherwise(F.size(split) - F.size(kept)).cast("long"))
+        .withColumn(text, F.when(F.col(n_dropped) == 0, F.col(text)).otherwise(F.array_join(kept, "\n")))
+        .drop(at, bad_here, split, own, kept)
     )

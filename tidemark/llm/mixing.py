@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, unused
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: A hash has 60 bits and is refined so many at a time.
@@ -75,9 +75,12 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         state = cut(state.join(first, F.col("s").eqNullSafe(F.col("of")), "left").select("s", F.when(here, F.col("left")).otherwise(F.col("budget")).alias("budget"), F.when(top, F.lit(2**HASH_BITS)).otherwise(low).alias("low"), here.alias("open")))
     rounds = plan.join(state, F.col("source").eqNullSafe(F.col("s"))).select(F.col("s").alias("__of"), "source_size", "target", full.alias("__full"), F.col("low").alias("__threshold"))
     if keep:
-        rows = df.withColumns({"__source": F.col(source_col), "__size": size, "__hash": hashed}).drop("size", "source_size", "target", "times", "taken").withColumnRenamed("__size", "size")
+        own, own_size, own_hash = (unused(df, x) for x in ("__source", "__size", "__hash"))
+        rows = df.withColumns({own: F.col(source_col), own_size: size, own_hash: hashed}).drop("size", "source_size", "target", "times", "taken").withColumnRenamed(own_size, "size")
     else:
-        rows = sized.withColumnRenamed("hash", "__hash").withColumn("__source", F.col("source"))
-    rows = rows.join(small(rounds), F.col("__source").eqNullSafe(F.col("__of")))
-    times = (F.col("__full") + F.when(F.col("__hash") < F.col("__threshold"), 1).otherwise(0)).cast("long")
-    return rows.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop("__source", "__hash", "__of", "__full", "__threshold")
+        own, own_hash = "__source", "__hash"
+        rows = sized.withColumnRenamed("hash", own_hash).withColumn(own, F.col("source"))
+    of, full_rounds, threshold = (unused(rows, x) for x in ("__of", "__full", "__threshold"))
+    rows = rows.join(small(rounds.withColumnsRenamed({"__of": of, "__full": full_rounds, "__threshold": threshold})), F.col(own).eqNullSafe(F.col(of)))
+    times = (F.col(full_rounds) + F.when(F.col(own_hash) < F.col(threshold), 1).otherwise(0)).cast("long")
+    return rows.withColumn("times", times).withColumn("taken", F.col("size") * F.col("times")).drop(own, own_hash, of, full_rounds, threshold)

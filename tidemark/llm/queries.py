@@ -55,12 +55,11 @@ OP3_SQL = f"""
     WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
     totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
     lines AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10)))) AS line FROM pages) WHERE line <> '' GROUP BY ALL),
-    bad AS (SELECT l.source, list(line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= {line_dedup.LEAST_PAGES} AND n > total * {line_dedup.RATIO} GROUP BY l.source),
+    bad AS (SELECT l.source, list(line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > total * {line_dedup.RATIO} GROUP BY l.source),
     split AS (SELECT doc_id, d.source, text, coalesce(string_split(text, chr(10)), []) AS every, coalesce(bad, []) AS bad FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source),
-    kept AS (SELECT *, list_filter(every, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) AS chosen FROM split),
-    done AS (SELECT *, CASE WHEN len(list_filter(chosen, lambda x: trim(x) <> '')) = 0 THEN every ELSE chosen END AS final FROM kept)
+    kept AS (SELECT *, list_filter(every, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) AS final FROM split)
     SELECT doc_id, source, CAST(len(every) AS BIGINT) AS n_lines, CAST(len(every) - len(final) AS BIGINT) AS n_dropped,
-        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(final, chr(10)) END AS text FROM done"""
+        CASE WHEN text IS NULL THEN NULL ELSE array_to_string(final, chr(10)) END AS text FROM kept"""
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
