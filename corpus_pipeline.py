@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import toxicity as tox
-from tidemark.llm.common import cut, discard, scratch_path, small_enough, stored, table
+from tidemark.llm.common import cut, discard, scratch_path, small_enough, stored, table, unused
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.line_dedup import drop_boilerplate
 from tidemark.llm.mixing import mix_sources
@@ -29,8 +29,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars is that of the new text."""
-    out = drop_boilerplate(docs, "source", counts_as=("__lines", "__dropped"))
-    return out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    names = unused(docs, "__lines"), unused(docs, "__dropped")
+    out = drop_boilerplate(docs, "source", counts_as=names)
+    return out.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
