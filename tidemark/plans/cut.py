@@ -11,9 +11,11 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows in the shared checkpoint folder: a plan of one leaf, which survives lost executors.
 
     The folder is the one that the cluster names in spark.checkpoint.dir; one of
-    our own is set only where there is none, as in tests.
+    our own is set only where there is none and all tasks run in this process, as in tests.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
     return df.checkpoint(eager=True)
