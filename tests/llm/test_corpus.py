@@ -61,18 +61,37 @@ def test_fingerprint_query(spark):
         assert same.setdefault(text, got[i].fingerprint) == got[i].fingerprint
 
 
-@pytest.mark.parametrize("ids", [[5], [0, 1, 2], [1023, 1024, 5000, 2**40, -3, 2**21, 2**21 + 1], []])
-def test_next_over_blocks(spark, ids):
-    df = docs_of(spark, [(i, f"t{i}", "s") for i in ids])
-    got = {r.doc_id: r.next.text for r in fingerprint.with_next(df.select("doc_id", "text"), "doc_id", ["text"]).collect()}
+SPARSE = [random.Random(8).getrandbits(62) for _ in range(500)]
+
+
+@pytest.mark.parametrize("ids", [[5], [0, 1, 2], [1023, 1024, 5000, 2**40, -3, 2**21, 2**21 + 1], [], SPARSE, [*range(300), 2**62]])
+def test_next_of_any_ids(spark, ids):
+    df = docs_of(spark, [(i, f"t{i}", "s") for i in ids]).repartition(3)
+    got = {r.doc_id: tuple(r.next) for r in fingerprint.with_next(df, "doc_id", "text", ["lang"], need=F.lit(2)).collect()}
     order = sorted(ids)
-    assert got == {i: f"t{order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
+    assert got == {i: (x, f"t{x}"[:2], "en") for k, i in enumerate(order) for x in [order[(k + 1) % len(order)]]}
 
 
 def test_next_with_nulls_and_repeats(spark):
-    df = docs_of(spark, [(None, "n", "s"), (1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (2, "c", "s")])
-    got = sorted((r.doc_id or 0, r.text, r.next.text) for r in fingerprint.with_next(df.select("doc_id", "text"), "doc_id", ["text"]).collect())
-    assert got == [(0, "n", "a"), (1, "a", "b"), (1, "b", "c"), (2, "c", "c"), (2, "c", "n")]
+    rows = [(None, "n", "s"), (None, "m", "s"), (None, None, "s"), (1, "b", "s"), (1, "a", "s"), (2, "c", "s"), (2, "c", "s"), (2, "c", "t"), (9, "", "s")]
+    df = docs_of(spark, rows).withColumn("__id", F.lit("mine"))
+    got = [(r.doc_id, r.text, tuple(r.next)) for r in fingerprint.with_next(df, "doc_id", "text").collect()]
+    # A ring over the different (id, text) in order of ids; repeated rows share their next.
+    assert len(got) == len(rows) and all(len({n for i, t, n in got if (i, t) == x}) == 1 for x in {(i, t) for i, t, _ in got})
+    after = {(i, t): n for i, t, n in got}
+    ring, x = [], (None, "n")
+    while x not in ring:
+        ring.append(x)
+        x = after[x]
+    assert set(ring) == {(i, t) for i, t, _ in rows} and x == ring[0]
+    k = max(k for k, x in enumerate(ring) if x[0] is not None)
+    turned = [x[0] for x in ring[k + 1 :] + ring[: k + 1]]
+    assert turned == [None] * 3 + [1, 1, 2, 9]
+
+
+def test_next_has_no_window_over_all_rows(spark):
+    plan = queries.op2_fingerprints(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
 
 
 def test_sketches_merge(spark):

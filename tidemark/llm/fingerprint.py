@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK
+from .common import BLANK, cut, unused
 
 #: Words of a shingle and hashes kept; the standard error of a resemblance is at most 0.5 / sqrt(K).
 SHINGLE, K = 5, 128
-#: Consecutive ids that are put in order together.
-BLOCK_BITS = 10
 
 
 def words(text: Column) -> Column:
@@ -78,30 +76,34 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, what: list[str]) -> DataFrame:
-    """Adds next: a struct of the columns `what` of the next row by ascending key, of the first after the last.
+def with_next(df: DataFrame, key: str, text: str, what: list[str] | None = None, need: Column | None = None) -> DataFrame:
+    """Adds next: a struct of the key, text and columns `what` of the next document by ascending key, of the first after the last.
 
-    No window runs over all rows.  Blocks of 2 ** BLOCK_BITS ids are put in order side by
-    side; the last row of each block takes the first of the next one, found by
-    way of a table with one row for each block (its own blocks are put in order
-    the same way, and only one row for each 4 ** BLOCK_BITS ids meets in a task).
-    Null keys come first.  Rows that share a key follow each other by `what`.
+    need: so many code points of the next document's text are wanted, an
+    expression of this row's text (none: all).  Documents that share a key
+    follow each other by a hash of their texts; null keys come first.  Rows that
+    share key and text are one document and have the same next one.  Keys are
+    read as 64-bit integers.
+
+    No window and no task sees all rows.  Keys and hashes alone are put in order
+    by ranges, and a row's place gives the next one's; only the last places of
+    the ranges, one for each partition, come to the driver.  Texts are shuffled
+    once, by key and hash, and of the next text what is needed.  Keys may be as
+    sparse as they like; null or repeated ones spread by the texts' hashes.
     """
-    block = F.coalesce(F.shiftright(F.col(key).cast("long"), BLOCK_BITS), F.lit(-(2**62)))
-    rows = df.withColumn("__block", block)
-    order = [F.col(key).asc_nulls_first(), *(F.col(x).asc_nulls_first() for x in what if dict(df.dtypes)[x] == "string")]
-    inside = Window.partitionBy("__block").orderBy(*order)
-    # lead of the columns and not of a struct of them, which would be built, and shuffled, beside them.
-    rows = rows.withColumns({**{f"__next_{x}": F.lead(x).over(inside) for x in what}, "__last": F.lead(F.lit(1)).over(inside).isNull(), "__begins": F.lag(F.lit(1)).over(inside).isNull()})
-    rows = rows.withColumn("next", F.struct(*(F.col(f"__next_{x}").alias(x) for x in what))).drop(*(f"__next_{x}" for x in what))
-    # Which block follows which is found from ids alone.  The three uses of rows share one shuffle.
-    blocks = df.select(F.col(key).alias("__id"), block.alias("__block")).groupBy("__block").agg(F.count("*")).withColumn("__outer", F.shiftright("__block", BLOCK_BITS))
-    within, across = Window.partitionBy("__outer").orderBy("__block"), Window.orderBy("__outer")
-    outer = blocks.groupBy("__outer").agg(F.min("__block").alias("__low"))
-    least = outer.agg(F.min("__low").alias("__least"))
-    outer = outer.withColumn("__after", F.lead("__low").over(across)).crossJoin(F.broadcast(least)).select("__outer", F.coalesce("__after", "__least").alias("__after"))
-    follows = blocks.withColumn("__to", F.lead("__block").over(within)).join(outer, "__outer").select(F.col("__block").alias("__from"), F.coalesce("__to", "__after").alias("__block"))
-    firsts = rows.where("__begins").select("__block", F.struct(*what).alias("__head"))
-    heads = follows.join(firsts, "__block").select(F.col("__from").alias("__block"), "__head")
-    ends = rows.where("__last").join(heads, "__block").withColumn("next", F.col("__head")).drop("__head")
-    return rows.where("not __last").unionByName(ends).drop("__block", "__last", "__begins")
+    null, id_, tie = unused(df, "__null"), unused(df, "__id"), unused(df, "__tie")
+    rows = df.withColumns({null: F.col(key).isNull(), id_: F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long")), tie: F.xxhash64(text, F.col(key).isNull())})
+    order = [F.col("null").desc(), F.col("id"), F.col("tie")]
+    keys = rows.select(F.col(null).alias("null"), F.col(id_).alias("id"), F.col(tie).alias("tie"), (need if need is not None else F.lit(2**31 - 1)).cast("int").alias("need"))
+    keys = keys.groupBy("null", "id", "tie").agg(F.max("need").alias("need"), F.count("*").alias("n"))
+    placed = cut(keys.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "tie", "need", "n", F.monotonically_increasing_id().alias("at")))
+    # A place is its partition's number and, in the lower 33 bits, its own within that.
+    ends = sorted(r[0] for r in placed.groupBy(F.shiftright("at", 33)).agg(F.max("at").alias("end")).select("end").collect())
+    jumps = df.sparkSession.createDataFrame([(end, ends[(k + 1) % len(ends)] >> 33 << 33) for k, end in enumerate(ends)], "end long, begin long")
+    before = placed.join(F.broadcast(jumps), F.col("at") == F.col("end"), "left").select(F.coalesce("begin", F.col("at") + 1).alias("at"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), "need")
+    before = placed.select("at", F.col("id").alias("of_id"), F.col("tie").alias("of_tie")).join(before, "at").drop("at")
+    sent = rows.join(before, (F.col(id_) == F.col("of_id")) & (F.col(tie) == F.col("of_tie")))
+    sent = sent.select("to_id", "to_tie", F.struct(F.col(key), F.substring(F.col(text), F.lit(1), F.col("need")).alias(text), *(what or [])).alias("next"))
+    if not placed.where("n > 1").isEmpty():
+        sent = sent.dropDuplicates(["to_id", "to_tie"])
+    return rows.join(sent, (F.col(id_) == F.col("to_id")) & (F.col(tie) == F.col("to_tie"))).drop(null, id_, tie, "to_id", "to_tie")

@@ -28,10 +28,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = fp.with_next(fp.with_sketch(docs, F.col("text"), "own"), "doc_id", ["text", "own"])
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
-    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut)))
-    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), "edited")
+    docs = fp.with_next(fp.with_sketch(docs, F.col("text"), "own"), "doc_id", "text", ["own"], need=cut)
+    docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.col("next.text")))
+    docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), F.col("next.doc_id").alias("next_doc_id"), "edited")
     docs = fp.with_sketch(docs, F.col("edited"), "new")
     return docs.select(
         "doc_id",
@@ -43,6 +43,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fp.resemblance(F.col("own"), F.col("after")).alias("near_next"),
         fp.containment(F.col("own"), F.col("new")).alias("contained_in_edited"),
         fp.distinct_shingles(F.col("own")).alias("n_shingles"),
+        "next_doc_id",  # read here and for the next one's row, so that both share one shuffle of the texts
     )
 
 
