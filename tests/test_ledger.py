@@ -216,7 +216,7 @@ def test_read_errors(spark):
     entries = entries_of(spark, entry("a", "0", channel_id="1"), entry("b", "0", channel_id="2"))
     messages = spark.createDataFrame([(c, str(n), n, None, None, None, None) for c in "12" for n in range(1, 8)], MESSAGES)
     candidates = spark.createDataFrame([(1, "a", "0"), (2, "b", "0")], "rank int, entry_key string, cursor string")
-    errors = spark.createDataFrame([("a", 1)], "entry_key string, ok_pages int")
+    errors = spark.createDataFrame([("a", 1)], "entry_key string, ok_reads int")
     plan = catchup.plan_candidates(candidates, entries, messages, catchup.Limits(4, 12, 5, 3), errors)
     got = {r.entry_key: r for r in plan.collect()}
     assert (got["a"].status, got["a"].added, got["a"].new_cursor) == ("error", 3, "3")

@@ -36,6 +36,10 @@ def test_runs_until_caught_up(spark, tmp_path):
     final = {r.entry_key: r for r in state.load().collect()}
     assert (final["a"].last_written_message_id, final["a"].sync_status, final["a"].backlog_reason) == ("25", "healthy", None)
     assert [(r.entry_key, r.status, r.attempts, r.ordinal) for r in work.load().collect()] == [("a", "caught_up", 0, 0)]
+    for _ in range(2):
+        run.write_report(spark, got, f"{root}/reports/last")
+    assert run.read_report(spark, f"{root}/reports/last").first().ok is True
+    assert [(r.entry_key, r.added) for r in run.read_report(spark, f"{root}/reports/last", "entries").collect()] == [("a", 2)]
     with lock(spark, root), pytest.raises(Locked):
         run.catch_up(spark, root, messages, TODAY, "x")
 
@@ -51,6 +55,23 @@ def test_audit_requeues(spark, tmp_path):
     assert {r.entry_key: r.sync_status for r in state.load().collect()}["a"] == "partial"
 
 
+def test_audit_keeps_what_a_catch_up_changed(spark, tmp_path, monkeypatch):
+    """The ledger and queue are read under the lock, which a catch-up holds until it has written both."""
+    root = f"file://{tmp_path}/r"
+    state, work = run.tables(spark, root)
+    state.save(entries_of(spark, entry("a", "3"), entry("b", "9", channel_id="2")))
+    load, seen = run.Snapshots.load, []
+
+    def watched(self, default=None):
+        seen.append((tmp_path / "r" / "LOCK").exists())
+        return load(self, default)
+
+    monkeypatch.setattr(run.Snapshots, "load", watched)
+    errors = spark.createDataFrame([("a", "HTTP 500")], "entry_key string, error string")
+    got = run.audit_run(spark, root, messages_of(spark, 5), "2026-06-09T01:00:00Z", requeue=True, errors=errors)
+    assert all(seen) and not got["requeued"] and [(r.category, r.entry_key, r.detail) for r in got["report"].collect()] == [("errors", "a", "HTTP 500")]
+
+
 def test_migration_and_discovery(spark, tmp_path):
     root = f"file://{tmp_path}/r"
     stats = run.migrate_run(spark, root, entries_of(spark, entry("a", "5", sync_status="partial"), entry("b", None)), queue_of(spark, item(0, "a", status="done")), "now").first()

@@ -35,28 +35,29 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
 
     candidates: rank, entry_key, cursor.  At most `limits.entries` rows, so they
     are broadcast to the messages.  Entries that the budget doesn't reach give no
-    row.  errors: entry_key, ok_pages; its read fails after so many pages, which
-    count, as does the failed read's absence.
+    row.  errors: entry_key, ok_reads; after so many reads, the probe after a short
+    page included, the next one fails.  The pages read until then count, the
+    failed read doesn't.  A message that the source repeats counts once.
     """
     chosen = candidates.select("rank", "entry_key", F.coalesce(truthy("cursor"), F.lit("0")).alias("cursor")).join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key")
     chosen = cut(chosen)  # at most limits.entries rows, used three times
     after = messages_after(F.broadcast(chosen), messages.select("channel_id", "id", "id_num"))
     size, pages, reads = F.lit(limits.page), F.lit(limits.pages), F.lit(limits.reads)
-    counts = after.groupBy("entry_key").agg(F.count("*").alias("n"))
+    counts = after.groupBy("entry_key").agg(F.count_distinct("id_num").alias("n"))
     c = chosen.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0))).drop("n")
     c = c.withColumn("need", F.floor(F.col("behind") / size) + 1).withColumn("rest", F.col("behind") % size)
     if errors is not None:
-        c = c.join(errors.select("entry_key", "ok_pages"), "entry_key", "left")
+        c = c.join(errors.select("entry_key", "ok_reads"), "entry_key", "left")
     else:
-        c = c.withColumn("ok_pages", F.lit(None).cast("int"))
-    fails = F.col("ok_pages").isNotNull() & (F.col("ok_pages") < F.least("need", pages))
+        c = c.withColumn("ok_reads", F.lit(None).cast("int"))
     wanted = F.least(F.col("need"), pages) + F.when((F.col("rest") > 0) & (F.col("need") <= pages), 1).otherwise(0)
-    c = c.withColumn("fails", fails).withColumn("cost", F.when(fails, F.col("ok_pages")).otherwise(wanted))
+    fails = F.col("ok_reads").isNotNull() & (F.col("ok_reads") < wanted)
+    c = c.withColumn("fails", fails).withColumn("cost", F.when(fails, F.col("ok_reads")).otherwise(wanted))
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # over at most limits.entries rows
     c = c.withColumn("left", F.greatest(F.lit(0), reads - F.coalesce(F.sum("cost").over(before), F.lit(0)))).where("left > 0")
-    c = c.withColumn("batches", F.least(F.when(F.col("fails"), F.col("ok_pages")).otherwise(F.least("need", pages)), F.col("left")))
+    c = c.withColumn("batches", F.least(F.when(F.col("fails"), F.least("ok_reads", "need")).otherwise(F.least("need", pages)), F.col("left")))
     c = c.withColumn("reads", F.least("cost", "left")).withColumn("added", F.least(F.col("behind"), F.col("batches") * size))
-    failed = F.col("fails") & (F.col("ok_pages") < F.col("left"))
+    failed = F.col("fails") & (F.col("ok_reads") < F.col("left"))
     status = F.when(failed, "error").when(~F.col("fails") & (F.col("need") <= pages) & (F.col("cost") <= F.col("left")), "caught_up").otherwise("still_queued")
     c = c.withColumn("status", status)
     # The id of the last message added; a bounded number of messages of each entry is ranked.
@@ -69,9 +70,12 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
 
 
 def ranked_messages(after: DataFrame, limits: Limits) -> DataFrame:
-    """The first pages of each entry's messages, numbered by id; the constant bound limits the ranking in each task."""
+    """The first pages of each entry's messages, numbered by id; the constant bound limits the ranking in each task.
+
+    A message comes once, also if the source repeats it; only what is in those pages is looked at for that.
+    """
     by = Window.partitionBy("entry_key").orderBy("id_num")
-    return after.withColumn("rn", F.row_number().over(by)).where(F.col("rn") <= limits.pages * limits.page)
+    return after.withColumn("rn", F.dense_rank().over(by)).where(F.col("rn") <= limits.pages * limits.page).dropDuplicates(["entry_key", "rn"])
 
 
 def catchup_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, run_date: str, limits: Limits = Limits()) -> DataFrame:
@@ -81,10 +85,10 @@ def catchup_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, run_
 def catchup_messages(plan: DataFrame, entries: DataFrame, messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The messages that a plan writes: entry_key, relative_path and the message, with batch (its page, from 1) and rn.
 
-    A message comes once for each (channel_id, id), also if the source repeats it.
+    The plan's few rows are broadcast; messages are shuffled after that join and the bound on their rank only.
     """
     keyed = F.broadcast(plan.join(entries.select("entry_key", "channel_id"), "entry_key"))
-    after = messages_after(keyed, messages.dropDuplicates(["channel_id", "id"]))
+    after = messages_after(keyed, messages)
     rows = ranked_messages(after, limits).drop("cursor").join(F.broadcast(plan.select("entry_key", "relative_path", "added")), "entry_key")
     return rows.where("rn <= added").withColumn("batch", F.ceil(F.col("rn") / limits.page)).drop("added")
 

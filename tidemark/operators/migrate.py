@@ -10,7 +10,6 @@ from ..functions.cursors import newest_cursor, or_default, truthy, written_curso
 #: Markers of an unfinished sync in any of five fields, and of a limit in the notes.
 PARTIAL_MARKERS = ("partial", "deferred", "catching_up", "error", "queued", "部分完成", "增量部分完成", "剩餘交給 backlog", "達單輪上限")
 LIMIT_MARKER = "上限"
-HOT_PATHS = ("寫code", "VASO", "每日備份監控")
 NOTES = ("deferred_reason", "daily_sync_status", "daily_sync_note")
 VERSION = 3
 
@@ -34,15 +33,16 @@ def reason_for() -> Column:
     return F.when(written_cursor().isNull(), "bootstrap_needed").when(is_partial(), F.when(limit, "page_limit_reached").otherwise("daily_deferred"))
 
 
-def priority_for(reason: Column) -> Column:
+def priority_for(reason: Column, hot_paths: tuple[str, ...] = ()) -> Column:
+    """hot_paths: parts of paths whose entries are hot, besides those that say so."""
     base = F.when(reason.isNull(), 90).when(reason == "page_limit_reached", 10).when(reason == "daily_deferred", 20).when(reason == "bootstrap_needed", 60).otherwise(50)
     hot = F.coalesce(F.col("hot"), F.lit(False))
-    for path in HOT_PATHS:
+    for path in hot_paths:
         hot = hot | F.coalesce(F.col("relative_path"), F.lit("")).contains(path)
     return F.when(hot, F.greatest(F.lit(1), base - 5)).otherwise(base)
 
 
-def migrate_classify(entries: DataFrame) -> DataFrame:
+def migrate_classify(entries: DataFrame, hot_paths: tuple[str, ...] = ()) -> DataFrame:
     """The migrated entries, with class (bootstrap, partial, healthy), enqueue and priority.
 
     The cursor is mirrored to both fields.  A healthy entry keeps a left-over reason.
@@ -60,7 +60,7 @@ def migrate_classify(entries: DataFrame) -> DataFrame:
         "state_schema_version": F.lit(VERSION),
         "class": F.when(reason == "bootstrap_needed", "bootstrap").when(reason.isNotNull(), "partial").otherwise("healthy"),
         "enqueue": F.col("__status").isin("partial", "queued"),
-        "priority": priority_for(F.coalesce(truthy("backlog_reason"), F.lit("daily_deferred"))),
+        "priority": priority_for(F.coalesce(truthy("backlog_reason"), F.lit("daily_deferred")), hot_paths),
     })
     return out.drop("__reason", "__status", "__cursor")
 

@@ -9,6 +9,8 @@ from ..functions.cursors import ACTIVE, INCOMPLETE, INCOMPLETE_PREVIEW, durable_
 from ..plans.cut import cut
 from .ledger import upsert_queue
 
+#: The order of candidates; entries that are alike by all of its rules follow each other by key.
+ORDER = ("tier", "k1", "k2", "k3", "ordinal", "entry_key")
 CANDIDATE = ("entry_key", "tier", "cursor", "priority", "reason", "queue_status")
 
 
@@ -24,9 +26,12 @@ def _first_items(queue: DataFrame) -> DataFrame:
 
 def _ranked(tiers: DataFrame, limit: int) -> DataFrame:
     """The first tier of each entry, in order, cut at the limit: a top-k, not a sort of all."""
-    by_key = Window.partitionBy("entry_key").orderBy("tier", "k1", "k2", "k3", "ordinal")
-    first = tiers.withColumn("n", F.row_number().over(by_key)).where("n = 1").drop("n")
-    return first.orderBy("tier", "k1", "k2", "k3", "ordinal").limit(limit)
+    return _first_tier(tiers).orderBy(*ORDER).limit(limit)
+
+
+def _first_tier(tiers: DataFrame) -> DataFrame:
+    by_key = Window.partitionBy("entry_key").orderBy(*ORDER)
+    return tiers.withColumn("n", F.row_number().over(by_key)).where("n = 1").drop("n")
 
 
 def _row(tier: int, cursor: Column, priority: Column, reason: Column, queue_status: Column, k1: Column, k2: Column, k3: Column, ordinal: Column, *more: Column | str) -> list:
@@ -61,7 +66,7 @@ def worker_tiers(entries: DataFrame, queue: DataFrame, run_date: str) -> DataFra
 def select_worker(entries: DataFrame, queue: DataFrame, run_date: str, limit: int = 4) -> DataFrame:
     """The worker's candidates in order (rank from 1), as they stand after their upsert; queue is normalised."""
     chosen = _ranked(worker_tiers(entries, queue, run_date), limit)
-    order = Window.orderBy("tier", "k1", "k2", "k3", "ordinal")  # over at most `limit` rows
+    order = Window.orderBy(*ORDER)  # over at most `limit` rows
     return chosen.withColumn("rank", F.row_number().over(order)).select("rank", *CANDIDATE)
 
 
@@ -88,8 +93,8 @@ def queue_after_selection(entries: DataFrame, queue: DataFrame, run_date: str, n
     return after.join(fourth, "entry_key", "left").withColumn("cursor_message_id", F.when(F.col("zero"), F.coalesce(truthy("cursor_message_id"), F.lit("0"))).otherwise(F.col("cursor_message_id"))).drop("zero")
 
 
-def select_preview(entries: DataFrame, queue: DataFrame, run_date: str, limit: int = 4, stale_days: int = 2) -> DataFrame:
-    """The read-only preview, which has rules of its own: no upserts, constant priorities, stale by age and whatever the status."""
+def preview_tiers(entries: DataFrame, queue: DataFrame, run_date: str, stale_days: int = 2) -> DataFrame:
+    """Each entry's tier in the preview, with the keys of its order; no order and no limit."""
     e = entries.withColumn("written", written_cursor()).withColumn("path", F.coalesce("relative_path", "entry_key"))
     items = _selectable(queue).where(truthy("entry_key").isNotNull()).select(F.col("entry_key").alias("k"), F.col("priority").alias("q_priority"), F.col("reason").alias("q_reason"), "q_status", "created_at", F.col("relative_path").alias("q_path"), "ordinal")
     none, zero, path = F.lit(None).cast("string"), F.lit(0), F.coalesce("path", F.lit(""))
@@ -103,7 +108,13 @@ def select_preview(entries: DataFrame, queue: DataFrame, run_date: str, limit: i
         *_row(3, F.col("written"), F.lit(70), F.lit("stale_incremental"), none, F.coalesce(day.cast("string"), F.lit("0000-00-00")), path, F.lit(""), zero)
     )
     bootstrap = e.where("written is null").select(*_row(4, F.col("written"), F.lit(90), F.lit("bootstrap_needed"), none, path, F.lit(""), F.lit(""), zero))
-    chosen = _ranked(active.unionByName(partial).unionByName(stale).unionByName(bootstrap), limit)
-    order = Window.orderBy("tier", "k1", "k2", "k3", "ordinal")  # over at most `limit` rows
+    return _first_tier(active.unionByName(partial).unionByName(stale).unionByName(bootstrap))
+
+
+def select_preview(entries: DataFrame, queue: DataFrame, run_date: str, limit: int = 4, stale_days: int = 2) -> DataFrame:
+    """The read-only preview, which has rules of its own: no upserts, constant priorities, stale by age and whatever the status."""
+    e = entries.withColumn("path", F.coalesce("relative_path", "entry_key"))
+    chosen = preview_tiers(entries, queue, run_date, stale_days).orderBy(*ORDER).limit(limit)
+    order = Window.orderBy(*ORDER)  # over at most `limit` rows
     payload = e.select("entry_key", "type", "channel_id", F.col("path").alias("relative_path"), "last_backup", "sync_status", "backlog_reason")
     return chosen.withColumn("rank", F.row_number().over(order)).join(payload, "entry_key").select("rank", *CANDIDATE, "type", "channel_id", "relative_path", "last_backup", "sync_status", "backlog_reason")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import run
 from .functions import text as T
 from .functions.cursors import ACTIVE, id_number, newest_cursor
 from .operators import audit, catchup, digest, discover, ledger, migrate, select
@@ -54,6 +55,16 @@ ACTIVE_KEYS = f"(SELECT entry_key FROM queue WHERE status {IS_ACTIVE} AND entry_
 E, EQ, EM, EQM, M, QU = (with_ctes(*x.split()) for x in ("entries", "entries queue", "entries messages", "entries queue messages", "messages", "queue"))
 LIVE = f"live AS (SELECT entry_key, c AS cursor, arg_min(id, id_num) AS next_id, arg_min(ts, id_num) AS next_ts FROM (SELECT *, {WRITTEN} AS c FROM entries) e JOIN messages m ON m.channel_id = e.channel_id AND m.id_num > {num('c')} WHERE c IS NOT NULL GROUP BY entry_key, c)"
 
+#: Reads that fail: of some channels, after a few.
+ERRORS = "errors AS (SELECT entry_key, 'HTTP 500' AS error, CAST(CAST(channel_id AS BIGINT) % 4 AS INT) AS ok_reads FROM entries WHERE CAST(channel_id AS BIGINT) % 3 = 1)"
+NO_ERRORS = "errors AS (SELECT CAST(NULL AS VARCHAR) AS entry_key, NULL::INT AS ok_reads WHERE false)"
+
+
+def _errors(x: Ledger) -> DataFrame:
+    n = F.col("channel_id").cast("bigint")
+    return x.entries.where(n % 3 == 1).select("entry_key", F.lit("HTTP 500").alias("error"), (n % 4).cast("int").alias("ok_reads"))
+
+
 # ---- audit ----
 
 
@@ -106,6 +117,13 @@ def audit_report(x: Ledger) -> DataFrame:
     return audit.audit_report(x.entries, x.messages)
 
 
+@query(f"""{EM}, {ERRORS}, {LIVE}, {REPORT} SELECT * FROM report WHERE category <> 'liveNewAfterCursor' OR entry_key NOT IN (SELECT entry_key FROM errors)
+    UNION ALL SELECT 'errors', entry_key, error FROM errors JOIN entries USING (entry_key) WHERE {WRITTEN} IS NOT NULL""")
+def audit_report_errors(x: Ledger) -> DataFrame:
+    """With probes that failed: those are listed, and nothing is said of what such channels have."""
+    return audit.audit_report(x.entries, x.messages, _errors(x).select("entry_key", "error"))
+
+
 @query(f"{EQM}, {LIVE}, {REPORT}, a AS (SELECT count(*) AS n FROM queue WHERE status {IS_ACTIVE}) SELECT (SELECT count(*) FROM report) AS findings, n AS active_queue, (SELECT count(*) FROM report) = 0 AND n = 0 AS clean FROM a")
 def audit_clean(x: Ledger) -> DataFrame:
     return audit.audit_clean(x.entries, x.queue, x.messages)
@@ -245,6 +263,7 @@ def state_merge(x: Ledger) -> DataFrame:
 # ---- selection ----
 
 REASON = "nullif(backlog_reason, '')"
+ORDER = "ORDER BY tier, k1, k2, k3, ordinal, entry_key"
 IS_STALE = f"(last_backup IS NULL OR last_backup <> '{RUN_DATE}')"
 TIERS = f"""e AS (SELECT entries.*, {DURABLE} AS nc, i.cursor_message_id AS ic, i.priority AS ip, i.entry_key IS NOT NULL AS has_item FROM entries LEFT JOIN
         (SELECT entry_key, arg_min(cursor_message_id, ordinal) AS cursor_message_id, arg_min(coalesce(priority, 0), ordinal) AS priority FROM normal WHERE entry_key IS NOT NULL GROUP BY 1) i ON entries.entry_key = i.entry_key),
@@ -256,7 +275,7 @@ TIERS = f"""e AS (SELECT entries.*, {DURABLE} AS nc, i.cursor_message_id AS ic,
 
 
 def picked(limit: int, name: str = "picked") -> str:
-    return f"""{name} AS (SELECT *, row_number() OVER (ORDER BY tier, k1, k2, k3, ordinal) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entry_key ORDER BY tier, k1, k2, k3, ordinal) AS n FROM tiers) WHERE n = 1 ORDER BY rank LIMIT {limit})"""
+    return f"""{name} AS (SELECT *, row_number() OVER ({ORDER}) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY entry_key {ORDER}) AS n FROM tiers) WHERE n = 1 ORDER BY rank LIMIT {limit})"""
 
 
 def _normal(x: Ledger) -> DataFrame:
@@ -278,19 +297,27 @@ def queue_after_selection(x: Ledger) -> DataFrame:
     return select.queue_after_selection(x.entries, _normal(x), RUN_DATE, RUN_TIME, SELECTED).select("entry_key", "cursor_message_id", "priority", "reason", "status", "attempts")
 
 
-@query(f"""{EQ}, e AS (SELECT *, {WRITTEN} AS w, TRY_CAST(CASE WHEN regexp_matches(left(last_backup, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN left(last_backup, 10) END AS DATE) AS day FROM entries),
+PREVIEW = f"""{EQ}, e AS (SELECT *, {WRITTEN} AS w, TRY_CAST(CASE WHEN regexp_matches(left(last_backup, 10), '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN left(last_backup, 10) END AS DATE) AS day FROM entries),
     tiers AS (SELECT e.entry_key, 1 AS tier, w AS cursor, coalesce(nullif(q.priority, 0), 50) AS priority, coalesce(nullif(q.reason, ''), {REASON}, 'queued') AS reason, CASE WHEN q.has_status THEN q.status ELSE 'queued' END AS queue_status,
             lpad(CAST(coalesce(nullif(q.priority, 0), 50) AS VARCHAR), 10, '0') AS k1, coalesce(q.created_at, '') AS k2, coalesce(q.relative_path, '') AS k3, q.ordinal FROM e JOIN queue q ON e.entry_key = q.entry_key WHERE (CASE WHEN q.has_status THEN q.status ELSE 'queued' END) {IS_ACTIVE}
         UNION ALL SELECT entry_key, 2, w, 40, coalesce({REASON}, 'state_partial'), NULL, '', coalesce(nullif(last_backup, ''), '9999-99-99'), relative_path, 0 FROM e WHERE sync_status IN ('partial', 'queued', 'catching_up') OR {REASON} IS NOT NULL
         UNION ALL SELECT entry_key, 3, w, 70, 'stale_incremental', NULL, coalesce(CAST(day AS VARCHAR), '0000-00-00'), relative_path, '', 0 FROM e WHERE w IS NOT NULL AND (day IS NULL OR day <= DATE '{RUN_DATE}' - 2)
         UNION ALL SELECT entry_key, 4, w, 90, 'bootstrap_needed', NULL, relative_path, '', '', 0 FROM e WHERE w IS NULL),
-    ones AS (SELECT *, row_number() OVER (PARTITION BY entry_key ORDER BY tier, k1, k2, k3, ordinal) AS n FROM tiers)
-    SELECT p.tier, count(*) AS n, min(p.priority) AS low, max(p.priority) AS high, count(DISTINCT reason) AS reasons, min(k1) AS first_key FROM (SELECT * FROM ones WHERE n = 1) p GROUP BY p.tier""")
+    ones AS (SELECT *, row_number() OVER (PARTITION BY entry_key {ORDER}) AS n FROM tiers)"""
+
+
+@query(f"""{PREVIEW} SELECT p.tier, count(*) AS n, min(p.priority) AS low, max(p.priority) AS high, count(DISTINCT reason) AS reasons, min(k1) AS first_key FROM (SELECT * FROM ones WHERE n = 1) p GROUP BY p.tier""")
 def select_preview_tiers(x: Ledger) -> DataFrame:
-    """All entries by the preview's tier; the order within the limit is tested on fixtures, as paths tie here."""
-    out = select.select_preview(x.entries, x.queue, RUN_DATE, 2**31 - 1)
-    keys = F.when(F.col("tier") == 1, F.format_string("%010d", "priority")).when(F.col("tier") == 2, "").when(F.col("tier") == 3, F.coalesce(F.when(F.left("last_backup", F.lit(10)).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.left("last_backup", F.lit(10))), F.lit("0000-00-00"))).otherwise(F.col("relative_path"))
-    return out.groupBy("tier").agg(F.count("*").alias("n"), F.min("priority").alias("low"), F.max("priority").alias("high"), F.count_distinct("reason").alias("reasons"), F.min(keys).alias("first_key"))
+    """All entries by the preview's tier."""
+    out = select.preview_tiers(x.entries, x.queue, RUN_DATE)
+    return out.groupBy("tier").agg(F.count("*").alias("n"), F.min("priority").alias("low"), F.max("priority").alias("high"), F.count_distinct("reason").alias("reasons"), F.min("k1").alias("first_key"))
+
+
+@query(f"""{PREVIEW} SELECT row_number() OVER ({ORDER}) AS rank, ones.entry_key, tier, cursor, priority, reason, queue_status, e.type, e.channel_id, e.relative_path, e.last_backup, e.sync_status, e.backlog_reason
+    FROM ones JOIN e USING (entry_key) WHERE n = 1 ORDER BY rank LIMIT {SELECTED}""")
+def select_preview(x: Ledger) -> DataFrame:
+    """The preview's rows in order, with their payload."""
+    return select.select_preview(x.entries, x.queue, RUN_DATE, SELECTED)
 
 
 # ---- catch-up ----
@@ -301,14 +328,17 @@ def planned(x: catchup.Limits) -> str:
     after AS (SELECT c.entry_key, m.*, row_number() OVER (PARTITION BY c.entry_key ORDER BY m.id_num) AS rn FROM chosen c JOIN messages m ON m.channel_id = c.channel_id AND m.id_num > {num('c.cursor')}),
     sized AS (SELECT c.*, (SELECT count(*) FROM after a WHERE a.entry_key = c.entry_key) AS behind FROM chosen c),
     needs AS (SELECT *, behind // {x.page} + 1 AS need, behind % {x.page} AS rest FROM sized),
-    costs AS (SELECT *, least(need, {x.pages}) + CASE WHEN rest > 0 AND need <= {x.pages} THEN 1 ELSE 0 END AS cost FROM needs),
+    wants AS (SELECT n.*, ok_reads, least(need, {x.pages}) + CASE WHEN rest > 0 AND need <= {x.pages} THEN 1 ELSE 0 END AS wanted FROM needs n LEFT JOIN errors USING (entry_key)),
+    costs AS (SELECT *, coalesce(ok_reads < wanted, false) AS fails, CASE WHEN coalesce(ok_reads < wanted, false) THEN ok_reads ELSE wanted END AS cost FROM wants),
     budget AS (SELECT *, greatest(0, {x.reads} - coalesce(sum(cost) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS remaining FROM costs),
-    worked AS (SELECT *, least(need, {x.pages}, remaining) AS batches, least(behind, least(need, {x.pages}, remaining) * {x.page}) AS added FROM budget WHERE remaining > 0),
-    plan AS (SELECT CAST(rank AS INT) AS rank, entry_key, relative_path, cursor, behind, CAST(batches AS BIGINT) AS batches, CAST(least(cost, remaining) AS BIGINT) AS reads, CAST(added AS BIGINT) AS added, CASE WHEN need <= {x.pages} AND cost <= remaining THEN 'caught_up' ELSE 'still_queued' END AS status,
+    paged AS (SELECT *, least(CASE WHEN fails THEN least(ok_reads, need) ELSE least(need, {x.pages}) END, remaining) AS batches FROM budget WHERE remaining > 0),
+    worked AS (SELECT *, least(behind, batches * {x.page}) AS added FROM paged),
+    plan AS (SELECT CAST(rank AS INT) AS rank, entry_key, relative_path, cursor, behind, CAST(batches AS BIGINT) AS batches, CAST(least(cost, remaining) AS BIGINT) AS reads, CAST(added AS BIGINT) AS added, CASE WHEN fails AND ok_reads < remaining THEN 'error' WHEN NOT fails AND need <= {x.pages} AND cost <= remaining THEN 'caught_up' ELSE 'still_queued' END AS status,
         coalesce((SELECT id FROM after a WHERE a.entry_key = w.entry_key AND a.rn = w.added), cursor) AS new_cursor FROM worked w)"""
 
 
-CATCHUP = f"{EQM}, {FOLDED}, {TIERS}, {planned(LIMITS)}"
+CATCHUP = f"{EQM}, {FOLDED}, {TIERS}, {NO_ERRORS}, {planned(LIMITS)}"
+CATCHUP_ERRORS = CATCHUP.replace(NO_ERRORS, ERRORS)
 
 
 def _plan(x: Ledger) -> DataFrame:
@@ -325,6 +355,24 @@ def catchup_messages(x: Ledger) -> DataFrame:
     return catchup.catchup_messages(_plan(x), x.entries, x.messages, LIMITS).select("entry_key", "relative_path", "id", "batch", "rn")
 
 
+@query(f"{CATCHUP} SELECT a.entry_key, p.relative_path, a.id, CAST(ceil(a.rn / {LIMITS.page}) AS BIGINT) AS batch, CAST(a.rn AS INT) AS rn, p.added, p.behind, p.new_cursor FROM after a JOIN plan p USING (entry_key) WHERE a.rn <= p.added")
+def catchup_repeats(x: Ledger) -> DataFrame:
+    """From a source that repeats messages: plan and rows are those without the repetitions."""
+    messages = x.messages.unionByName(x.messages.where("id_num % 3 = 0")).unionByName(x.messages.where("id_num % 5 < 2"))
+    plan = catchup.catchup_plan(x.entries, _normal(x), messages, RUN_DATE, LIMITS)
+    rows = catchup.catchup_messages(plan, x.entries, messages, LIMITS).select("entry_key", "relative_path", "id", "batch", "rn")
+    return rows.join(F.broadcast(plan.select("entry_key", "added", "behind", "new_cursor")), "entry_key")
+
+
+@query(f"""{CATCHUP_ERRORS} SELECT p.rank, p.entry_key, p.batches, p.reads, p.added, p.status, p.new_cursor, CASE WHEN p.status = 'caught_up' THEN 'healthy' WHEN p.status = 'error' THEN 'error' WHEN p.added > 0 THEN 'partial' ELSE 'catching_up' END AS sync_status,
+    CASE p.status WHEN 'caught_up' THEN 0 WHEN 'error' THEN coalesce(consecutive_errors, 0) + 1 ELSE consecutive_errors END AS consecutive_errors FROM plan p JOIN e USING (entry_key)""")
+def catchup_errors(x: Ledger) -> DataFrame:
+    """Reads that fail before, within and after an entry's pages, and after its short page."""
+    plan = catchup.plan_candidates(select.select_worker(x.entries, _normal(x), RUN_DATE, LIMITS.entries), x.entries, x.messages, LIMITS, _errors(x))
+    after = catchup.entries_after(x.entries, plan, RUN_DATE).select("entry_key", "sync_status", "consecutive_errors")
+    return plan.select("rank", "entry_key", "batches", "reads", "added", "status", "new_cursor").join(after, "entry_key")
+
+
 @query(f"""{CATCHUP} SELECT e.entry_key, CASE WHEN p.added > 0 THEN new_cursor ELSE last_written_message_id END AS last_written_message_id, CASE WHEN p.status = 'caught_up' THEN 'healthy' WHEN p.added > 0 THEN 'partial' WHEN p.status IS NOT NULL THEN 'catching_up' ELSE sync_status END AS sync_status,
     CASE WHEN p.status = 'caught_up' THEN NULL WHEN p.added > 0 THEN coalesce({REASON}, 'page_limit_reached') ELSE backlog_reason END AS backlog_reason, CASE WHEN p.status = 'caught_up' THEN '{RUN_DATE}' ELSE last_backup END AS last_backup,
     CASE WHEN p.status = 'caught_up' THEN 0 ELSE consecutive_errors END AS consecutive_errors, backlog_attempts + CASE WHEN p.status IS NULL THEN 0 ELSE 1 END AS backlog_attempts FROM e LEFT JOIN plan p USING (entry_key)""")
@@ -394,17 +442,26 @@ def author_name(x: Ledger) -> DataFrame:
     return digest.author_names(x.messages)
 
 
-@query()
+_BULLETS = lambda x: f"'- ' || replace({x}, chr(10), chr(10) || '- ') || chr(10)"
+
+
+@query(rf"""{M}, t AS (SELECT channel_id, {DAY} AS day, count(*) AS n, arg_min(id, id_num) AS first_id, arg_max(id, id_num) AS last_id, list_filter([{_HITS}], lambda x: x IS NOT NULL)[1:{T.MOST_TOPICS}] AS t,
+        flatten(list(regexp_extract_all(coalesce(content, ''), 'https?://{BLANKS.replace('[', '[^')}+') || CASE WHEN has_file THEN [coalesce(filename, 'attachment') || ': ' || coalesce(file_url, '')] ELSE [] END ORDER BY id_num))[1:{T.MOST_LINKS}] AS l FROM messages GROUP BY ALL),
+    named AS (SELECT *, CASE WHEN len(t) = 0 THEN '{T.topics()[-1][0]}' ELSE array_to_string(t, chr(10)) END AS topics, CASE WHEN len(l) = 0 THEN '{T.NO_LINKS}' ELSE array_to_string(l, chr(10)) END AS links FROM t)
+    SELECT channel_id, day, chr(10) || chr(10) || '---' || chr(10) || '## V3 backlog summary — {RUN_TIME}' || chr(10) || '- 新增訊息數：' || n || chr(10) || '- ID 範圍：' || first_id || ' → ' || last_id || chr(10) || '- 狀態：backlog catch-up append' || chr(10) || chr(10) ||
+        '### 主題綱要' || chr(10) || {_BULLETS("topics")} || chr(10) || '### 決策' || chr(10) || '- {T.DECISION}' || chr(10) || chr(10) || '### 待辦 / blocker' || chr(10) || '- {T.TODO}' || chr(10) || chr(10) || '### 重要連結 / 檔案' || chr(10) || {_BULLETS("links")} AS block FROM named""")
 def summary_render(x: Ledger) -> DataFrame:
     return digest.summary_blocks(x.messages, RUN_TIME, ("channel_id",))
 
 
 # ---- migration ----
 
+#: Parts of paths whose entries are hot.
+HOT_PATHS = ("7", "ch1")
 _NOTES = "concat_ws(' ', coalesce(deferred_reason, ''), coalesce(daily_sync_status, ''), coalesce(daily_sync_note, ''))"
 _ALL = f"lower(concat_ws(' ', coalesce(sync_status, ''), coalesce(backlog_reason, ''), {_NOTES}))"
 _PARTIAL = "(" + " OR ".join(f"contains({_ALL}, '{m}')" for m in migrate.PARTIAL_MARKERS) + ")"
-_HOT = "(coalesce(hot, false) OR " + " OR ".join(f"contains(coalesce(relative_path, ''), '{p}')" for p in migrate.HOT_PATHS) + ")"
+_HOT = "(coalesce(hot, false) OR " + " OR ".join(f"contains(coalesce(relative_path, ''), '{p}')" for p in HOT_PATHS) + ")"
 CLASSIFIED = f"""reasons AS (SELECT *, {WRITTEN} AS w, CASE WHEN {WRITTEN} IS NULL THEN 'bootstrap_needed' WHEN {_PARTIAL} THEN CASE WHEN contains({_NOTES}, '上限') OR contains(lower({_NOTES}), 'limit') OR contains(lower({_NOTES}), 'partial') THEN 'page_limit_reached' ELSE 'daily_deferred' END END AS r FROM entries),
     statuses AS (SELECT *, coalesce(r, backlog_reason) AS br, CASE WHEN r = 'bootstrap_needed' THEN 'queued' WHEN r IS NOT NULL THEN CASE WHEN sync_status = 'queued' THEN 'queued' ELSE 'partial' END ELSE coalesce(nullif(sync_status, ''), 'healthy') END AS st FROM reasons),
     based AS (SELECT *, CASE coalesce(nullif(br, ''), 'daily_deferred') WHEN 'page_limit_reached' THEN 10 WHEN 'daily_deferred' THEN 20 WHEN 'bootstrap_needed' THEN 60 ELSE 50 END AS b FROM statuses),
@@ -414,24 +471,34 @@ CLASSIFIED = f"""reasons AS (SELECT *, {WRITTEN} AS w, CASE WHEN {WRITTEN} IS NU
 
 @query(f"{E}, {CLASSIFIED} SELECT entry_key, w AS last_written_message_id, st AS sync_status, br AS backlog_reason, class, enqueue, priority FROM classified")
 def migrate_classify(x: Ledger) -> DataFrame:
-    return migrate.migrate_classify(x.entries).select("entry_key", "last_written_message_id", "sync_status", "backlog_reason", "class", "enqueue", "priority")
+    return migrate.migrate_classify(x.entries, HOT_PATHS).select("entry_key", "last_written_message_id", "sync_status", "backlog_reason", "class", "enqueue", "priority")
 
 
 @query(f"{E}, {CLASSIFIED} SELECT count(*) AS entries, count(*) FILTER (class = 'healthy') AS healthy, count(*) FILTER (class = 'partial') AS partial, count(*) FILTER (class = 'bootstrap') AS bootstrap, count(*) FILTER (enqueue) AS queued FROM classified")
 def migrate_stats(x: Ledger) -> DataFrame:
-    return migrate.migrate_stats(migrate.migrate_classify(x.entries))
+    return migrate.migrate_stats(migrate.migrate_classify(x.entries, HOT_PATHS))
 
 
-@query(f"""{EQ}, {CLASSIFIED}, lasts AS (SELECT * FROM queue WHERE entry_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ordinal DESC) = 1), new AS (SELECT * FROM classified WHERE enqueue)
-    SELECT ordinal, coalesce(o.entry_key, n.entry_key) AS entry_key, CASE WHEN n.entry_key IS NOT NULL THEN {newest('o.cursor_message_id', 'n.w')} ELSE o.cursor_message_id END AS cursor_message_id,
+MIGRATED = f"""{EQ}, {CLASSIFIED}, lasts AS (SELECT * FROM queue WHERE entry_key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_key ORDER BY ordinal DESC) = 1), new AS (SELECT * FROM classified WHERE enqueue),
+    merged AS (SELECT ordinal, CASE WHEN n.entry_key IS NOT NULL THEN n.relative_path ELSE o.relative_path END AS relative_path, coalesce(o.entry_key, n.entry_key) AS entry_key, CASE WHEN n.entry_key IS NOT NULL THEN {newest('o.cursor_message_id', 'n.w')} ELSE o.cursor_message_id END AS cursor_message_id,
         CASE WHEN n.entry_key IS NOT NULL THEN n.last_seen_message_id ELSE o.target_hint_message_id END AS target_hint_message_id, CASE WHEN n.entry_key IS NULL THEN o.priority WHEN o.entry_key IS NULL THEN n.priority ELSE least(coalesce(nullif(o.priority, 0), 99), n.priority) END AS priority,
         CASE WHEN n.entry_key IS NOT NULL THEN coalesce(nullif(br, ''), 'daily_deferred') ELSE o.reason END AS reason, CASE WHEN n.entry_key IS NOT NULL AND (o.status IS NULL OR o.status IN ('done', 'caught_up')) THEN 'queued' ELSE o.status END AS status,
-        CASE WHEN o.entry_key IS NOT NULL THEN o.attempts ELSE n.backlog_attempts END AS attempts, CASE WHEN o.entry_key IS NOT NULL THEN o.created_at ELSE '{RUN_TIME}' END AS created_at FROM lasts o FULL JOIN new n ON o.entry_key = n.entry_key""")
+        CASE WHEN o.entry_key IS NOT NULL THEN o.attempts ELSE n.backlog_attempts END AS attempts, CASE WHEN o.entry_key IS NOT NULL THEN o.created_at ELSE '{RUN_TIME}' END AS created_at FROM lasts o FULL JOIN new n ON o.entry_key = n.entry_key)"""
+
+
+@query(f"{MIGRATED} SELECT * EXCLUDE (relative_path) FROM merged")
 def migrate_queue_merge(x: Ledger) -> DataFrame:
-    out = migrate.migrate_queue_merge(x.queue, migrate.migrate_classify(x.entries), RUN_TIME)
+    out = migrate.migrate_queue_merge(x.queue, migrate.migrate_classify(x.entries, HOT_PATHS), RUN_TIME)
     return out.select("ordinal", "entry_key", "cursor_message_id", "target_hint_message_id", "priority", "reason", "status", "attempts", "created_at")
 
 
+@query(f"{MIGRATED} SELECT entry_key, priority, row_number() OVER (ORDER BY coalesce(nullif(priority, 0), 99), coalesce(created_at, ''), coalesce(relative_path, ''), ordinal NULLS LAST, entry_key) - 1 AS place FROM merged")
+def migrate_queue_order(x: Ledger) -> DataFrame:
+    """The places in which a migrated queue is stored."""
+    out = migrate.migrate_queue_merge(x.queue, migrate.migrate_classify(x.entries, HOT_PATHS), RUN_TIME)
+    return run.ordered(out).select("entry_key", "priority", F.col("ordinal").alias("place"))
+
+
 # ---- discovery and snapshots ----
 
 VALID = """valid AS (SELECT ordinal, CASE WHEN kind = 'thread' THEN parent || '/' || coalesce(name, channel_name) ELSE coalesce(name, channel_name) END AS entry_key, kind AS type, coalesce(id, other_id) AS channel_id, CASE WHEN kind = 'thread' THEN parent END AS parent_channel FROM inventory

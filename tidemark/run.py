@@ -5,6 +5,9 @@ A root holds the snapshots `ledger` and `queue` and the `archive`.
 
 from __future__ import annotations
 
+import contextlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,27 @@ def numbered(queue: DataFrame) -> DataFrame:
     return queue.where("ordinal is not null").unionByName(new.withColumn("ordinal", F.col("top") + F.col("ordinal")).drop("top"))
 
 
+def ordered(queue: DataFrame) -> DataFrame:
+    """A migrated queue with its places from 0; the order is one of all its items, of which there is one for each channel."""
+    return queue.withColumn("ordinal", F.row_number().over(Window.orderBy(*migrate.queue_order())).cast("bigint") - 1)
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A run's report as JSON lines: each table of it in a folder of its name, all else in one line in `summary`; what was there is replaced.
+
+    Tables are written by the tasks that have them; nothing comes to the driver.
+    """
+    tables = {k: x for k, x in report.items() if isinstance(x, DataFrame)}
+    for name, df in tables.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    rest = json.dumps({"ok": True} | {k: x for k, x in report.items() if k not in tables}, ensure_ascii=False, sort_keys=True)
+    spark.createDataFrame([(rest,)], "value string").write.mode("overwrite").text(f"{path}/summary")
+
+
+def read_report(spark: SparkSession, path: str, name: str = "summary") -> DataFrame:
+    return spark.read.json(f"{path}/{name}")
+
+
 def catch_up(spark: SparkSession, root: str, messages: DataFrame, run_date: str, now: str, limits: catchup.Limits = catchup.Limits(), dry_run: bool = False) -> dict:
     """One catch-up run; without a ledger it fails before it takes the lock.
 
@@ -53,13 +77,18 @@ def catch_up(spark: SparkSession, root: str, messages: DataFrame, run_date: str,
 
 
 def audit_run(spark: SparkSession, root: str, messages: DataFrame, now: str, requeue: bool = False, errors: DataFrame | None = None) -> dict:
-    """The audit's lists and counts; with requeue, entries that have new messages go back to the queue as partial."""
+    """The audit's lists and counts; with requeue, entries that have new messages go back to the queue as partial.
+
+    What is changed is read under the lock, so a catch-up that ends meanwhile keeps its changes.
+    """
     state, work = tables(spark, root)
-    entries, queue = state.load(), work.load(spark.createDataFrame([], QUEUE))
-    new = cut(audit.live_new_after_cursor(entries, messages))
-    report, counts = cut(audit.audit_report(entries, messages, errors)), cut(audit.audit_counts(entries, queue))
-    if requeue and not new.isEmpty():
-        with lock(spark, root):
+    with lock(spark, root) if requeue else contextlib.nullcontext():
+        entries, queue = state.load(), work.load(spark.createDataFrame([], QUEUE))
+        new = cut(audit.live_new_after_cursor(entries, messages))
+        if errors is not None:
+            new = cut(new.join(errors.select("entry_key"), "entry_key", "left_anti"))
+        report, counts = cut(audit.audit_report(entries, messages, errors)), cut(audit.audit_counts(entries, queue))
+        if requeue and not new.isEmpty():
             hit = F.col("next_id").isNotNull()
             changed = {"sync_status": F.when(hit, "partial").otherwise(F.col("sync_status")), "has_sync_status": hit | F.col("has_sync_status"), "backlog_reason": F.when(hit, "live_probe_found_new_messages").otherwise(F.col("backlog_reason")), "last_seen_message_id": F.coalesce("next_id", "last_seen_message_id")}
             marked = entries.join(new.select("entry_key", "next_id"), "entry_key", "left").withColumns(changed).select(entries.columns)
@@ -68,16 +97,15 @@ def audit_run(spark: SparkSession, root: str, messages: DataFrame, now: str, req
     return {"report": report, "counts": counts, "requeued": requeue and not new.isEmpty()}
 
 
-def migrate_run(spark: SparkSession, root: str, entries: DataFrame, queue: DataFrame, now: str, dry_run: bool = False) -> DataFrame:
+def migrate_run(spark: SparkSession, root: str, entries: DataFrame, queue: DataFrame, now: str, dry_run: bool = False, hot_paths: tuple[str, ...] = ()) -> DataFrame:
     """Commits migrated entries and the merged queue, in its stored order; returns the counts."""
-    classified = cut(migrate.migrate_classify(entries))
+    classified = cut(migrate.migrate_classify(entries, hot_paths))
     if not dry_run:
         merged = migrate.migrate_queue_merge(queue, classified, now).withColumn("has_status", F.lit(True))
-        ordered = merged.withColumn("ordinal", F.row_number().over(Window.orderBy(*migrate.queue_order())).cast("bigint") - 1)  # the queue's order is one of all its items
         state, work = tables(spark, root)
         with lock(spark, root):
             state.save(classified.drop("class", "enqueue", "priority"))
-            work.save(ordered)
+            work.save(ordered(merged))
     return migrate.migrate_stats(classified)
 
 

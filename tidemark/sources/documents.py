@@ -35,6 +35,33 @@ def _field(fields: Column, name: str, column: str) -> Column:
     return F.try_element_at(fields, F.lit(name)).cast(_KINDS.get(column, "string")).alias(column)
 
 
+class Unusable(Exception):
+    """A document that is no JSON, and so are all of its backups."""
+
+
+def sound(spark: SparkSession, path: str, recovered: list[dict[str, str]] | None = None) -> str | None:
+    """The path of a JSON document, or, if it doesn't parse, of its newest backup that does, noted in `recovered`; None if there is no such document.
+
+    Backups are files beside it whose names go on from its own with .bak; the
+    newest by modification time comes first.  Only what doesn't parse is passed
+    over: a document of another form is an error of the reader.
+    """
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}.bak*")) or []
+    backups = sorted(found, key=lambda x: -x.getModificationTime())
+    for one in (path, *(x.getPath().toString() for x in backups)):
+        # One text a document: whether it parses is found where it is read.
+        if whole_text(spark, one).where(F.try_parse_json("value").isNotNull()).count():
+            if one != path and recovered is not None:
+                recovered.append({"path": path, "recovered_from": one})
+            return one
+    raise Unusable(f"{path} and its backups don't parse")
+
+
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """The entries of a state document, unknown fields kept in `extra`; a document without entries is an error."""
     doc = whole_text(spark, path).select(F.from_json("value", "entries map<string,string>", {"mode": "FAILFAST"}).alias("d"))

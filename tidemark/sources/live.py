@@ -17,7 +17,9 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 MOST_RETRIES, LONGEST_WAIT, MARGIN, TIMEOUT = 8, 30.0, 0.25, 30
 
@@ -28,6 +30,29 @@ class ReadFailed(Exception):
     """The API refused a read, or kept limiting it."""
 
 
+class NoToken(Exception):
+    """Neither the environment nor the configuration has a token."""
+
+
+def token_of(options: dict[str, str]) -> str:
+    """The API's token: the environment variable token_env (MESSAGES_TOKEN), else the field token_path (dots between names) of the JSON file token_file.
+
+    Looked up once for a read, by the process that plans it on the driver's machine.
+    """
+    name = options.get("token_env", "MESSAGES_TOKEN")
+    if os.environ.get(name):
+        return os.environ[name]
+    file, value = options.get("token_file"), None
+    if file and os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            value = json.load(f)
+        for key in options.get("token_path", "token").split("."):
+            value = value.get(key) if isinstance(value, dict) else None
+    if not value:
+        raise NoToken(f"set {name}, or token_file and token_path")
+    return str(value)
+
+
 def get_json(url: str, headers: dict[str, str]) -> tuple[int, str]:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers=headers), timeout=TIMEOUT) as answer:
@@ -52,7 +77,7 @@ def read_page(base: str, channel: str, after: str | None, limit: int, token: str
             except (ValueError, TypeError, AttributeError):
                 wait = 1.0
             sleep(min(wait + MARGIN, LONGEST_WAIT))
-    raise ReadFailed(f"rate limit persisted after {MOST_RETRIES} retries: {body[:200]}")
+    raise ReadFailed(f"still limited after {MOST_RETRIES} more tries: {body[:200]}")
 
 
 def read_channel(base: str, channel: str, cursor: str | None, page: int, pages: int, token: str, get: Callable = get_json, sleep: Callable = time.sleep) -> Iterator[dict]:
@@ -71,9 +96,21 @@ class _Channel(InputPartition):
     cursor: str | None
 
 
+def _row(channel: str, m: dict) -> tuple:
+    a = m.get("author") or {}
+    files = [(x.get("filename"), x.get("url")) for x in m.get("attachments") or []]
+    return channel, m["id"], m.get("timestamp"), m.get("content"), (a.get("global_name"), a.get("username"), a.get("id")), files, None
+
+
+def as_messages(df: DataFrame) -> DataFrame:
+    """Rows of the source as messages; rows that tell of an error go."""
+    ts = F.to_timestamp("ts").cast("timestamp_ntz")
+    return df.where("id is not null").select("channel_id", "id", F.col("id").cast("bigint").alias("id_num"), ts.alias("ts"), "content", "author", "attachments")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.options = options
+        self.options, self.token = options, token_of(options)
 
     def partitions(self) -> list[InputPartition]:
         return [_Channel(c, x or None) for c, x in json.loads(self.options["cursors"]).items()]
@@ -81,18 +118,60 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Channel) -> Iterator[tuple]:
         o = self.options
         try:
-            for m in read_channel(o["url"], partition.channel, partition.cursor, int(o.get("page", 100)), int(o.get("pages", 5)), os.environ.get(o.get("token_env", "MESSAGES_TOKEN"), "")):
-                a = m.get("author") or {}
-                files = [(x.get("filename"), x.get("url")) for x in m.get("attachments") or []]
-                yield partition.channel, m["id"], m.get("timestamp"), m.get("content"), (a.get("global_name"), a.get("username"), a.get("id")), files, None
+            for m in read_channel(o["url"], partition.channel, partition.cursor, int(o.get("page", 100)), int(o.get("pages", 5)), self.token):
+                yield _row(partition.channel, m)
         except (ReadFailed, OSError) as e:
             yield partition.channel, None, None, None, None, None, str(e)
 
 
+class _StreamReader(SimpleDataSourceStreamReader):
+    """Offsets are the channels' cursors and the channel that comes next.
+
+    A micro-batch is at most `reads` pages with messages, which the driver holds;
+    every channel is asked at most once.  A channel whose read fails is left for
+    the next batch; if all that were asked fail, so does the query.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.token = options, token_of(options)
+
+    def initialOffset(self) -> dict:
+        return {"next": 0, "cursors": {c: x or None for c, x in json.loads(self.options["cursors"]).items()}}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        o, cursors, rows = self.options, dict(start["cursors"]), []
+        channels, place, left, asked, failed = sorted(cursors), start["next"], int(o.get("reads", 12)), 0, []
+        while left and asked < len(channels):
+            channel = channels[place % len(channels)]
+            place, asked = place + 1, asked + 1
+            try:
+                got = read_page(o["url"], channel, cursors[channel], int(o.get("page", 100)), self.token)
+            except (ReadFailed, OSError) as e:
+                failed.append(e)
+                continue
+            if got:
+                rows += [_row(channel, m) for m in got]
+                cursors[channel], left = got[-1]["id"], left - 1
+        if failed and len(failed) == asked:
+            raise failed[0]
+        return iter(rows), {"next": place % len(channels), "cursors": cursors} if rows else start
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        o = self.options
+        for channel, last in end["cursors"].items():
+            cursor = start["cursors"].get(channel)
+            if last and last != cursor:
+                for m in read_channel(o["url"], channel, cursor, int(o.get("page", 100)), 2**31, self.token):
+                    if int(m["id"]) > int(last):
+                        break
+                    yield _row(channel, m)
+
+
 class PagedMessages(DataSource):
     """spark.read.format("paged_messages").option("url", ...).option("cursors", json of channel to cursor).load()
 
     A channel that fails gives the messages read so far and a row with its error.
+    spark.readStream reads on from the cursors, a bounded number of pages a batch.
     """
 
     @classmethod
@@ -104,3 +183,6 @@ class PagedMessages(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _StreamReader(dict(self.options))

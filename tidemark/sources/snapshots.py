@@ -10,13 +10,20 @@ roots may be in any store that Spark writes.
 from __future__ import annotations
 
 import contextlib
+import threading
+import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEEP = 5
+#: Seconds after which a lock that isn't renewed counts as left behind.
+STALE = 600.0
 
 
 class MissingSnapshot(Exception):
@@ -93,8 +100,10 @@ class Snapshots:
             path = f"{self.root}/v={version}"
             try:
                 df = self.spark.read.parquet(path)
-                df.count()  # a damaged file shows only when it is read
-            except Exception:  # noqa: BLE001  any failure to read means the next older one
+                df.write.format("noop").mode("overwrite").save()  # damage shows only when all columns are read
+            except (PySparkException, Py4JJavaError) as e:
+                if not unreadable(e):
+                    raise
                 continue
             if version != now:
                 self.recovered.append({"path": f"{self.root}/v={now}", "recovered_from": path})
@@ -102,23 +111,79 @@ class Snapshots:
         raise MissingSnapshot(f"no readable snapshot under {self.root}")
 
 
+def unreadable(error: PySparkException | Py4JJavaError) -> bool:
+    """Whether an error says that files can't be read: damaged or no Parquet, as against a lost cluster or too little memory."""
+    said = str(error)
+    return any(x in said for x in ("FAILED_READ_FILE", "CANNOT_READ_FILE", "UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND", "FAILED_MERGE_SCHEMA", "is not a Parquet file", "ParquetDecodingException", "ChecksumException"))
+
+
+class _LockFile:
+    def __init__(self, spark: SparkSession, root: str):
+        context = spark.sparkContext
+        self._jvm, self.root, self.owner = context._jvm, root, uuid.uuid4().hex
+        self.path = self._jvm.org.apache.hadoop.fs.Path(f"{root}/LOCK")
+        self.fs = self.path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def write(self, over: bool) -> None:
+        with contextlib.closing(self.fs.create(self.path, over)) as stream:
+            stream.write(bytearray(self.owner.encode()))
+
+    def create(self) -> bool:
+        """False if it is there."""
+        try:
+            self.fs.mkdirs(self.path.getParent())
+            self.write(False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e) or "already exists" in str(e):
+                return False
+            raise
+        return True
+
+    def age(self, path=None) -> float:
+        return time.time() - self.fs.getFileStatus(path or self.path).getModificationTime() / 1000
+
+    def take_over(self, stale: float) -> bool:
+        """Puts a stale lock aside and makes a new one.  Of several that try, one does the renaming; if what it moved is fresh it goes back."""
+        aside = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/LOCK.{self.owner}")
+        if self.age() <= stale or not self.fs.rename(self.path, aside):
+            return False
+        if self.age(aside) <= stale:
+            self.fs.rename(aside, self.path)
+            return False
+        self.fs.delete(aside, False)
+        return self.create()
+
+    def mine(self) -> bool:
+        with contextlib.closing(self.fs.open(self.path)) as stream:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8") == self.owner
+
+
 @contextlib.contextmanager
-def lock(spark: SparkSession, root: str):
-    """Holds root/LOCK, which is created if it isn't there; Locked if another run has it."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{root}/LOCK")
-    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
-    try:
-        fs.mkdirs(path.getParent())
-        fs.create(path, False).close()
-    except Exception as e:
-        if "FileAlreadyExists" in str(e) or "already exists" in str(e):
-            raise Locked(root) from None
-        raise
+def lock(spark: SparkSession, root: str, stale: float = STALE):
+    """Holds root/LOCK, which is created if it isn't there; Locked if another run has it.
+
+    The holder writes it again every so often.  A lock that nobody has written
+    for `stale` seconds is of a run that died, and is taken over.
+    """
+    file = _LockFile(spark, root)
+    if not file.create() and not (file.fs.exists(file.path) and file.take_over(stale)):
+        raise Locked(root)
+    ended = threading.Event()
+
+    def beat() -> None:
+        while not ended.wait(stale / 5):
+            if file.mine():
+                file.write(True)
+
+    holder = threading.Thread(target=beat, daemon=True)
+    holder.start()
     try:
         yield
     finally:
-        fs.delete(path, False)
+        ended.set()
+        holder.join()
+        if file.fs.exists(file.path) and file.mine():
+            file.fs.delete(file.path, False)
 
 
 def locked_run(spark: SparkSession, root: str, run: Callable[[], dict]) -> dict:

@@ -1,9 +1,11 @@
 """Catch-up as a stream: message files in, archive and ledger out, each micro-batch idempotent.
 
-A micro-batch keeps what is after its channel's cursor, writes it to the archive
-under its own number, and only then commits the ledger with the cursors moved to
-what was written.  A batch that is repeated after a crash overwrites its own
-files, and cursors never move back.
+A micro-batch keeps what is after its channel's cursor as that was when the stream
+began, writes it to the archive under its own number, and only then commits the
+ledger with the cursors moved to what was written.  A batch that is repeated after
+a crash overwrites its own files, and cursors never move back.  Files may come in
+any order: a message that lies before one of an earlier batch is written all the
+same, and one that comes twice is read from the archive once.
 """
 
 from __future__ import annotations
@@ -36,10 +38,29 @@ def settle(entries: DataFrame, pending: DataFrame, run_date: str) -> DataFrame:
     return left.withColumns({"sync_status": F.when(done, "healthy").otherwise(F.col("sync_status")), "has_sync_status": done | F.col("has_sync_status"), "backlog_reason": F.when(done, None).otherwise(F.col("backlog_reason")), "last_backup": F.when(done, F.lit(run_date)).otherwise(F.col("last_backup"))}).select(entries.columns)
 
 
-def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Snapshots, archive: str, run_label: str) -> None:
+def reading_places(entries: DataFrame) -> DataFrame:
+    """entry_key, channel_id, cursor: after what each entry's channel is read; 0 if nothing is written."""
+    return entries.select("entry_key", "channel_id", F.coalesce(newest_cursor("last_written_message_id", "last_message_id"), F.lit("0")).alias("cursor"))
+
+
+def places_at_start(spark: SparkSession, ledger: Snapshots, checkpoint: str) -> Snapshots:
+    """The cursors that a stream began with, kept beside its checkpoint; entries that are new since then are added."""
+    kept, now = Snapshots(spark, f"{checkpoint}.places"), reading_places(ledger.load())
+    if kept.current() is not None:
+        known = kept.load()
+        now = known.unionByName(now.join(known, "entry_key", "left_anti"))
+    kept.save(now)
+    return kept
+
+
+def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Snapshots, archive: str, run_label: str, places: Snapshots | None = None) -> None:
+    """places: the cursors to read after, where not those of the ledger."""
     entries = ledger.load()
-    cursors = entries.withColumn("cursor", F.coalesce(newest_cursor("last_written_message_id", "last_message_id"), F.lit("0"))).select("entry_key", "channel_id", "relative_path", "cursor")
-    new = messages_after(cursors, batch).join(cursors.select("entry_key", "relative_path"), "entry_key").persist()
+    after = reading_places(entries)
+    if places:
+        began = places.load().select("entry_key", F.col("cursor").alias("began"))
+        after = after.join(began, "entry_key", "left").withColumn("cursor", F.coalesce("began", "cursor")).drop("began")
+    new = messages_after(after, batch).join(entries.select("entry_key", "relative_path"), "entry_key").persist()
     try:
         if new.isEmpty():
             return
@@ -49,7 +70,27 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Sna
         new.unpersist()
 
 
+def start_from(spark: SparkSession, stream: DataFrame, ledger: Snapshots, archive: str, checkpoint: str, run_label: str, **trigger) -> StreamingQuery:
+    """Ingests a stream of messages; trigger as of writeStream.trigger."""
+    places = places_at_start(spark, ledger, checkpoint)
+    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(spark, df, n, ledger, archive, run_label, places)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def start(spark: SparkSession, source: str, ledger: Snapshots, archive: str, checkpoint: str, run_label: str, files: int = 100) -> StreamingQuery:
     """Ingests all message files that are there (Parquet, the schema of messages), a bounded number a micro-batch, and stops."""
     stream = spark.readStream.schema(MESSAGES).option("maxFilesPerTrigger", files).parquet(source)
-    return stream.writeStream.foreachBatch(lambda df, n: ingest_batch(spark, df, n, ledger, archive, run_label)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return start_from(spark, stream, ledger, archive, checkpoint, run_label, availableNow=True)
+
+
+def complete(ledger: Snapshots, messages: DataFrame, run_date: str) -> DataFrame:
+    """Reads after every cursor once more, and commits that entries with nothing left are caught up; the ledger after it."""
+    entries = ledger.load()
+    pending = messages_after(reading_places(entries), messages.select("channel_id", "id_num")).select("entry_key").distinct()
+    ledger.save(settle(entries, pending, run_date))
+    return ledger.load()
+
+
+def catch_up(spark: SparkSession, source: str, ledger: Snapshots, archive: str, checkpoint: str, run_label: str, run_date: str, files: int = 100) -> DataFrame:
+    """Ingests all message files that are there and then settles the ledger: a file that comes meanwhile leaves its entries partial."""
+    start(spark, source, ledger, archive, checkpoint, run_label, files).awaitTermination()
+    return complete(ledger, spark.read.schema(MESSAGES).parquet(source), run_date)
