@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import DATA
 from pyspark.sql import functions as F
 
@@ -172,6 +173,88 @@ def test_chain_on_held_out_rows(spark):
     assert any(m.chained.any() for m in chain.models[1:])  # later categories use earlier ones
 
 
+def brute_chain(rows, new, folds):
+    """The chain over dense tables, in plain steps: probabilities of new texts.  rows: (text, low_quality, toxic); folds: by key_of."""
+    sets = lambda t: frozenset(toxicity.bucket(f) for w in (t or "").lower().split() for f in toxicity.forms(w))
+    by = {}
+    for t, *y in rows:
+        by[sets(t)] = [max(a, b) for a, b in zip(by.get(sets(t), [0, 0]), y, strict=True)]
+    texts = sorted(by, key=key_of)
+    n_toxic = sum(r[2] for r in rows)
+    assert len(rows) <= toxicity.SAMPLE and n_toxic  # all are in the sample, with weight 1
+    y, fold = np.array([by[s] for s in texts], float), np.array([folds[key_of(s)] for s in texts])
+    words = sorted(set().union(*texts))
+    has = np.array([[w in s for w in words] for s in texts], float)
+
+    def fit(some, c, earlier):
+        x, t = has[some], y[some, c]
+        n, hits, p = x.sum(0), x[t == 1].sum(0), t.mean()
+        z = np.where(n >= toxicity.LEAST_DOCS, (hits - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9)), 0)
+        use = [k for k in np.argsort(-z, kind="stable")[: toxicity.FEATURES] if z[k] >= toxicity.LEAST_Z]
+        x = np.column_stack([x[:, use], earlier[some]])
+        rate = min(0.25, (t.sum() + 0.5) / (len(t) + 10))
+        w, bias, m, v = np.zeros(x.shape[1]), np.log(rate / (1 - rate)), 0, 0
+        for k in range(1, toxicity.ROUNDS + 1):
+            r = (1 / (1 + np.exp(-(x @ w + bias))) - t) / len(t)
+            g = np.append(x.T @ r + toxicity.L2 * w, r.sum())
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            step = toxicity.RATE * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
+            w, bias = w - step[:-1], bias - step[-1]
+            w[: len(use)] = np.maximum(w[: len(use)], 0)
+        return lambda h, e: 1 / (1 + np.exp(-(np.column_stack([h[:, use], e]) @ w + bias)))
+
+    none = np.zeros((len(texts), 0))
+    out_of_fold = np.zeros(len(texts))
+    for k in range(toxicity.FOLDS):
+        out_of_fold[fold == k] = fit(fold != k, 0, none)(has[fold == k], none[fold == k])
+    first, last = fit(fold >= 0, 0, none), fit(fold >= 0, 1, out_of_fold[:, None])
+    h = np.array([[w in sets(t) for w in words] for t in new], float)
+    p = first(h, np.zeros((len(new), 0)))
+    return np.column_stack([p, last(h, p[:, None])])
+
+
+def key_of(buckets):
+    return xxhash.xxh3_128_hexdigest(np.array(sorted(buckets), np.int32).tobytes())
+
+
+def folds_of(spark, rows):
+    keys = {key_of({toxicity.bucket(f) for w in (t or "").lower().split() for f in toxicity.forms(w)}) for t, _, _ in rows}
+    return {r.k: r.f for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", F.pmod(F.xxhash64("k"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+
+
+def labelled_rows():
+    rng = random.Random(17)
+    bad, junk = ["idiot", "scum!!", "clown,"], ["win$$$", "free!!", "click###"]
+    rows = []
+    for _ in range(260):
+        low, toxic = rng.random() < 0.3, rng.random() < 0.3
+        text = words_of(rng, rng.randint(3, 25), 60) + [rng.choice(junk) for _ in range(2) if low and rng.random() < 0.9] + [rng.choice(bad) for _ in range(2) if toxic and not low and rng.random() < 0.9]
+        rng.shuffle(text)
+        rows.append((" ".join(text), int(low), int(toxic and not low)))
+    return [*rows, ("", 0, 0), ("", 1, 0), rows[0], ("scum!!", 0, 1)]
+
+
+def test_chain_like_brute_force(spark):
+    rows = labelled_rows()
+    docs = docs_of(spark, [(k, t, "s") for k, (t, _, _) in enumerate(rows)])
+    labels = spark.createDataFrame([(k, 1 - low, toxic) for k, (_, low, toxic) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, labels)
+    new = ["w1 w2 idiot", "w3 click### scum", "", "w5", rows[3][0], rows[9][0]]
+    got = toxicity.score(docs_of(spark, [(k, t, "s") for k, t in enumerate(new)]), chain).orderBy("doc_id").collect()
+    want = brute_chain(rows, new, folds_of(spark, rows))
+    assert np.allclose([[r.p_low_quality, r.p_toxic] for r in got], want, atol=2e-4)
+    assert chain.models[1].chained[0] != 0 and want[0, 1] > 0.5 > want[3, 1]
+
+
+def test_sample_is_by_class_and_of_known_documents(spark):
+    docs = docs_of(spark, [(k, "w", "s") for k in range(1000)])
+    labels = spark.createDataFrame([(k, 1, int(k % 100 == 0)) for k in range(-5000, 1000)], "doc_id long, quality int, toxic int")
+    for sample, n in ((100, (10, 90)), (12, (6, 6)), (5000, (10, 990))):
+        got = toxicity.sampled(docs, labels, toxicity.CATEGORIES, sample).collect()
+        assert (sum(r.y1 for r in got), sum(1 - r.y1 for r in got)) == n and all(r.doc_id >= 0 for r in got)
+        assert sum(r.weight for r in got if r.y1) == pytest.approx(10) and sum(r.weight for r in got if not r.y1) == pytest.approx(990)
+
+
 def test_toxicity_cases(spark):
     rng = random.Random(7)
     rows = [(k, " ".join(words_of(rng, 30)) + (" Idiot!" if k % 5 == 0 else ""), "s") for k in range(400)]
@@ -404,7 +487,12 @@ def test_pipeline(spark):
         if k < 4:
             assert out.columns == docs.columns
         got = {r.doc_id: r for r in out.collect()}
-        if name == "line_dedup":
+        if name == "toxicity":
+            chain = toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+            said = {r.doc_id: r.toxic for r in toxicity.score(docs, chain).collect()}
+            assert set(got) == {i for i, x in said.items() if not x}
+            assert all(got[i].text == t for i, t, _ in rows if i in got)
+        elif name == "line_dedup":
             assert {i: r.text for i, r in got.items()} == {i: t for i, t, _, _ in brute_lines(rows)} and all(r.n_chars == len(r.text) for r in got.values())
         elif name == "near_duplicates":
             assert set(got) == {i for i, _, c in brute_components([(i, t) for i, t, _ in rows], 5, 80) if i == c}
@@ -417,6 +505,19 @@ def test_pipeline(spark):
     assert {(r.doc_id, r.taken) for r in corpus_pipeline.run(spark, d).collect()} == {(i, r.taken) for i, r in before.items()}
 
 
+def test_toxicity_stage_like_brute_force(spark, tmp_path):
+    rows = labelled_rows()
+    new = [f"{t} idiot" for t, _, _ in rows[:40]] + [" ".join(t.split()[::-1]) for t, _, _ in rows] + ["", "win$$$ idiot"]
+    known = [(k, t, "s") for k, (t, _, _) in enumerate(rows)]
+    spark.createDataFrame([(k, 1 - low, toxic) for k, (_, low, toxic) in enumerate(rows)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = docs_of(spark, [*known, *((1000 + k, t, "s") for k, t in enumerate(new))])
+    p = brute_chain(rows, [t for _, t, _ in known] + new, folds_of(spark, rows))[:, -1]
+    ids = [k for k, _, _ in known] + [1000 + k for k in range(len(new))]
+    got = {r.doc_id for r in corpus_pipeline.toxicity(spark, docs, str(tmp_path)).collect()}
+    assert got == {i for i, x in zip(ids, p, strict=True) if x < toxicity.THRESHOLD} and abs(p - toxicity.THRESHOLD).min() > 1e-3
+    assert sum(i in got for i in range(1000, 1040)) == 0 and len(got) > 200
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     a = "one two three four five six seven eight"
     rows = [(1, None, "s"), (2, "", None), (3, a, "s"), (4, a, "s"), (4, a, "s"), (None, a, "s"), (6, "x " * 20_000, "s")]
