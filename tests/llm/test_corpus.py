@@ -416,9 +416,10 @@ def test_lcs():
         assert decontaminate.lcs(decontaminate._masks(a), len(a), b) == brute_lcs(a, b)
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_leaks_planted_and_clean(spark, block, monkeypatch):
+@pytest.mark.parametrize("block,group", [(256, 8), (3, 1), (2, 3)])
+def test_leaks_planted_and_clean(spark, block, group, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(decontaminate, "GROUP", group)
     rng = random.Random(12)
     items = [(k, " ".join([*words_of(rng, 12, 30), *(f"i{k}x{j}" for j in range(14)), *words_of(rng, 6, 30)]) + ".") for k in range(8)] + [(100, None), (101, ""), (102, "w1 w2")]
     noise = lambda n: " ".join(words_of(rng, n, 5000))
@@ -455,6 +456,28 @@ def test_some_window_holds_an_item_of_36_words_whole(spark):
         assert sum(len(part[0]) for part in parts), before
 
 
+def test_search_recalls_paraphrases(spark, monkeypatch):
+    """Paraphrases with a tenth to four tenths of their words replaced: the search finds what the word check alone, over all windows and items, accepts."""
+    rng = random.Random(21)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet").orderBy("item_id").collect()]
+    vocabulary = [w for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("text").limit(60).collect() for w in (r.text or "").split()]
+    noise = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = []
+    for k in range(160):
+        words = rng.choice(items)[1].split()
+        for i in range(len(words)):
+            if rng.random() < 0.1 + 0.3 * (k % 40) / 40:
+                words[i] = rng.choice(vocabulary)
+        rows.append((k, f"{noise(rng.randint(0, 90))} {' '.join(words)} {noise(rng.randint(0, 90))}", "s"))
+    docs, bench = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    got = found()
+    search = decontaminate.candidates
+    monkeypatch.setattr(decontaminate, "candidates", lambda space, number, at: search(space, number, at, -2.0, -2.0))
+    every = found()
+    assert got <= every and len(every) >= 100 and len(got) >= 0.9 * len(every)
+
+
 def test_leaks_of_the_tables(spark):
     d = f"{DATA}/sf0.01"
     found = {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, d).collect()}
@@ -468,7 +491,7 @@ def test_leaks_of_the_tables(spark):
 def test_randomised_svd_finds_the_space(spark):
     """The latent space holds the items' own directions."""
     items = decontaminate.Items.of([(k, f"u{k} v{k} z{k}") for k in range(6)])
-    space = decontaminate.latent_space(docs_of(spark, [(1, "u1 v1 z1 other words", "s"), (2, "u2 x y", "s")]), items)
+    space = decontaminate.latent_spaces(docs_of(spark, [(1, "u1 v1 z1 other words", "s"), (2, "u2 x y", "s")]), [items])[0]
     near = space.items @ space.items.T
     assert np.allclose(near, np.eye(6), atol=0.05)
 

@@ -12,8 +12,10 @@ high or that hold enough of the item's own weight, whatever else they hold, and
 checks them word by word: the longest common subsequence with the item, and
 whether the item's answer is there, which paraphrases keep.
 
-The benchmark is taken in blocks, so what is sent to the tasks is bounded
-whatever its size; all texts are read whole for each.
+The benchmark is taken in blocks with a latent space each, and a pass over the
+texts, which are read whole, serves as many blocks as are sent to the tasks
+together: what is sent is bounded whatever the benchmark's size, and three passes
+do for GROUP * BLOCK_ITEMS items.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 
 from .common import as_list, coded_words, map_arrow
 
-#: Items searched at once, and dimensions of the latent space beyond one for each of them.
+#: Items of a block, and dimensions of the latent space beyond one for each of them.
 BLOCK_ITEMS, EXTRA_RANK = 256, 32
+#: Blocks that one pass over the texts serves; each has some 10 MB of a task's memory.
+GROUP = 8
 #: Words of a passage or window, and from one window's start to the next.
 WINDOW, HOP = 48, 12
 #: A term is common if more than this share of passages has it; each item keeps its rarest terms even so.
@@ -103,6 +107,17 @@ class Space:
     whole: np.ndarray
 
 
+def _joint(blocks: list[Items]) -> tuple[Items, list[np.ndarray]]:
+    """All words of several blocks, as one vocabulary; and, for each block, its number of each of them, -1 if it hasn't the word (the last place is for words of no block)."""
+    known = {w: k for k, w in enumerate(dict.fromkeys(w for x in blocks for w in x.vocabulary))}
+    local = []
+    for x in blocks:
+        of = np.full(len(known) + 1, -1, np.int32)
+        of[[known[w] for w in x.vocabulary]] = np.arange(len(x.vocabulary))
+        local.append(of)
+    return Items([], [], [], list(known)), local
+
+
 def _passages(items: Items, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """Benchmark words of the texts: number and passage of each, and how many passages there are."""
     names, codes, at = coded_words(batch, PUNCTUATION)
@@ -116,93 +131,116 @@ def _passages(items: Items, batch: pa.Array) -> tuple[np.ndarray, np.ndarray, in
     return number[real], passage[real], int(first[-1])
 
 
-def passage_counts(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """Passages with each word of the block, and all passages."""
-    sent, size = docs.sparkSession.sparkContext.broadcast(items), len(items.vocabulary)
+def passage_counts(docs: DataFrame, blocks: list[Items]) -> tuple[list[np.ndarray], int]:
+    """Passages with each word, for each block, and all passages; in one pass."""
+    joint, local = _joint(blocks)
+    sent, size = docs.sparkSession.sparkContext.broadcast(joint), len(joint.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size + 1, np.int64)
         for batch in batches:
             number, passage, n = _passages(sent.value, batch.column(0))
-            for a in range(0, n if size else 0, 1024):  # which words are in which passage, some passages at a time
-                lo, hi = np.searchsorted(passage, [a, a + 1024])
-                has = np.zeros((min(1024, n - a), size), bool)
-                has[passage[lo:hi] - a, number[lo:hi]] = True
-                counts[:-1] += has.sum(0)
+            if size:
+                counts[:-1] += np.bincount(np.unique(passage * size + number) % size, minlength=size)
             counts[-1] += n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1), pa.int32()), pa.array(counts)], names=["word", "n"])
+        met = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(counts[met])], names=["word", "n"])
 
     got = map_arrow(docs.select("text"), run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, np.int64)
     out[got["word"].to_numpy()] = got["n"].to_numpy()
-    return out[:-1], int(out[-1])
+    return [out[np.argsort(of[:-1], kind="stable")[np.sum(of[:-1] < 0) :]] for of in local], int(out[-1])
+
+
+def _omega(d: int, rank: int, seed: int) -> np.ndarray:
+    """The random matrix, which is made where it is needed and not sent."""
+    return np.random.default_rng(seed).normal(size=(d, rank)).astype(np.float32)
+
 
+def _grams(docs: DataFrame, blocks: list[Items], idfs: list[np.ndarray], shapes: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """For each block the Gram matrix of all passages' TF-IDF vectors, of length 1, times its random matrix; in one pass.
 
-def _gram(docs: DataFrame, items: Items, idf: np.ndarray, omega: np.ndarray) -> np.ndarray:
-    """The Gram matrix of all passages' TF-IDF vectors, of length 1, times omega.  Tasks send a row for each term that they met."""
+    Tasks send a row for each term that they met, and the sums come to the driver.
+    """
     context = docs.sparkSession.sparkContext
-    sent, d = context.broadcast((items, idf, omega.astype(np.float32))), len(idf)
+    sent = context.broadcast((*_joint(blocks), idfs))
+
+    def one(number: np.ndarray, passage: np.ndarray, idf: np.ndarray, omega: np.ndarray, total: np.ndarray) -> None:
+        keep = number >= 0
+        number, passage = number[keep], passage[keep]
+        keep, d = idf[number] > 0, len(idf)
+        pairs, tf = np.unique(passage[keep] * d + number[keep], return_counts=True)
+        for i in range(0, len(pairs), 8_000):
+            row, term = np.unique(pairs[i : i + 8_000] // d, return_inverse=True)[1], pairs[i : i + 8_000] % d
+            weight = (idf[term] * tf[i : i + 8_000]).astype(np.float32)
+            norm = np.sqrt(np.bincount(row, weight * weight))
+            weight /= norm[row].astype(np.float32)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            y = np.add.reduceat(omega[term] * weight[:, None], starts, axis=0)
+            order = np.argsort(term, kind="stable")
+            begin = np.flatnonzero(np.diff(term[order], prepend=-1))
+            total[term[order][begin]] += np.add.reduceat(y[row[order]] * weight[order][:, None], begin, axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, idf, omega = sent.value
-        total = np.zeros(omega.shape, np.float32)
+        joint, local, idfs = sent.value
+        omegas = [_omega(*shape) for shape in shapes]
+        totals = [np.zeros(x.shape, np.float32) for x in omegas]
         for batch in batches:
-            number, passage, _ = _passages(items, batch.column(0))
-            keep = idf[number] > 0
-            pairs, tf = np.unique(passage[keep] * d + number[keep], return_counts=True)
-            for i in range(0, len(pairs), 8_000):
-                row, term = np.unique(pairs[i : i + 8_000] // d, return_inverse=True)[1], pairs[i : i + 8_000] % d
-                weight = (idf[term] * tf[i : i + 8_000]).astype(np.float32)
-                norm = np.sqrt(np.bincount(row, weight * weight))
-                weight /= norm[row].astype(np.float32)
-                starts = np.flatnonzero(np.diff(row, prepend=-1))
-                y = np.add.reduceat(omega[term] * weight[:, None], starts, axis=0)
-                order = np.argsort(term, kind="stable")
-                begin = np.flatnonzero(np.diff(term[order], prepend=-1))
-                total[term[order][begin]] += np.add.reduceat(y[row[order]] * weight[order][:, None], begin, axis=0)
-        met = np.flatnonzero(np.abs(total).sum(1))
-        for i in range(0, len(met), 1024):
-            yield pa.RecordBatch.from_arrays([pa.array(met[i : i + 1024], pa.int32()), pa.array([total[k].tobytes() for k in met[i : i + 1024]], pa.binary())], names=["term", "row"])
+            number, passage, _ = _passages(joint, batch.column(0))
+            for of, idf, omega, total in zip(local, idfs, omegas, totals, strict=True):
+                one(of[number], passage, idf, omega, total)
+        for k, total in enumerate(totals):
+            met = np.flatnonzero(np.abs(total).sum(1))
+            for i in range(0, len(met), 1024):
+                part = met[i : i + 1024]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k), pa.int32()), pa.array(part, pa.int32()), pa.array([total[x].tobytes() for x in part], pa.binary())], names=["block", "term", "row"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for term, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, term, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(raw, np.float32).astype(np.float64)
-                sums[term] = sums[term] + x if term in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["term", "row"])
-
-    parts = map_arrow(docs.select("text"), run, "term int, row binary").repartition("term")
-    got = map_arrow(parts, add, "term int, row binary").toArrow()
-    out = np.zeros(omega.shape)
-    for term, raw in zip(got["term"].to_pylist(), got["row"].to_pylist(), strict=True):
-        out[term] = np.frombuffer(raw, np.float32)
+                sums[k, term] = sums[k, term] + x if (k, term) in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int32()), pa.array([x for _, x in sums], pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], names=["block", "term", "row"])
+
+    schema = "block int, term int, row binary"
+    got = map_arrow(map_arrow(docs.select("text"), run, schema).repartition("block", "term"), add, schema).toArrow()
+    out = [np.zeros(shape[:2]) for shape in shapes]
+    for k, term, raw in zip(*(got[c].to_pylist() for c in ("block", "term", "row")), strict=True):
+        out[k][term] = np.frombuffer(raw, np.float32)
     return out
 
 
-def latent_space(docs: DataFrame, items: Items, seed: int = 17) -> Space:
-    counts, n = passage_counts(docs, items)
-    idf = np.log((n + 1) / (counts + 1)) + 1e-6
+def latent_spaces(docs: DataFrame, blocks: list[Items], seed: int = 17) -> list[Space]:
+    """The space of each block; two passes over docs for all of them."""
+    counts, n = passage_counts(docs, blocks)
+    idfs = [_idf(x, c, n) for x, c in zip(blocks, counts, strict=True)]
+    shapes = [(len(idf), min(len(idf), len(x.ids) + EXTRA_RANK), seed) for x, idf in zip(blocks, idfs, strict=True)]
+    return [_space(*x) for x in zip(blocks, idfs, shapes, _grams(docs, blocks, idfs, shapes), strict=True)]
+
+
+def _idf(items: Items, counts: np.ndarray, n: int) -> np.ndarray:
     kept = counts <= COMMON * max(n, 1)
     for words in items.words:
         kept[sorted(set(words), key=lambda w: (counts[w], w))[:KEPT_TERMS]] = True
-    idf = np.where(kept, idf, 0.0)
-    d = len(idf)
+    return np.where(kept, np.log((n + 1) / (counts + 1)) + 1e-6, 0.0)
+
+
+def _space(items: Items, idf: np.ndarray, shape: tuple[int, int, int], y: np.ndarray) -> Space:
+    d, rank, _ = shape
     own = np.zeros((len(items.ids), d))
     for k, words in enumerate(items.words):
         np.add.at(own[k], words, idf[words])
     length = np.linalg.norm(own, axis=1, keepdims=True)
     own = np.divide(own, length, out=np.zeros_like(own), where=length > 0)
-    rank = min(d, len(items.ids) + EXTRA_RANK)
-    omega = np.random.default_rng(seed).normal(size=(d, rank))
-    y = _gram(docs, items, idf, omega)
+    omega = _omega(*shape).astype(np.float64)
     # As much weight on each item as the corpus has on its heaviest direction.
-    scale = OWN_WEIGHT * max(1.0, np.linalg.norm(y, 2) / max(1e-9, np.linalg.norm(omega, 2)))
+    scale = OWN_WEIGHT * max(1.0, np.linalg.norm(y, 2) / max(1e-9, np.linalg.norm(omega, 2))) if d else 1.0
     y = y / scale + own.T @ (own @ omega)
     shift = 1e-7 * np.linalg.norm(y)
     y += shift * omega
     core = omega.T @ y
-    root = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / rank * np.eye(rank))
+    root = np.linalg.cholesky((core + core.T) / 2 + 1e-9 * np.trace(core) / max(rank, 1) * np.eye(rank))
     directions = np.linalg.svd(np.linalg.solve(root, y.T).T, full_matrices=False)[0]
     terms = (idf[:, None] * directions).astype(np.float32)
     own = own @ directions
@@ -297,35 +335,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kind}, item_id long, cosine double, overlap double, answer double"
     out = docs.sparkSession.createDataFrame([], schema)
-    block: list[tuple[int, str]] = []
-    rows = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator()
-    for row in rows:
-        block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            out, block = out.unionByName(_search(docs, block, schema)), []
-    return out.unionByName(_search(docs, block, schema)) if block else out
+    group: list[list[tuple[int, str]]] = [[]]
+    for row in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
+        if len(group[-1]) == BLOCK_ITEMS:
+            if len(group) == GROUP:
+                out, group = out.unionByName(_search(docs, group, schema)), []
+            group.append([])
+        group[-1].append((row[0], row[1]))
+    return out.unionByName(_search(docs, group, schema)) if group[-1] else out
 
 
-def _search(docs: DataFrame, block: list[tuple[int, str]], schema: str) -> DataFrame:
-    items = Items.of(block)
-    space = latent_space(docs, items)
-    sent = docs.sparkSession.sparkContext.broadcast((items, space))
+def _search(docs: DataFrame, group: list[list[tuple[int, str]]], schema: str) -> DataFrame:
+    blocks = [Items.of(x) for x in group]
+    spaces = latent_spaces(docs, blocks)
+    sent = docs.sparkSession.sparkContext.broadcast((*_joint(blocks), blocks, spaces))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, space = sent.value
-        checker = Checker(items)
+        joint, local, blocks, spaces = sent.value
+        checkers = [Checker(x) for x in blocks]
         for batch in batches:
             names, codes, at = coded_words(batch.column(1), PUNCTUATION)
-            number = items.numbers(names)[codes]
-            found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for text, start, item, cosine in candidates(space, number, at):
-                good = checker.possible(number, at, text, start, item)
-                for text, start, item, cosine in zip(*(x[good].tolist() for x in (text, start, item, cosine)), strict=True):
-                    if (text, item) not in found and (shares := checker.check(number[at[text] : at[text + 1]], start, item)):
-                        found[text, item] = (round(cosine, 6), round(shares[0], 6), round(shares[1], 6))
+            numbers = joint.numbers(names)[codes]
+            found: dict[tuple[int, int, int], tuple[float, float, float]] = {}
+            for k, (of, space, checker) in enumerate(zip(local, spaces, checkers, strict=True)):
+                number = of[numbers]
+                for text, start, item, cosine in candidates(space, number, at):
+                    good = checker.possible(number, at, text, start, item)
+                    for text, start, item, cosine in zip(*(x[good].tolist() for x in (text, start, item, cosine)), strict=True):
+                        if (text, k, item) not in found and (shares := checker.check(number[at[text] : at[text + 1]], start, item)):
+                            found[text, k, item] = (round(cosine, 6), round(shares[0], 6), round(shares[1], 6))
             which = sorted(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array([t for t, _ in which], pa.int64())), pa.array([items.ids[i] for _, i in which], pa.int64()), *(pa.array([found[k][j] for k in which], pa.float64()) for j in range(3))],
+                [batch.column(0).take(pa.array([t for t, _, _ in which], pa.int64())), pa.array([blocks[k].ids[i] for _, k, i in which], pa.int64()), *(pa.array([found[x][j] for x in which], pa.float64()) for j in range(3))],
                 names=["doc_id", "item_id", "cosine", "overlap", "answer"],
             )
 
