@@ -345,8 +345,9 @@ def brute_components(rows, n=3, percent=90):
     return sorted((i, len(sets[i]), find(i)) for i in sets)
 
 
-@pytest.mark.parametrize("seed,n,percent", [(1, 3, 90), (2, 3, 90), (3, 5, 80), (4, 3, 90)])
-def test_components_like_brute_force(spark, seed, n, percent):
+@pytest.mark.parametrize("seed,n,percent,side", [(1, 3, 90, 512), (2, 3, 90, 512), (3, 5, 80, 512), (4, 3, 90, 512), (3, 5, 80, 2), (5, 3, 90, 3)])
+def test_components_like_brute_force(spark, seed, n, percent, side, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIDE", side)
     rng, rows = random.Random(seed), []
     for _ in range(9):
         base = words_of(rng, rng.choice([1, 2, 5, 30, 60, 120, 300]), 200)

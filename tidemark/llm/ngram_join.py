@@ -32,6 +32,8 @@ from .components import components
 
 #: Buckets of the counts of words and of shingles (powers of two), and words of a shingle.
 WORD_BITS, SHINGLE_BITS, WORDS = 20, 21, 3
+#: Groups of a list that meet those of another component in one key; longer lists are dealt out in squares of that side.
+SIDE = 512
 #: Buckets in a row of counts.
 _CHUNK = 1 << 16
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -225,11 +227,14 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     listed = shared.select("t", "x").join(spread, F.col("x.g") == F.col("g"), "left").drop("g").join(part, F.col("x.g") == F.col("node"), "left")
     listed = listed.select("t", "x", F.coalesce("low", "component", "x.g").alias("low"), F.coalesce("high", "component", "x.g").alias("high"))
     per_part = listed.groupBy("t", "low").agg(F.count("*").alias("k"), F.max("high").alias("high"))
-    mixed = per_part.groupBy("t").agg(F.max(F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top")).where("least < top").select("t", F.col("most.low").alias("most"))
-    listed = cut(listed.join(mixed, "t"))
+    mixed = per_part.groupBy("t").agg(F.max(F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top"), F.sum("k").alias("k")).where("least < top").select("t", F.col("most.low").alias("most"), "k")
+    # A long list is split into parts, and each pair of parts is a key of its own: no task gets the square of a list.
+    parts = F.ceil(F.col("k") / SIDE).cast("int")
+    listed = cut(listed.join(mixed, "t").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x.g"), F.col("parts")).cast("int")).drop("k"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # The largest component of a list isn't paired with itself: one side is always of another.
-    other = listed.where("low <> most or low <> high").select("t", F.col("x").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"))
-    near = listed.join(other, "t").where((F.col("x.g") != F.col("y.g")) & ~((F.col("low") == F.col("high")) & (F.col("y_low") == F.col("y_high")) & (F.col("low") == F.col("y_low"))) & _possible("x", "y", percent))
+    other = listed.where("low <> most or low <> high").select("t", F.col("x").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"), F.col("part").alias("y_part"), every.alias("part"))
+    near = listed.withColumn("y_part", every).join(other, ["t", "part", "y_part"]).where((F.col("x.g") != F.col("y.g")) & ~((F.col("low") == F.col("high")) & (F.col("y_low") == F.col("y_high")) & (F.col("low") == F.col("y_low"))) & _possible("x", "y", percent))
     near = near.select(F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2")).unionByName(spread.where("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))).distinct()
     expand = lambda x, g, a: x.join(of_members.select(F.col("g").alias(g), F.col("rep").alias(a), F.col("c").alias(f"c_{a}")), g, "left").withColumn(a, F.coalesce(a, g))
     pairs = expand(expand(near, "g1", "a"), "g2", "b").where("a <> b and not coalesce(c_a = c_b, false)")
