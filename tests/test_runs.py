@@ -72,6 +72,16 @@ def test_audit_keeps_what_a_catch_up_changed(spark, tmp_path, monkeypatch):
     assert all(seen) and not got["requeued"] and [(r.category, r.entry_key, r.detail) for r in got["report"].collect()] == [("errors", "a", "HTTP 500")]
 
 
+def test_hook_after_a_run(spark, tmp_path):
+    hook = lambda *x, **y: tuple(run.after_run(spark, *x, **y).first())
+    assert hook({}) == hook({"enabled": False, "command": "exit 9"}) == ("skipped", None, None, None)
+    config = {"enabled": True, "folder": str(tmp_path), "command": "printf x%.0s $(seq 5000); echo '{\"b\": 1}' > manifest.json"}
+    assert hook(config, dry_run=True)[0] == "planned" and not list(tmp_path.iterdir())
+    assert hook(config) == ("ok", 0, "x" * 4000, '{"b": 1}')
+    (tmp_path / "manifest.json").write_text("{")
+    assert hook(config | {"command": "echo no >&2; exit 3"}) == ("failed", 3, "no\n", None)
+
+
 def test_migration_and_discovery(spark, tmp_path):
     root = f"file://{tmp_path}/r"
     stats = run.migrate_run(spark, root, entries_of(spark, entry("a", "5", sync_status="partial"), entry("b", None)), queue_of(spark, item(0, "a", status="done")), "now").first()

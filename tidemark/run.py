@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import contextlib
 import json
+import os
+import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from .sources.archive import write_batch
 from .sources.snapshots import Snapshots, lock
 
 
+#: Characters of the hook's output that are kept.
+OUTPUT = 4000
+
+
 def tables(spark: SparkSession, root: str) -> tuple[Snapshots, Snapshots]:
     return Snapshots(spark, f"{root}/ledger"), Snapshots(spark, f"{root}/queue")
 
@@ -34,6 +40,29 @@ def ordered(queue: DataFrame) -> DataFrame:
     return queue.withColumn("ordinal", F.row_number().over(Window.orderBy(*migrate.queue_order())).cast("bigint") - 1)
 
 
+def after_run(spark: SparkSession, config: dict, dry_run: bool = False) -> DataFrame:
+    """The hook that tells an external index of new messages: one row with status, code, output and manifest.
+
+    config: enabled, folder, command, manifest (a JSON file that the command
+    leaves, relative to the folder) and timeout in seconds.  Without enabled
+    nothing runs (status skipped); a dry run says what would (planned).  The
+    command runs on the driver, in its folder; of its output the last characters
+    are kept (OUTPUT).  A manifest that can't be read is null.
+    """
+    status, code, output, manifest = "skipped", None, None, None
+    if config.get("enabled"):
+        folder = os.path.abspath(config["folder"])
+        if dry_run:
+            status, output = "planned", f"{config['command']} in {folder}"
+        else:
+            done = subprocess.run(config["command"], shell=True, cwd=folder, stdout=subprocess.PIPE, stderr=subprocess.STDOUT, text=True, errors="replace", timeout=config.get("timeout"))
+            status, code, output = "ok" if done.returncode == 0 else "failed", done.returncode, done.stdout[-OUTPUT:]
+            with contextlib.suppress(OSError, ValueError):
+                with open(os.path.join(folder, config.get("manifest", "manifest.json")), encoding="utf-8") as f:
+                    manifest = json.dumps(json.load(f), ensure_ascii=False, sort_keys=True)
+    return spark.createDataFrame([(status, code, output, manifest)], "status string, code int, output string, manifest string")
+
+
 def write_report(spark: SparkSession, report: dict, path: str) -> None:
     """A run's report as JSON lines: each table of it in a folder of its name, all else in one line in `summary`; what was there is replaced.
 
