@@ -37,15 +37,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing."""
+    """Reliable checkpoint: lineage ends in the shared folder, so a lost executor costs nothing.  The files go when the application ends."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    delete_at_end(df.sparkSession, df.sparkSession.sparkContext.getCheckpointDir())
+    return out
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this application's own when its driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, where a checkpoint of wide rows would be larger."""
+    """The rows as a Parquet table in the shared folder, where a checkpoint of wide rows would be larger.  They go when the application ends, if not before."""
     path = path or scratch_path(df.sparkSession)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
