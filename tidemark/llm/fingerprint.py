@@ -6,6 +6,8 @@ resemblance, containment and the number of distinct shingles.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +78,13 @@ def as_text(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, text: str, what: list[str] | None = None, need: Column | None = None) -> DataFrame:
+def with_next(df: DataFrame, key: str, text: str, what: list[str] | None = None, need: Column | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds next: a struct of the key, text and columns `what` of the next document by ascending key, of the first after the last.
 
     need: so many code points of the next document's text are wanted, an
-    expression of this row's text (none: all).  Documents that share a key
+    expression of this row's text (none: all).  prepare: adds the columns `what`
+    to rows like df's, if df hasn't them; it runs after the texts are shuffled, so
+    what it adds isn't shuffled with them.  Documents that share a key
     follow each other by a hash of their texts; null keys come first.  Rows that
     share key and text are one document and have the same next one.  Keys are
     read as 64-bit integers.
@@ -103,6 +107,7 @@ def with_next(df: DataFrame, key: str, text: str, what: list[str] | None = None,
     before = placed.join(F.broadcast(jumps), F.col("at") == F.col("end"), "left").select(F.coalesce("begin", F.col("at") + 1).alias("at"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), "need")
     before = placed.select("at", F.col("id").alias("of_id"), F.col("tie").alias("of_tie")).join(before, "at").drop("at")
     sent = rows.join(before, (F.col(id_) == F.col("of_id")) & (F.col(tie) == F.col("of_tie")))
+    sent = prepare(sent) if prepare else sent
     sent = sent.select("to_id", "to_tie", F.struct(F.col(key), F.substring(F.col(text), F.lit(1), F.col("need")).alias(text), *(what or [])).alias("next"))
     if not placed.where("n > 1").isEmpty():
         sent = sent.dropDuplicates(["to_id", "to_tie"])
