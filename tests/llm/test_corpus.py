@@ -361,6 +361,24 @@ def test_components_like_brute_force(spark, seed, n, percent, side, monkeypatch)
     assert sorted(map(tuple, got)) == brute_components(rows, n, percent)
 
 
+def test_order_of_few_buckets_is_as_right(spark):
+    """No shingle is known to be rare, so that lists are long; and a passage that all share."""
+    rng, rows = random.Random(31), []
+    shared = words_of(rng, 12, 10**6)
+    pool = [words_of(rng, 9, 300) for _ in range(12)]
+    for k in range(90):
+        x = [w for p in rng.sample(pool, 4) for w in p]
+        for _ in range(rng.choice([1, 1, 3])):
+            y = list(x)
+            y[rng.randrange(len(y))] = f"e{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(shared + y)))
+    want = brute_components(rows, 3, 80)
+    for bits in ((0, 0), (2, 3), (20, 21)):
+        got = ngram_join.near_components(docs_of(spark, [(i, t, "s") for i, t in rows]), n=3, percent=80, bits=bits).collect()
+        assert sorted(map(tuple, got)) == want
+    assert 1 < len({c for _, _, c in want}) < len(rows)
+
+
 def test_join_cases(spark):
     a, b = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
     docs = docs_of(spark, [(5, a, "s"), (5, b, "s"), (3, a, "s"), (9, b, "s"), (None, a, "s"), (7, "é " * 20_000, "s"), (7, "é " * 20_000, "s")])

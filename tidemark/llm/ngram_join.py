@@ -40,17 +40,18 @@ _CHUNK = 1 << 16
 PERCENT = 90
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int32)
+def _bucket(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Of `size` buckets, a power of two."""
+    return (hashes >> np.uint64(65 - size.bit_length())).astype(np.int32)
 
 
-def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+def levels(df: DataFrame, text_col: str, n: int, bits: tuple[int, int] = (WORD_BITS, SHINGLE_BITS)) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket of words, and of shingles, the logarithm of how often they occur in all texts, in eighths, as a byte.
 
-    A task sends its counts in 2 ** WORD_BITS + 2 ** SHINGLE_BITS places, and as
-    many come to the driver; both are fixed.
+    A task sends its counts in 2 ** bits places of each kind, and as many bytes
+    come to the driver, whatever the corpus.
     """
-    sizes = (1 << WORD_BITS, 1 << SHINGLE_BITS)
+    sizes = (1 << bits[0], 1 << bits[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting = np.zeros(sum(sizes), np.uint32), []
@@ -64,13 +65,13 @@ def levels(df: DataFrame, text_col: str, n: int) -> tuple[np.ndarray, np.ndarray
 
         for batch in batches:
             words, at = word_hashes(batch.column(0))
-            waiting.append(_bucket(words, WORD_BITS))
+            waiting.append(_bucket(words, sizes[0]))
             if len(words) >= n:
                 whole = np.ones(len(words) - n + 1, bool)  # shingles that lie within one text
                 for i in range(1, n):
                     inner = at[1:-1] - i
                     whole[inner[(inner >= 0) & (inner < len(whole))]] = False
-                waiting.append(_bucket(shingle_hashes(words, n)[whole], SHINGLE_BITS) + sizes[0])
+                waiting.append(_bucket(shingle_hashes(words, n)[whole], sizes[1]) + sizes[0])
             if sum(map(len, waiting)) > 500_000:
                 add()
         add()
@@ -108,8 +109,8 @@ def ordered_set(words: np.ndarray, order: tuple[np.ndarray, np.ndarray], n: int)
     shingles = shingle_hashes(words, n)
     if not len(shingles):
         return shingles
-    own = order[0][_bucket(words, WORD_BITS)]
-    level = order[1][_bucket(shingles, SHINGLE_BITS)] if len(words) >= n else own[:1]
+    own = order[0][_bucket(words, len(order[0]))]
+    level = order[1][_bucket(shingles, len(order[1]))] if len(words) >= n else own[:1]
     for i in range(min(n, len(words))):
         level = np.minimum(level, own[i : len(shingles) + i])
     distinct, first = np.unique(shingles, return_index=True)
@@ -190,17 +191,17 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     return out.join(again, id_col, "left_anti").select(df.columns).unionByName(out.join(again, id_col, "left_semi").select(df.columns).dropDuplicates([id_col]))
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, bits: tuple[int, int] = (WORD_BITS, SHINGLE_BITS)) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of df.
 
     Words are runs of characters other than ASCII white space, A to Z lowered.
     A text of fewer than n words is one shingle; null, empty and blank texts have
     none and link with nothing.  Rows that share an id are one document: they are
     linked.  A null id has a null component and links nothing.  Other columns
-    aren't read.
+    aren't read.  bits: of the buckets in which words and shingles are counted.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut(_prefixes(docs, levels(docs, "text", n), n, percent))
+    rows = cut(_prefixes(docs, levels(docs, "text", n, bits), n, percent))
     full = rows.where("n > 0 and doc_id is not null")
     # Prefixes are kept once and shuffled once, with their groups; classes are narrow.
     classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
