@@ -13,7 +13,10 @@ to test all pairs of a list: first each group is tested against its list's
 pivot, which gathers nearly all copies (the pivot has the list's shingle
 earliest, so the fewest rarer ones of its own: it is the least edited); then all pairs that are left
 between different components are tested as well, so no link between components
-is lost.  Every test counts the exact intersection.
+is lost.  Before that, pairs that differ in too many places of a parity sketch
+go: each bit is the parity of how many shingles of a set hash to it, so two sets
+differ in at least as many shingles as their sketches in bits.  Every test counts
+the exact intersection.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shingle_hashes, small_enough, word_hashes
+from .common import cut, map_arrow, mix, shingle_hashes, small_enough, word_hashes
 from .components import components
 
 #: Buckets of the counts of words and of shingles (powers of two), and words of a shingle.
 WORD_BITS, SHINGLE_BITS, WORDS = 20, 21, 3
 #: Groups of a list that meet those of another component in one key; longer lists are dealt out in squares of that side.
 SIDE = 512
+#: Bits of a set's parity sketch, in words of 64.
+PARITY = 4
 #: Buckets in a row of counts.
 _CHUNK = 1 << 16
 #: Two sets link when 100 * intersection >= PERCENT * union.
@@ -117,18 +122,24 @@ def ordered_set(words: np.ndarray, order: tuple[np.ndarray, np.ndarray], n: int)
     return distinct[np.argsort(level[first], kind="stable")]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set, as PARITY integers."""
+    odd = np.bincount((mix(shingles) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
 def _prefixes(df: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int, percent: int) -> DataFrame:
-    """doc_id, n (set size), class (digest of the set), sig (digest of prefix and size), prefix."""
+    """doc_id, n (set size), class (digest of the set), sig (digest of prefix and size), prefix, odd (parity sketch)."""
     shared = df.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, at = word_hashes(batch.column(1))
-            sizes, classes, sigs, parts = [], [], [], []
+            sizes, classes, sigs, parts, odd = [], [], [], [], []
             for i in range(len(batch)):
                 x = ordered_set(words[at[i] : at[i + 1]], shared.value, n)
                 prefix = x[: prefix_length(len(x), percent)]
@@ -136,11 +147,12 @@ def _prefixes(df: DataFrame, order: tuple[np.ndarray, np.ndarray], n: int, perce
                 classes.append(xxhash.xxh3_128_hexdigest(np.sort(x).tobytes()))
                 sigs.append(xxhash.xxh3_128_hexdigest(prefix.tobytes() + len(x).to_bytes(8, "little")))
                 parts.append(prefix)
+                odd.append(parities(x))
             offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             values = pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes), pa.array(sigs), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "n", "class", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes), pa.array(sigs), pa.ListArray.from_arrays(pa.array(offsets), values), pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * PARITY), pa.array(np.concatenate(odd) if odd else np.zeros(0, np.int64)))], names=["doc_id", "n", "class", "sig", "prefix", "odd"])
 
-    return map_arrow(df, run, "doc_id long, n long, class string, sig string, prefix array<long>")
+    return map_arrow(df, run, "doc_id long, n long, class string, sig string, prefix array<long>, odd array<long>")
 
 
 def _sets(df: DataFrame, n: int) -> DataFrame:
@@ -167,6 +179,12 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return alike(F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")), n, m, percent)
 
 
+def _close(percent: int) -> Column:
+    """Whether the parity sketches of x and y (o0, ..., null if a group has several sets) leave room for their being alike."""
+    bits = sum((F.bit_count(F.col(f"o{k}").bitwiseXOR(F.col(f"y_o{k}"))) for k in range(PARITY)), F.lit(0))
+    return F.coalesce(bits * (100 + percent) <= (F.col("x.n").cast("long") + F.col("y.n")) * (100 - percent), F.lit(True))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of document ids whose sets are alike.  Only texts of documents in pairs are read into sets."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
@@ -204,7 +222,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = cut(_prefixes(docs, levels(docs, "text", n, bits), n, percent))
     full = rows.where("n > 0 and doc_id is not null")
     # Prefixes are kept once and shuffled once, with their groups; classes are narrow.
-    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd")))
     groups = full.groupBy("sig").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     several = classes.groupBy("sig").agg(F.min("rep").alias("g"), F.count("*").alias("members")).where("members > 1").select("sig", "g")
     # Groups of one are their own only member and aren't listed.
@@ -231,11 +249,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = per_part.groupBy("t").agg(F.max(F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top"), F.sum("k").alias("k")).where("least < top").select("t", F.col("most.low").alias("most"), "k")
     # A long list is split into parts, and each pair of parts is a key of its own: no task gets the square of a list.
     parts = F.ceil(F.col("k") / SIDE).cast("int")
-    listed = cut(listed.join(mixed, "t").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x.g"), F.col("parts")).cast("int")).drop("k"))
+    single = classes.groupBy("sig").agg(F.min("rep").alias("of"), F.count("*").alias("members"), F.first("odd").alias("odd")).where("members = 1").select("of", *(F.col("odd")[k].alias(f"o{k}") for k in range(PARITY)))
+    sketched = listed.join(mixed, "t").join(single, F.col("x.g") == F.col("of"), "left").drop("of")
+    listed = cut(sketched.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x.g"), F.col("parts")).cast("int")).drop("k"))
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # The largest component of a list isn't paired with itself: one side is always of another.
-    other = listed.where("low <> most or low <> high").select("t", F.col("x").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"), F.col("part").alias("y_part"), every.alias("part"))
-    near = listed.withColumn("y_part", every).join(other, ["t", "part", "y_part"]).where((F.col("x.g") != F.col("y.g")) & ~((F.col("low") == F.col("high")) & (F.col("y_low") == F.col("y_high")) & (F.col("low") == F.col("y_low"))) & _possible("x", "y", percent))
+    other = listed.where("low <> most or low <> high").select("t", F.col("x").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"), F.col("part").alias("y_part"), every.alias("part"), *(F.col(f"o{k}").alias(f"y_o{k}") for k in range(PARITY)))
+    near = listed.withColumn("y_part", every).join(other, ["t", "part", "y_part"]).where(_close(percent)).where((F.col("x.g") != F.col("y.g")) & ~((F.col("low") == F.col("high")) & (F.col("y_low") == F.col("y_high")) & (F.col("low") == F.col("y_low"))) & _possible("x", "y", percent))
     near = near.select(F.least("x.g", "y.g").alias("g1"), F.greatest("x.g", "y.g").alias("g2")).unionByName(spread.where("low < high").select(F.col("g").alias("g1"), F.col("g").alias("g2"))).distinct()
     expand = lambda x, g, a: x.join(of_members.select(F.col("g").alias(g), F.col("rep").alias(a), F.col("c").alias(f"c_{a}")), g, "left").withColumn(a, F.coalesce(a, g))
     pairs = expand(expand(near, "g1", "a"), "g2", "b").where("a <> b and not coalesce(c_a = c_b, false)")
