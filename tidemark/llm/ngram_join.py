@@ -48,11 +48,17 @@ def _bucket(hashes: np.ndarray, size: int) -> np.ndarray:
 def levels(df: DataFrame, text_col: str, n: int, bits: tuple[int, int] = (WORD_BITS, SHINGLE_BITS)) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket of words, and of shingles, the logarithm of how often they occur in all texts, in eighths, as a byte.
 
-    A task sends its counts in 2 ** bits places of each kind, and as many bytes
-    come to the driver, whatever the corpus.
+    A task sends its counts in 2 ** bits places of each kind, compressed, and as
+    many bytes come to the driver, whatever the corpus.
     """
     sizes = (1 << bits[0], 1 << bits[1])
 
+    def packed(x: np.ndarray) -> bytes:
+        return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+    def unpacked(chunk: int, raw: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(raw, 4 * min(_CHUNK, sum(sizes) - chunk), codec="zstd"), np.uint32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, waiting = np.zeros(sum(sizes), np.uint32), []
 
@@ -76,20 +82,20 @@ def levels(df: DataFrame, text_col: str, n: int, bits: tuple[int, int] = (WORD_B
                 add()
         add()
         parts = range(0, len(counts), _CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([counts[i : i + _CHUNK].tobytes() for i in parts], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([packed(counts[i : i + _CHUNK]) for i in parts], pa.binary())], names=["chunk", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(raw, np.uint32).astype(np.int64)
+                x = unpacked(chunk, raw).astype(np.int64)
                 sums[chunk] = sums[chunk] + x if chunk in sums else x
-        rows = [np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for x in sums.values()]
+        rows = [packed(np.minimum(x, 2**32 - 1).astype(np.uint32)) for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "counts"])
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in total(batches):
-            rows = [np.minimum(255, 8 * np.log2(1 + np.frombuffer(x, np.uint32))).astype(np.uint8).tobytes() for x in batch.column(1).to_pylist()]
+            rows = [np.minimum(255, 8 * np.log2(1 + unpacked(chunk, raw))).astype(np.uint8).tobytes() for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["chunk", "level"])
 
     # Added up in two steps, so that no task reads more than about the square root of the number of tasks.
