@@ -211,7 +211,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = rows.where("n > 0 and doc_id is not null")
     # Prefixes are kept once and shuffled once, with their groups; classes are narrow.
     classes = cut(full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    groups = full.groupBy("sig").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    # One struct, of which nothing is pruned: counting the lists and filling them then read the same shuffle.
+    groups = full.groupBy("sig").agg(F.min(F.struct("doc_id", "n", "prefix")).alias("x")).select(F.col("x.doc_id").alias("g"), "x.n", "x.prefix")
     several = classes.groupBy("sig").agg(F.min("rep").alias("g"), F.count("*").alias("members")).where("members > 1").select("sig", "g")
     # Groups of one are their own only member and aren't listed.
     members = cut(classes.join(several, "sig").select("g", "rep"))
