@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, shingle_hashes, small_enough, word_hashes
+from .common import cut, discard, map_arrow, scratch_path, shingle_hashes, small_enough, stored, word_hashes
 from .components import components
 
 #: Buckets of the counts of words and of shingles (powers of two), and words of a shingle.
@@ -220,7 +220,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Narrow rows, counted before anything else is looked for: most shingles are of one group only.
     postings = groups.select("g", F.posexplode("prefix").alias("pos", "t"), F.col("n").cast("int").alias("n")).select("t", "g", "pos", "n")
     lists = postings.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
-    shared = cut(postings.join(lists, "t").select("t", F.struct("g", "n", "pos").alias("x")))
+    shared_at, listed_at = scratch_path(df.sparkSession), scratch_path(df.sparkSession)
+    shared = stored(postings.join(lists, "t").select("t", F.struct("g", "n", "pos").alias("x")), shared_at)
 
     # Each group against the pivots of its lists, each member against its group's smallest.
     pivots = shared.groupBy("t").agg(F.min(F.struct("x.pos", "x.g", "x.n")).alias("p"))
@@ -238,7 +239,8 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = per_part.groupBy("t").agg(F.max(F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top"), F.sum("k").alias("k")).where("least < top").select("t", F.col("most.low").alias("most"), "k")
     # A long list is split into parts, and each pair of parts is a key of its own: no task gets the square of a list.
     parts = F.ceil(F.col("k") / SIDE).cast("int")
-    listed = cut(listed.join(mixed, "t").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x.g"), F.col("parts")).cast("int")).drop("k"))
+    listed = stored(listed.join(mixed, "t").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("x.g"), F.col("parts")).cast("int")).drop("k"), listed_at)
+    discard(df.sparkSession, shared_at)
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     # The largest component of a list isn't paired with itself: one side is always of another.
     other = listed.where("low <> most or low <> high").select("t", F.col("x").alias("y"), F.col("low").alias("y_low"), F.col("high").alias("y_high"), F.col("part").alias("y_part"), every.alias("part"))
@@ -248,6 +250,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = expand(expand(near, "g1", "a"), "g2", "b").where("a <> b and not coalesce(c_a = c_b, false)")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     pairs = cut(pairs)
+    discard(df.sparkSession, listed_at)
     if not pairs.isEmpty():
         links = links.unionByName(_verified(pairs, docs, n, percent))
 
