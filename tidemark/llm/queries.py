@@ -14,6 +14,7 @@ from . import licenses, line_dedup, mixing, toxicity
 from .chat import BODY, END, TURN, format_records, records_of_rows
 from .common import table
 from .decontaminate import find_leaks
+from .embedding_dedup import near_vectors
 from .ngram_join import near_components
 from .pii import find_pii
 from .secrets import find_secrets
@@ -125,13 +126,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """
+    WITH RECURSIVE vectors AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    sound AS (SELECT vec_id, v FROM vectors WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+    reached AS (SELECT a AS vec_id, a AS top FROM links UNION SELECT links.b, reached.top FROM reached JOIN links ON links.a = reached.vec_id WHERE reached.top < links.b),
+    tops AS (SELECT vec_id, min(top) AS top FROM reached GROUP BY vec_id),
+    counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(top, vec_id) AS component_id, vec_id = coalesce(top, vec_id) AS kept
+    FROM embeddings LEFT JOIN tops USING (vec_id) LEFT JOIN counts USING (vec_id)"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle()}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL}
