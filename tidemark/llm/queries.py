@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from . import fingerprint as fp
-from . import licenses, line_dedup, mixing, toxicity
+from . import licenses, line_dedup, mixing, repair, toxicity
 from .chat import BODY, END, TURN, format_records, records_of_rows
-from .common import table
+from .common import stored, table
 from .decontaminate import find_leaks
 from .embedding_dedup import near_vectors
 from .ngram_join import near_components
@@ -141,13 +141,77 @@ OP11_SQL = """
     FROM embeddings LEFT JOIN tops USING (vec_id) LEFT JOIN counts USING (vec_id)"""
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text with the damage that each row's own hash calls for; gone: rows that it drops, of which only the conversation is left."""
+    code = F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" "))).cast("binary")) % 20
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    copies = F.explode(F.when(code == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", F.when(code == 4, "user").otherwise(role).alias("role"), text.alias("text"), (code == 0).alias("gone"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(table(spark, sf_dir, "conversations"))
+    plan = stored(repair.plan_repairs(rows, gone_col="gone"))
+    texts = repair.digests(repair.repaired_turns(rows, plan, gone_col="gone")).withColumnRenamed("conv_id", "of")
+    out = plan.join(texts, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _cheapest(*ways: str) -> str:
+    return f"least({', '.join(ways)})"
+
+
+def _dearer(way: str, by: str, letter: str) -> str:
+    """A way is its cost in eight digits and the initials of its edits, so that the least text is the best way."""
+    return f"(lpad(CAST(CAST(left({way}, 8) AS INT) + {by} AS VARCHAR), 8, '0') || substr({way}, 9) || '{letter}')"
+
+
+#: A table of ways for each row, not a search: to each state (nothing, after s, u, a) before the row's insertions (b) and after them (i).
+_I2 = _cheapest("b2", *(_dearer(x, "2", "I") for x in ("b0", "b1", "b3")))
+_NEW = [
+    _cheapest(_dearer("i0", "3", "D")),
+    _cheapest(_dearer("i1", "3", "D"), f"CASE WHEN role1 = 's' AND NOT must THEN {_dearer('i0', 'cut_off', 'K')} END"),
+    _cheapest(_dearer("i2", "3", "D"), f"CASE WHEN role1 = 'u' AND NOT must THEN {_cheapest(*(_dearer(x, 'cut_off', 'K') for x in ('i0', 'i1', 'i3')))} END",
+              f"CASE WHEN NOT must THEN {_cheapest(*(_dearer(x, '2 + cut_off', 'R') for x in ('i0', 'i1', 'i3')))} END"),
+    _cheapest(_dearer("i3", "3", "D"), f"CASE WHEN role1 = 'a' AND NOT must THEN {_dearer('i2', 'cut_off', 'K')} END", f"CASE WHEN NOT must THEN {_dearer('i2', '2 + cut_off', 'R')} END"),
+]
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i, 1))::BIGINT)), lambda c, x: list_reduce(list_concat([xor(c, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295)"
+OP12_SQL = rf"""
+    WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    coded AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS code FROM keyed),
+    rows AS (SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN code = 3 THEN [0, 1] ELSE [0] END) AS copy FROM coded WHERE code <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM rows),
+    marked AS (SELECT *, left(role, 1) AS role1, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 AS seen,
+        NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS short, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM placed),
+    faults AS (SELECT *, blank OR seen AS must, CAST(NOT blank AND NOT seen AND short AS INT) AS cut_off, before IS NOT NULL AND before || role1 NOT IN ('su', 'ua', 'au') AS odd FROM marked),
+    counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND seen) AS duplicate,
+        sum(cut_off) AS truncated, count(*) FILTER (odd) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+    ways AS (SELECT conv_id, CAST(1 AS BIGINT) AS place, '00000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3 FROM counts
+        UNION ALL SELECT conv_id, place + 1, {_NEW[0]}, {_NEW[1]}, {_NEW[2]}, {_NEW[3]} FROM (SELECT *, {_cheapest('b3', _dearer('i2', '2', 'I'))} AS i3 FROM (
+            SELECT f.conv_id, f.place, must, cut_off, role1, b0 AS i0, b1 AS i1, b3, {_I2} AS i2 FROM ways w JOIN faults f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND w.place = f.place))),
+    ends AS (SELECT w.conv_id, {_cheapest('b0', 'b3', _dearer(_I2, '2', 'I'))} AS best FROM ways w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.place = c.n + 1),
+    letters AS (SELECT *, sum(CASE WHEN letter = 'I' THEN 0 ELSE 1 END) OVER upto AS place, sum(CASE WHEN letter = 'D' THEN 0 ELSE 1 END) OVER upto AS nth FROM (
+        SELECT conv_id, spot, substr(best, CAST(spot AS INT), 1) AS letter FROM (SELECT *, unnest(range(9, length(best) + 1)) AS spot FROM ends)) WINDOW upto AS (PARTITION BY conv_id ORDER BY spot)),
+    edited AS (SELECT l.*, f.role, f.text, f.role1 FROM letters l LEFT JOIN faults f ON l.conv_id IS NOT DISTINCT FROM f.conv_id AND l.place = f.place AND letter <> 'I' WHERE letter <> 'D'),
+    named AS (SELECT *, bool_or(nth = 1 AND letter = 'K' AND role1 = 's') OVER (PARTITION BY conv_id) AS sys FROM edited),
+    texts AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth % 2 = 1) <> sys THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY nth)) AS repaired_sha256 FROM named GROUP BY conv_id)
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+        CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(CAST(left(best, 8) AS INT), 0) AS BIGINT) AS cost, coalesce(substr(best, 9), '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+        LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, op12_conversation_repair, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}
