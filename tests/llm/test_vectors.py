@@ -9,7 +9,7 @@ import pytest
 from conftest import DATA, against_oracle
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, embedding_dedup, queries
+from tidemark.llm import cover_tree, embedding_dedup, hard_negatives, queries
 from tidemark.llm.vectors import units
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
@@ -120,3 +120,60 @@ def test_block_pairs_are_left_out_by_radius(spark):
 
 def test_near_vectors_of_the_tables(spark):
     against_oracle(queries.op11_embedding_dedup(spark, f"{DATA}/sf0.001"), queries.OP11_SQL)
+
+
+# ---- hard negatives ----
+
+
+def mined(rows, anchors, k=5, scale=256):
+    """rows: (id, vector, label) -> what mine() gives, by brute force in Python's integers."""
+    part = [(i, [math.floor(scale * x) for x in v], label) for i, v, label in rows if i is not None and label is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for a, (i, q, label) in enumerate(part):
+        if not anchors(i):
+            continue
+        scored = sorted((-max(1 - 2**63, min(2**63 - 1, sum(x * y for x, y in zip(q, v, strict=True)))), j, b, other) for b, (j, v, other) in enumerate(part) if b != a and len(v) == len(q))
+        for s, j, _, _ in [x for x in scored if x[3] == label][:k]:
+            near = [(n, -t) for t, n, _, other in scored if other != label and 80 * -s <= 100 * -t <= 100 * -s][:k]
+            out += [(i, j, r, n, -s, t) for r, (n, t) in enumerate(near, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, length", [(1, 2), (2, 7), (3, 64)])
+def test_mining_like_brute_force(spark, seed, length, monkeypatch):
+    monkeypatch.setattr(hard_negatives, "ROWS", 90)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 9)
+    rng = np.random.default_rng(seed)
+    vectors = clustered(rng, 400, length)
+    vectors[50:80] = [vectors[0]] * 30  # ties
+    rows = [(k, v, int(rng.integers(0, 4)) if k < 300 else 7) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(tuple(r) for r in hard_negatives.mine(df, F.col("vec_id") % 20 == 0).collect()) == mined(rows, lambda i: i % 20 == 0)
+
+
+def test_mining_with_odd_rows(spark):
+    v = [0.5, 0.25]
+    rows = [
+        (0, v, 1), (0, v, 1), (1, v, 1), (2, [0.49, 0.25], 2), (3, v, None), (4, None, 2), (5, [0.5, None], 2), (6, [math.nan, 0.5], 2), (None, v, 2), (7, [], 2), (8, [0.4, 0.2], 2), (9, [0.45], 2),
+        (10, [1e9, 3.0], 1), (11, [1e9, 1.0], 2), (12, [1e300, 0.0], 2), (13, [-1e300, 1e300], 3), (14, [0.0, 0.0], 2), (15, [0.45, 0.2], 2), (15, [0.45, 0.2], 2),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], f"{SCHEMA}, score string")
+    got = sorted(tuple(r) for r in hard_negatives.mine(df, F.col("vec_id") % 5 == 0).collect())
+    assert got == mined(rows, lambda i: i % 5 == 0) and got
+    assert hard_negatives.mine(df.limit(0), F.lit(True)).collect() == []
+
+
+def test_bounds_hold_and_rule_rows_out():
+    rng = np.random.default_rng(7)
+    whole = hard_negatives.integers(units(rng.normal(size=(3000, 64)))[0], 256.0)
+    book = hard_negatives.fit(whole[:1000])
+    codes, missed = book.encode(whole)
+    scores, true = book.scores(whole[:20], codes), whole @ whole[:20].T
+    reach = missed[:, None] * np.linalg.norm(whole[:20], axis=1)
+    assert (np.abs(scores - true) <= reach * (1 + 1e-6) + 1).all()
+    best = np.sort(true, axis=0)[-6]
+    assert (scores + reach >= best).mean() < 0.1  # of all rows, those whose vectors are looked at
+
+
+def test_mining_of_the_tables(spark):
+    against_oracle(queries.op13_hard_negatives(spark, f"{DATA}/sf0.01"), queries.OP13_SQL, "sf0.01")

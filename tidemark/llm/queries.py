@@ -15,6 +15,7 @@ from .chat import BODY, END, TURN, format_records, records_of_rows
 from .common import stored, table
 from .decontaminate import find_leaks
 from .embedding_dedup import near_vectors
+from .hard_negatives import mine
 from .ngram_join import near_components
 from .pii import find_pii
 from .secrets import find_secrets
@@ -205,13 +206,30 @@ OP12_SQL = rf"""
         LEFT JOIN texts t ON o.conv_id IS NOT DISTINCT FROM t.conv_id"""
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+    WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v, row_number() OVER () AS row
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.row AS anchor, a.vec_id AS anchor_id, b.vec_id, b.row, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+        FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.row <> b.row AND len(a.v) = len(b.v)),
+    positives AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id, row) AS place FROM scored WHERE same QUALIFY place <= 5),
+    negatives AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.vec_id, n.row) AS rank
+        FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+    SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, op12_conversation_repair, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, op12_conversation_repair, op13_hard_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
