@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import json
 import os
 import sys
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from pathlib import Path
+from urllib.parse import parse_qs, urlparse
 
 import duckdb
 import pytest
@@ -49,3 +54,45 @@ def against_oracle(df, sql: str, sf: str = "sf0.001") -> None:
     assert sorted(names) == cols
     want = sorted(normal(tuple(r[names.index(c)] for c in cols)) for r in rel.fetchall())
     assert got == want
+
+
+class Served:
+    """A paged message API on this machine: data, channel to ids; failing, channel to refusals left; limited, channel to answers 429 left; asked, the requests."""
+
+    def __init__(self):
+        self.data, self.failing, self.limited, self.asked = {}, {}, {}, []
+        outer = self
+
+        class Api(BaseHTTPRequestHandler):
+            def do_GET(self):
+                at = urlparse(self.path)
+                channel, query = at.path.split("/")[2], parse_qs(at.query)
+                outer.asked.append((channel, time.monotonic()))
+                status, body = outer.answer(channel, int(query.get("after", ["0"])[0]), int(query["limit"][0]))
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(body.encode())
+
+            def log_message(self, *_):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Api)
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+    def answer(self, channel, after, limit):
+        for left, said in ((self.failing, (500, "no")), (self.limited, (429, '{"retry_after": 0.01}'))):
+            if left.get(channel, 0) > 0:
+                left[channel] -= 1
+                return said
+        ids = [n for n in self.data[channel] if n > after][:limit]
+        return 200, json.dumps([{"id": str(n), "timestamp": "2024-01-01T00:00:00Z", "content": f"m{n}", "author": {"username": "u"}, "attachments": [{"filename": "f"}]} for n in ids[::-1]])
+
+
+@pytest.fixture
+def served(tmp_path):
+    (tmp_path / "token.json").write_text('{"token": "t"}')
+    out = Served()
+    out.options = {"url": out.url, "token_file": f"{tmp_path}/token.json"}
+    yield out
+    out.server.shutdown()

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cursors import truthy
+from ..functions.cursors import id_number, truthy
 from ..plans.cut import cut
 from .audit import active_queue, messages_after
 from .ledger import mark_queue
@@ -30,20 +30,43 @@ class Limits:
     page: int = 100
 
 
-def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFrame, limits: Limits, errors: DataFrame | None = None) -> DataFrame:
-    """What the run does with each candidate: rank, entry_key, cursor, behind, batches, reads, added, status, new_cursor.
+def _kept(df: DataFrame) -> DataFrame:
+    """A few rows, at most one for each candidate, as a local table: no plan behind it and no files."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def with_channels(candidates: DataFrame, entries: DataFrame, limits: Limits) -> DataFrame:
+    """rank, entry_key, cursor, channel_id, relative_path of the first `limits.entries` candidates, as a local table."""
+    first = candidates.select("rank", "entry_key", F.coalesce(truthy("cursor"), F.lit("0")).alias("cursor")).orderBy("rank").limit(limits.entries)
+    return _kept(first.join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key"))
+
+
+def of_channels(chosen: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages of a few chosen channels after their cursors, by literals, which reach the scan; a table by channel (sources/messages.py) opens no other channel's files."""
+    rows = chosen.select("channel_id", id_number("cursor").alias("after")).where("channel_id is not null").collect()
+    if not rows:
+        return messages.where(F.lit(False))
+    channel, number = F.col("channel_id"), F.col("id_num")
+    near = F.lit(False)
+    for r in rows:
+        near = near | ((channel == r.channel_id) & (number > r.after))
+    return messages.where(channel.isin(sorted({r.channel_id for r in rows})) & (number > min(r.after for r in rows)) & near)
 
-    candidates: rank, entry_key, cursor.  At most `limits.entries` rows, so they
-    are broadcast to the messages.  Entries that the budget doesn't reach give no
-    row.  errors: entry_key, ok_reads; after so many reads, the probe after a short
-    page included, the next one fails.  The pages read until then count, the
-    failed read doesn't.  A message that the source repeats counts once.
+
+def ranked_messages(chosen: DataFrame, messages: DataFrame, most: int) -> DataFrame:
+    """The first `most` messages of each chosen entry after its cursor, numbered by id (rn), each once, however often the source repeats it.
+
+    The constant bound limits the ranking in each task, so a channel with very many messages is no burden.
     """
-    chosen = candidates.select("rank", "entry_key", F.coalesce(truthy("cursor"), F.lit("0")).alias("cursor")).join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key")
-    chosen = cut(chosen)  # at most limits.entries rows, used three times
-    after = messages_after(F.broadcast(chosen), messages.select("channel_id", "id", "id_num"))
+    after = messages_after(F.broadcast(chosen.select("entry_key", "channel_id", "cursor")), of_channels(chosen, messages)).drop("cursor")
+    by = Window.partitionBy("entry_key").orderBy("id_num")
+    return after.withColumn("rn", F.dense_rank().over(by)).where(F.col("rn") <= most).dropDuplicates(["entry_key", "rn"])
+
+
+def plan_rows(chosen: DataFrame, rows: DataFrame, limits: Limits, errors: DataFrame | None = None) -> DataFrame:
+    """The plan for chosen entries, from their first pages * page + 1 messages (entry_key, rn, id): a few rows."""
     size, pages, reads = F.lit(limits.page), F.lit(limits.pages), F.lit(limits.reads)
-    counts = after.groupBy("entry_key").agg(F.count_distinct("id_num").alias("n"))
+    counts = rows.groupBy("entry_key").agg(F.max("rn").alias("n"))
     c = chosen.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0))).drop("n")
     c = c.withColumn("need", F.floor(F.col("behind") / size) + 1).withColumn("rest", F.col("behind") % size)
     if errors is not None:
@@ -60,37 +83,42 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
     failed = F.col("fails") & (F.col("ok_reads") < F.col("left"))
     status = F.when(failed, "error").when(~F.col("fails") & (F.col("need") <= pages) & (F.col("cost") <= F.col("left")), "caught_up").otherwise("still_queued")
     c = c.withColumn("status", status)
-    # The id of the last message added; a bounded number of messages of each entry is ranked.
-    ranked = ranked_messages(after, limits).join(F.broadcast(c.select("entry_key", "added")), "entry_key").where(F.col("rn") == F.col("added"))
-    # At most limits.entries rows again; messages, entries and queue after the run all join them.
-    return cut(c.join(ranked.select("entry_key", F.col("id").alias("reached")), "entry_key", "left").select(
+    reached = rows.select("entry_key", F.col("rn").alias("added"), F.col("id").alias("reached"))
+    return _kept(c.join(reached, ["entry_key", "added"], "left").select(
         "rank", "entry_key", "relative_path", "cursor", F.col("behind").cast("bigint").alias("behind"), F.col("batches").cast("bigint").alias("batches"), F.col("reads").cast("bigint").alias("reads"),
         F.col("added").cast("bigint").alias("added"), "status", F.coalesce("reached", "cursor").alias("new_cursor"),
     ))
 
 
-def ranked_messages(after: DataFrame, limits: Limits) -> DataFrame:
-    """The first pages of each entry's messages, numbered by id; the constant bound limits the ranking in each task.
-
-    A message comes once, also if the source repeats it; only what is in those pages is looked at for that.
+def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFrame, limits: Limits, errors: DataFrame | None = None) -> DataFrame:
+    """What the run does with each candidate: rank, entry_key, relative_path, cursor, behind, batches, reads, added, status, new_cursor.
+
+    candidates: rank, entry_key, cursor; the first `limits.entries` of them.
+    Entries that the budget doesn't reach give no row.  errors: entry_key,
+    ok_reads; after so many reads, the probe after a short page included, the
+    next one fails.  The pages read until then count, the failed read doesn't.
+    behind: messages after the cursor, each once however often the source repeats
+    it, counted to one more than a run can read of an entry; nothing depends on more.
     """
-    by = Window.partitionBy("entry_key").orderBy("id_num")
-    return after.withColumn("rn", F.dense_rank().over(by)).where(F.col("rn") <= limits.pages * limits.page).dropDuplicates(["entry_key", "rn"])
+    chosen = with_channels(candidates, entries, limits)
+    rows = cut(ranked_messages(chosen, messages.select("channel_id", "id", "id_num"), limits.pages * limits.page + 1))
+    return plan_rows(chosen, rows, limits, errors)
 
 
 def catchup_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, run_date: str, limits: Limits = Limits()) -> DataFrame:
     return plan_candidates(select_worker(entries, queue, run_date, limits.entries), entries, messages, limits)
 
 
-def catchup_messages(plan: DataFrame, entries: DataFrame, messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The messages that a plan writes: entry_key, relative_path and the message, with batch (its page, from 1) and rn.
+def written_rows(plan: DataFrame, rows: DataFrame, limits: Limits) -> DataFrame:
+    """The ranked messages that a plan writes, with relative_path and batch (the page, from 1)."""
+    kept = rows.join(F.broadcast(plan.select("entry_key", "relative_path", "added")), "entry_key").where("rn <= added")
+    return kept.withColumn("batch", F.ceil(F.col("rn") / limits.page)).drop("added")
 
-    The plan's few rows are broadcast; messages are shuffled after that join and the bound on their rank only.
-    """
-    keyed = F.broadcast(plan.join(entries.select("entry_key", "channel_id"), "entry_key"))
-    after = messages_after(keyed, messages)
-    rows = ranked_messages(after, limits).drop("cursor").join(F.broadcast(plan.select("entry_key", "relative_path", "added")), "entry_key")
-    return rows.where("rn <= added").withColumn("batch", F.ceil(F.col("rn") / limits.page)).drop("added")
+
+def catchup_messages(plan: DataFrame, entries: DataFrame, messages: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The messages that a plan writes: entry_key, relative_path and the message, with batch (its page, from 1) and rn."""
+    chosen = with_channels(plan, entries, limits)
+    return written_rows(plan, ranked_messages(chosen, messages, limits.pages * limits.page), limits)
 
 
 def entries_after(entries: DataFrame, plan: DataFrame, run_date: str) -> DataFrame:
@@ -143,7 +171,8 @@ def daily_sync_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, l
 
     A second page is read only after a full first one.  An entry whose pages are
     all full is marked partial and queued; so is one that the message cap cuts
-    short.  Entries beyond the caps give no row.
+    short.  Entries beyond the caps give no row.  behind is counted to one more
+    than a pass can read of an entry, and repeated messages once.
     """
     healthy = F.when(F.col("has_sync_status"), F.coalesce(F.col("sync_status") == "healthy", F.lit(False))).otherwise(True)
     e = entries.where(healthy & truthy("backlog_reason").isNull()).withColumn("cursor", F.coalesce(truthy("last_written_message_id"), truthy("last_message_id"))).where("cursor is not null")
@@ -151,9 +180,10 @@ def daily_sync_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, l
     order = [F.coalesce(truthy("last_backup"), F.lit("0000-00-00")), F.col("entry_key")]
     checked = e.orderBy(*order).limit(limits.checked)
     checked = checked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most limits.checked rows
-    counts = messages_after(F.broadcast(checked), messages.select("channel_id", "id_num")).groupBy("entry_key").agg(F.count("*").alias("n"))
+    checked, most = _kept(checked.select("rank", "entry_key", "channel_id", "cursor")), limits.page * limits.pages
+    rows = ranked_messages(checked, messages.select("channel_id", "id_num"), most + 1)
+    counts = rows.groupBy("entry_key").agg(F.count("*").alias("n"))
     c = checked.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0)).cast("bigint"))
-    most = limits.page * limits.pages
     c = c.withColumn("want", F.least("behind", F.lit(most)))
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("used", F.coalesce(F.sum("want").over(before), F.lit(0))).withColumn("wrote", F.coalesce(F.sum(F.when(F.col("want") > 0, 1).otherwise(0)).over(before), F.lit(0)))

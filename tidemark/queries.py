@@ -326,7 +326,7 @@ def select_preview(x: Ledger) -> DataFrame:
 def planned(x: catchup.Limits) -> str:
     return f"""{picked(x.entries)}, chosen AS (SELECT p.rank, p.entry_key, e.relative_path, e.channel_id, coalesce(nullif(p.cursor, ''), '0') AS cursor FROM picked p JOIN e USING (entry_key)),
     after AS (SELECT c.entry_key, m.*, row_number() OVER (PARTITION BY c.entry_key ORDER BY m.id_num) AS rn FROM chosen c JOIN messages m ON m.channel_id = c.channel_id AND m.id_num > {num('c.cursor')}),
-    sized AS (SELECT c.*, (SELECT count(*) FROM after a WHERE a.entry_key = c.entry_key) AS behind FROM chosen c),
+    sized AS (SELECT c.*, least((SELECT count(*) FROM after a WHERE a.entry_key = c.entry_key), {x.pages * x.page + 1}) AS behind FROM chosen c),
     needs AS (SELECT *, behind // {x.page} + 1 AS need, behind % {x.page} AS rest FROM sized),
     wants AS (SELECT n.*, ok_reads, least(need, {x.pages}) + CASE WHEN rest > 0 AND need <= {x.pages} THEN 1 ELSE 0 END AS wanted FROM needs n LEFT JOIN errors USING (entry_key)),
     costs AS (SELECT *, coalesce(ok_reads < wanted, false) AS fails, CASE WHEN coalesce(ok_reads < wanted, false) THEN ok_reads ELSE wanted END AS cost FROM wants),
@@ -393,7 +393,7 @@ def run_totals(x: Ledger) -> DataFrame:
 
 @query(f"""{EQM}, e AS (SELECT *, {WRITTEN} AS cursor FROM entries WHERE (NOT has_sync_status OR sync_status = 'healthy') AND {REASON} IS NULL AND {WRITTEN} IS NOT NULL AND entry_key NOT IN {ACTIVE_KEYS}),
     checked AS (SELECT *, row_number() OVER (ORDER BY coalesce(nullif(last_backup, ''), '0000-00-00'), entry_key) AS rank FROM e QUALIFY rank <= {DAILY.checked}),
-    sized AS (SELECT c.*, (SELECT count(*) FROM messages m WHERE m.channel_id = c.channel_id AND m.id_num > {num('c.cursor')}) AS behind FROM checked c),
+    sized AS (SELECT c.*, least((SELECT count(*) FROM messages m WHERE m.channel_id = c.channel_id AND m.id_num > {num('c.cursor')}), {DAILY.page * DAILY.pages + 1}) AS behind FROM checked c),
     wanted AS (SELECT *, least(behind, {DAILY.page * DAILY.pages}) AS want FROM sized),
     used AS (SELECT *, coalesce(sum(want) OVER before, 0) AS used, coalesce(sum(CASE WHEN want > 0 THEN 1 ELSE 0 END) OVER before, 0) AS wrote FROM wanted WINDOW before AS (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     kept AS (SELECT *, CAST(least(want, {DAILY.messages} - used) AS BIGINT) AS added FROM used WHERE used < {DAILY.messages} AND wrote < {DAILY.written})

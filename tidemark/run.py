@@ -9,16 +9,19 @@ import contextlib
 import json
 import os
 import subprocess
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import audit, catchup, discover, ledger, migrate, select
 from .plans.cut import cut
+from .plans.places import with_places
 from .plans.schemas import QUEUE
-from .sources.archive import write_batch
-from .sources.snapshots import Snapshots, lock
-
+from .sources import live
+from .sources.archive import Archive, unwritten
+from .sources.snapshots import TRIES, MissingSnapshot, Moved, Snapshots, lock
 
 #: Characters of the hook's output that are kept.
 OUTPUT = 4000
@@ -29,15 +32,17 @@ def tables(spark: SparkSession, root: str) -> tuple[Snapshots, Snapshots]:
 
 
 def numbered(queue: DataFrame) -> DataFrame:
-    """New items (without a place) after all others; only they are put in order together."""
+    """New items (without a place) after all others, by entry."""
     top = queue.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("top"))  # one row
-    new = queue.where("ordinal is null").withColumn("ordinal", F.row_number().over(Window.orderBy("entry_key")).cast("bigint")).crossJoin(F.broadcast(top))
-    return queue.where("ordinal is not null").unionByName(new.withColumn("ordinal", F.col("top") + F.col("ordinal")).drop("top"))
+    new = with_places(queue.where("ordinal is null"), [F.col("entry_key")], "ordinal").crossJoin(F.broadcast(top))
+    return queue.where("ordinal is not null").unionByName(new.withColumn("ordinal", F.col("top") + 1 + F.col("ordinal")).drop("top"))
 
 
 def ordered(queue: DataFrame) -> DataFrame:
-    """A migrated queue with its places from 0; the order is one of all its items, of which there is one for each channel."""
-    return queue.withColumn("ordinal", F.row_number().over(Window.orderBy(*migrate.queue_order())).cast("bigint") - 1)
+    """A migrated queue with its places from 0, instead of those it came with."""
+    names = queue.columns
+    placed = with_places(queue, migrate.queue_order(), "__place")
+    return placed.withColumn("ordinal", F.col("__place")).select(names)
 
 
 def after_run(spark: SparkSession, config: dict, dry_run: bool = False) -> DataFrame:
@@ -82,48 +87,115 @@ def read_report(spark: SparkSession, path: str, name: str = "summary") -> DataFr
 def catch_up(spark: SparkSession, root: str, messages: DataFrame, run_date: str, now: str, limits: catchup.Limits = catchup.Limits(), dry_run: bool = False) -> dict:
     """One catch-up run; without a ledger it fails before it takes the lock.
 
-    Raw messages are written before the cursors that cover them are committed; a
-    run that is repeated writes the same messages again, and readers of the
-    archive see each once.  Cursors that another process has moved meanwhile are
-    merged in.  A dry run changes nothing and reports what it would do.
+    Ledger and queue are read under the lock.  The run's messages are read from
+    their source once, at most a bounded number of each entry, and go to the
+    archive as a batch with an id of its own, whatever `now` is; it counts from
+    the commit that moves the cursors past it.  So a run that ends anywhere has
+    either written messages and moved cursors, or neither.  If a stream commits
+    meanwhile, the run is made anew from what that left.  A dry run changes
+    nothing and reports what it would do.
+    """
+    return _catch_up(spark, root, lambda chosen: (catchup.ranked_messages(chosen, messages, limits.pages * limits.page + 1), None), run_date, now, limits, dry_run)
+
+
+def catch_up_live(spark: SparkSession, root: str, options: dict[str, str], run_date: str, now: str, limits: catchup.Limits = catchup.Limits(), dry_run: bool = False) -> dict:
+    """A catch-up run from the paged API (options as of live.read_after): one task an entry reads its pages.
+
+    A read that fails makes its entry an error; pages read before it count.
+    What an entry's pages end with is read only if the run's budget of reads
+    would let it, as if entries came one after the other; up to `limits.pages`
+    pages and a probe are asked for of each all the same.
     """
+
+    def read(chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = cut(live.read_after(chosen.select("entry_key", "channel_id", "cursor"), options, limits.page, limits.pages, tasks=limits.entries))
+        rows = live.as_messages(found, keep=["entry_key"])
+        ranks = Window.partitionBy("entry_key").orderBy("id_num")  # at most pages * page + 1 messages of an entry
+        return rows.withColumn("rn", F.dense_rank().over(ranks)).dropDuplicates(["entry_key", "rn"]), live.errors_of(found)
+
+    return _catch_up(spark, root, read, run_date, now, limits, dry_run)
+
+
+def _catch_up(spark: SparkSession, root: str, read: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], run_date: str, now: str, limits: catchup.Limits, dry_run: bool) -> dict:
+    """read: the first messages of the chosen entries, ranked, and what reads failed."""
     state, work = tables(spark, root)
-    entries = state.load()
+    if state.current() is None:
+        raise MissingSnapshot(f"no snapshot under {state.root}")
+    archive = Archive(spark, f"{root}/archive")
     with lock(spark, root):
-        queue = cut(ledger.normalize_queue(work.load(spark.createDataFrame([], QUEUE)), entries, now).drop("group"))
-        if dry_run:
-            return {"dry_run": True, "candidates": select.select_worker(entries, queue, run_date, limits.entries)}
-        selected = cut(select.queue_after_selection(entries, queue, run_date, now, limits.entries))
-        plan = catchup.catchup_plan(entries, queue, messages, run_date, limits)
-        rows = catchup.catchup_messages(plan, entries, messages, limits).drop("entry_key", "rn", "batch")
-        write_batch(rows, f"{root}/archive", now.replace(":", "-"), now)
-        # The ledger first: a queue that lags behind is raised to it by the next normalisation.
-        after = ledger.merge_state(catchup.entries_after(entries, plan, run_date), state.load())
-        state.save(after)
-        work.save(numbered(catchup.queue_after(selected, plan, now)))
-        left = work.load()
-        return {"totals": catchup.run_totals(plan), "entries": plan, "warnings": audit.audit_warnings(state.load(), left), "active": audit.active_queue_count(left), "recovered": state.recovered + work.recovered}
+        archive.settle()
+        for _ in range(TRIES):
+            entries = state.load()
+            queue = cut(ledger.normalize_queue(work.load(spark.createDataFrame([], QUEUE)), entries, now).drop("group"))
+            candidates = select.select_worker(entries, queue, run_date, limits.entries)
+            if dry_run:
+                return {"dry_run": True, "candidates": candidates}
+            selected = cut(select.queue_after_selection(entries, queue, run_date, now, limits.entries))
+            chosen = catchup.with_channels(candidates, entries, limits)
+            rows, errors = read(chosen)
+            rows = cut(rows)  # at most limits.entries * (limits.pages * limits.page + 1) of them
+            plan = catchup.plan_rows(chosen, rows, limits, errors)
+            written, batch = catchup.written_rows(plan, rows, limits), None
+            if not written.isEmpty():
+                batch = uuid.uuid4().hex
+                archive.write(unwritten(archive, written) if state.recovered else written, batch, now)
+                archive.announce(batch, state, state.at + 1)
+            try:
+                # The ledger first: a queue that lags behind is raised to it by the next normalisation.
+                state.save(catchup.entries_after(entries, plan, run_date), expected=state.at, batch=batch)
+            except Moved:
+                if batch:
+                    archive.drop(batch)
+                continue
+            if batch:
+                archive.confirm(batch)
+            work.save(numbered(catchup.queue_after(selected, plan, now)))
+            left = work.load()
+            return {"totals": catchup.run_totals(plan), "entries": plan, "warnings": audit.audit_warnings(state.load(), left), "active": audit.active_queue_count(left), "recovered": state.recovered + work.recovered}
+    raise Moved(f"{state.root} moved {TRIES} times")
 
 
 def audit_run(spark: SparkSession, root: str, messages: DataFrame, now: str, requeue: bool = False, errors: DataFrame | None = None) -> dict:
     """The audit's lists and counts; with requeue, entries that have new messages go back to the queue as partial.
 
-    What is changed is read under the lock, so a catch-up that ends meanwhile keeps its changes.
+    What is changed is read under the lock, so a catch-up that ends meanwhile
+    keeps its changes; a stream, which takes no lock, does so since the change is
+    made from what it left.
     """
     state, work = tables(spark, root)
     with lock(spark, root) if requeue else contextlib.nullcontext():
         entries, queue = state.load(), work.load(spark.createDataFrame([], QUEUE))
-        new = cut(audit.live_new_after_cursor(entries, messages))
-        if errors is not None:
-            new = cut(new.join(errors.select("entry_key"), "entry_key", "left_anti"))
+        new = cut(_found(entries, messages, errors))
         report, counts = cut(audit.audit_report(entries, messages, errors)), cut(audit.audit_counts(entries, queue))
+        requeued = False
         if requeue and not new.isEmpty():
-            hit = F.col("next_id").isNotNull()
-            changed = {"sync_status": F.when(hit, "partial").otherwise(F.col("sync_status")), "has_sync_status": hit | F.col("has_sync_status"), "backlog_reason": F.when(hit, "live_probe_found_new_messages").otherwise(F.col("backlog_reason")), "last_seen_message_id": F.coalesce("next_id", "last_seen_message_id")}
-            marked = entries.join(new.select("entry_key", "next_id"), "entry_key", "left").withColumns(changed).select(entries.columns)
-            state.save(ledger.merge_state(marked, state.load()))
-            work.save(numbered(audit.audit_requeue(queue, entries, new, now)))
-    return {"report": report, "counts": counts, "requeued": requeue and not new.isEmpty()}
+            found: list[DataFrame] = []
+
+            def marked(entries: DataFrame) -> DataFrame | None:
+                found[:] = [entries, cut(_found(entries, messages, errors))]
+                hit = F.col("next_id").isNotNull()
+                changed = {"sync_status": F.when(hit, "partial").otherwise(F.col("sync_status")), "has_sync_status": hit | F.col("has_sync_status"), "backlog_reason": F.when(hit, "live_probe_found_new_messages").otherwise(F.col("backlog_reason")), "last_seen_message_id": F.coalesce("next_id", "last_seen_message_id")}
+                return None if found[1].isEmpty() else entries.join(found[1].select("entry_key", "next_id"), "entry_key", "left").withColumns(changed).select(entries.columns)
+
+            requeued = state.update(marked) is not None
+            if requeued:
+                work.save(numbered(audit.audit_requeue(queue, *found, now)))
+    return {"report": report, "counts": counts, "requeued": requeued}
+
+
+def _found(entries: DataFrame, messages: DataFrame, errors: DataFrame | None) -> DataFrame:
+    new = audit.live_new_after_cursor(entries, messages)
+    return new if errors is None else new.join(errors.select("entry_key"), "entry_key", "left_anti")
+
+
+def audit_live(spark: SparkSession, root: str, options: dict[str, str], now: str, requeue: bool = False, tasks: int = 8, rate: float | None = None) -> dict:
+    """The audit with probes of the paged API: one message after each entry's cursor, from `tasks` tasks that share `rate` requests a second.
+
+    An entry whose read fails is in the report with its error, and not taken for caught up.
+    """
+    places = audit.with_cursor(tables(spark, root)[0].load()).where("cursor is not null").select("entry_key", "channel_id", "cursor")
+    found = cut(live.read_after(places, options, page=1, pages=1, tasks=tasks, rate=rate))
+    return audit_run(spark, root, live.as_messages(found), now, requeue, live.errors_of(found).select("entry_key", "error"))
 
 
 def migrate_run(spark: SparkSession, root: str, entries: DataFrame, queue: DataFrame, now: str, dry_run: bool = False, hot_paths: tuple[str, ...] = ()) -> DataFrame:
@@ -141,8 +213,12 @@ def migrate_run(spark: SparkSession, root: str, entries: DataFrame, queue: DataF
 def discover_run(spark: SparkSession, root: str, inventory: DataFrame, default: DataFrame, guild_id: str | None = None) -> DataFrame:
     """Patches an inventory into the ledger (default: the empty one to begin with); returns the counts."""
     state, _ = tables(spark, root)
+    stats: list[DataFrame] = []
+
+    def patched(entries: DataFrame) -> DataFrame:
+        stats[:] = [cut(discover.inventory_stats(entries, inventory))]
+        return discover.inventory_upsert(entries, inventory, guild_id)
+
     with lock(spark, root):
-        entries = state.load(default)
-        stats = cut(discover.inventory_stats(entries, inventory))
-        state.save(discover.inventory_upsert(entries, inventory, guild_id))
-    return stats
+        state.update(patched, default)
+    return stats[0]
