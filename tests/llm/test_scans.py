@@ -263,6 +263,38 @@ def test_only_notices_are_taken_for_copyright_notices():
     assert licenses.canonical_python("Copyright (c) 2020 A. Released under MIT.") == "released under mit"
 
 
+DENIED = [
+    "Copyright (c) 2020 Acme. This file is proprietary and is not licensed under the MIT License.",
+    "Copyright (c) 2020 Acme, which is not licensed under the MIT License",
+    "Copyright (c) 2020 Acme. Parts are closed. Released under the MIT License.",
+    "Copyright (c) 2020 Acme\nNot for redistribution\nReleased under the MIT License.",
+    "Copyright (c) 2020 Acme. No part of this is released under the MIT License.",
+    f"Copyright (c) 2020 Acme. The following isn't granted.\n\n{LICENSES['MIT'][0]}",
+    f"Copyright (c) 2020 Acme\nThis is not what it says:\n{LICENSES['MIT'][0]}",
+]
+
+
+def test_denied_licenses_are_none(spark):
+    got = licenses.scan_licenses(docs_of(spark, DENIED)).collect()
+    assert [(r.doc_id, r.n_text) for r in got if r.n_text] == [] and {r.doc_id for r in got} <= {3}  # a line of its own in the fourth
+
+
+def test_copyright_lines_of_any_number_and_kind(spark):
+    mit, own = LICENSES["MIT"][0], ["Copyright (c) {y} Some Body", "Portions Copyright (c) {y} Other, Inc.", "Copyright A B <a@b.c>", "Copyright {y}-2024 The Authors. All rights reserved.", "© {y} Ünï Köde", "Copyright by Some One", " * Portions copyright Some Two <x@y.z>"]
+    texts = []
+    for n in (1, 2, 5, 20, 50):
+        lines = [own[k % len(own)].format(y=1990 + k % 30) for k in range(n)]
+        texts += [gap.join(lines) + end + mit for gap in ("\n", "\n\n") for end in ("\n\n", "\n")] + ["MIT License\n\n" + "\n".join(lines) + "\n\n" + mit]
+    texts += [f"Copyright (c) 2020 {'Very Long Name of Some Body, ' * 400}\n\n{mit}", f"Copyright (c) 2020 Some Body {' '.join(mit.split())}"]
+    got = {r.doc_id: (r.license, r.n_text) for r in licenses.scan_licenses(docs_of(spark, texts)).collect()}
+    assert got == {k: ("MIT", 1) for k in range(len(texts))}
+
+
+def test_very_long_lines_are_no_burden(spark):
+    texts = ["Copyright (c) 2020 " + "x " * 300_000 + "licence", "copyright (c) " * 60_000 + "licence", "(c) 2020 Licence" + "\n" * 200_000]
+    assert licenses.scan_licenses(docs_of(spark, texts)).count() == 0
+
+
 def test_other_digests(spark):
     known = [(hashlib.md5(licenses.canonical_python("The Own Licence").encode()).hexdigest(), "Own")]
     got = licenses.scan_licenses(docs_of(spark, ["the own license.", "MIT License"]), known=known).collect()
@@ -271,8 +303,10 @@ def test_other_digests(spark):
 
 def test_canonical_python_is_the_same(spark):
     texts = [t for x in LICENSES.values() for t in x] + ["Ünï (C) x\n copyright foo\nAll rights reserved.\nv 2 LICENCE  sub-licence", " \n Copyright ©\n2020 x\n \ny", "x (c) 2020 y\n", "Copyright 2020" + " x" * 200 + "\n\ny"]
-    got = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(licenses.F.col("t"))).collect()
-    assert [r[0] for r in got] == [licenses.canonical_python(t) for t in texts]
+    texts += [*DENIED, "Portions Copyright A B <a@b.c>\nCopyright law\ncopyright 2020 x. y", "Copyright 2020 A\nB C. D\n\nE"]
+    for over in (False, True):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(licenses.F.col("t"), over)).collect()
+        assert [r[0] for r in got] == [licenses.canonical_python(t, over) for t in texts]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

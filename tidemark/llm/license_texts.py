@@ -108,18 +108,18 @@ LICENSES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": _notices("CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
 }
 
-#: md5 of the canonical form of entire texts that are too long to stand here, as in Debian's /usr/share/common-licenses: with what follows "END OF TERMS AND CONDITIONS", and up to it.
+#: md5 of both canonical forms (notices of a line, notices over lines) of entire texts that are too long to stand here, as in Debian's /usr/share/common-licenses: with what follows "END OF TERMS AND CONDITIONS", and up to it.
 DIGESTS: dict[str, list[str]] = {
     "Apache-2.0": ["184d4af64a58c708bcf4cb2468396a96", "8d99569c7b33d2f613388e7f7b6676c3"],
     "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
     "CC0-1.0": ["dcb3226ed1c311f82507296410434b55"],
-    "GFDL-1.2": ["ab7b5c327701da3f51c4685be3637e7b"],
-    "GFDL-1.3": ["3684ce789cf10740b9525e2f664b19b8"],
-    "GPL-1.0": ["fc612179e94c9cb3923841860cfa9a4e", "3aecf3f85b2a7e1cf719c688a1c214fa"],
-    "GPL-2.0": ["cb1eb18b44b31180cc7a0abc196d0eb5", "08fc7904273686408e9b590734de5b14"],
+    "GFDL-1.2": ["c969fdb4b731dadf7173c1ffbe49a117", "249045de8751a52011a06f1b13b877ef"],
+    "GFDL-1.3": ["eb6b86c0fad89753a5a36c484fa0ada2", "84f73aa3e7c0c953fe94ba9f9d3c570c"],
+    "GPL-1.0": ["e5fd842fec56252356c4b59ff4c25396", "fc612179e94c9cb3923841860cfa9a4e", "dbf3c47f5a8f127e58d08cabc1ebb916", "3aecf3f85b2a7e1cf719c688a1c214fa"],
+    "GPL-2.0": ["c8178c7747e0c4dc179d321519588c40", "cb1eb18b44b31180cc7a0abc196d0eb5", "68380dbeadb093b94ecf563db7312db7", "08fc7904273686408e9b590734de5b14"],
     "GPL-3.0": ["3b0dde2c42fd48066d699b996be97e73", "444f95dc767ede978b60cfb20fbd0bca"],
-    "LGPL-2.0": ["0a25d2aecfda735541d43229ff8080bd", "2ea042204e231b3b068b34aabcb576c6"],
-    "LGPL-2.1": ["289ba0a8647a7ad2647bd232a2712184", "779e2ace56e0d116674a950a1728889b"],
+    "LGPL-2.0": ["74cf7fcef3b29a39165a795b2cad3a3a", "0a25d2aecfda735541d43229ff8080bd", "c396ba2f94537628797123bc12cd2d6e", "2ea042204e231b3b068b34aabcb576c6"],
+    "LGPL-2.1": ["f998bc436710cfece156aaa84fd26dd4", "289ba0a8647a7ad2647bd232a2712184", "3054b3781b1af43f906dc753acad15ee", "779e2ace56e0d116674a950a1728889b"],
     "LGPL-3.0": ["b31b7335bc37919e8cdd79154e04d88d"],
     "MPL-1.1": ["0f0c1f60803aac0283d5423bdccdfcc4"],
     "MPL-2.0": ["47daab7b99aa07cc72294488182970a7"],
