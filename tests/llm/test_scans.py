@@ -219,6 +219,61 @@ def test_conversation_of_null_turns_only(spark):
     assert got == {1: ("rows", [("assistant", "a"), ("user", "b")]), 2: ("rows", [("", "")])}
 
 
+@pytest.mark.parametrize(
+    "record, name, turns",
+    [
+        ('{"messages": [', None, []),
+        ("[" * 100_000, None, []),
+        ('{"messages": ' + "[" * 100_000, None, []),
+        ("[1]", None, []),
+        ("NaN", None, []),
+        ('{"a": ' + "9" * 5000 + "}", None, []),
+        ({"turns": [{"turn": "2", "role": "user", "text": "d"}, {"turn": 10, "role": "user", "text": "c"}, {"turn": 2.5, "role": None, "text": "b"}, {"turn": None, "role": "user", "text": "a"}, {"turn": [1], "role": "x", "text": "e"}, {"turn": float("nan"), "role": "y", "text": "f"}]}, "rows", [("user", "a"), ("", "b"), ("user", "c"), ("user", "d"), ("y", "f"), ("x", "e")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "u"}, "b", None]}, {"role": 5, "content": {"content": {"text": "c"}}}, "odd", 7]}, "messages", [("user", 'a\n\n{"type": "image", "url": "u"}\n\nb'), ("5", "c")]),
+        ({"messages": [], "prompt": "p", "completion": None}, "prompt", [("user", "p"), ("assistant", "")]),
+        ({"prompt": {"text": "p", "more": [1]}, "response": ["x", ["y"]]}, "response", [("user", "p"), ("assistant", "x\n\ny")]),
+        ({"question": 1, "answer": False, "context": []}, "question", [("user", "1"), ("assistant", "false")]),
+        ({"messages": {"role": "user", "content": "x"}}, None, []),
+        ('{"prompt": "a\\ud800b", "completion": "\\ud83d\\ude00"}', "prompt", [("user", "a\ufffdb"), ("assistant", "\U0001f600")]),
+    ],
+)
+def test_odd_records_give_a_row(spark, record, name, turns):
+    df = spark.createDataFrame([(1, record if isinstance(record, str) else json.dumps(record))], "id long, record string")
+    r = chat.format_records(df, "id", "record").first()
+    assert (r.layout, chat.read_back(r.formatted).turns, r.n_turns) == (name, turns, len(turns))
+
+
+def test_all_layouts_on_whole_tables(spark):
+    """Every conversation, or every turn with its answer, in each of the layouts: read back, the turns are those of the table."""
+    rows = spark.read.parquet(f"{DATA}/sf0.01/conversations.parquet").collect()
+    by = {}
+    for r in sorted(rows, key=lambda r: (r.conv_id, r.turn)):
+        by.setdefault(r.conv_id, []).append((r.role, r.text))
+    names, back = {"user": "human", "assistant": "gpt"}, []
+    for turns in by.values():
+        back.append(({"turns": [{"turn": k, "role": r, "text": t} for k, (r, t) in reversed(list(enumerate(turns)))]}, "rows", turns))
+        back.append(({"messages": [{"role": r, "content": t} for r, t in turns], "more": 1}, "messages", turns))
+        back.append(({"conversations": [{"from": names.get(r, r), "value": t} for r, t in turns]}, "conversations", turns))
+        for (a, x), (b, y) in zip(turns, turns[1:], strict=False):
+            if (a, b) != ("user", "assistant"):
+                continue
+            back.append(({"instruction": x, "input": "", "output": y}, "instruction", [(a, x), (b, y)]))
+            back.append(({"system": "s", "prompt": x, "completion": y}, "prompt", [("system", "s"), (a, x), (b, y)]))
+            back.append(({"prompt": x, "response": y}, "response", [(a, x), (b, y)]))
+            back.append(({"context": "c", "question": x, "answer": y}, "question", [(a, f"c\n\n{x}"), (b, y)]))
+    df = spark.createDataFrame([(k, json.dumps(x)) for k, (x, _, _) in enumerate(back)], "id long, record string")
+    got = {r.conv_id: r for r in chat.format_records(df, "id", "record").collect()}
+    assert {n for _, n, _ in back} == {x.name for x in chat.LAYOUTS} and len(got) == len(back)
+    for k, (_, name, turns) in enumerate(back):
+        assert (got[k].layout, chat.read_back(got[k].formatted).turns) == (name, turns)
+
+
+def test_a_table_that_has_the_added_conversation(spark, tmp_path):
+    spark.createDataFrame([(-7, 0, "user", "own <|end|> <\\|turn|>")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op7_chat(spark, str(tmp_path)).collect()
+    assert sorted((r.conv_id, r.n_turns) for r in got) == [(-7, 1), (-7, 2)]
+
+
 # ---- licences ----
 
 

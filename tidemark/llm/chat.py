@@ -63,6 +63,36 @@ def read_back(formatted: str, learn: tuple[str, ...] = ("assistant",)) -> Read:
 # ---- layouts ----
 
 
+def whole(text: str) -> str:
+    """The text with U+FFFD for halves of surrogate pairs, which JSON can hold and no column can."""
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
+
+
+def as_text(value) -> str:
+    """What a field says: a string as it is, null nothing, a list its parts' texts joined by empty lines, an object its text or content, anything else its JSON."""
+    if value is None or isinstance(value, str):
+        return whole(value or "")
+    if isinstance(value, list):
+        return "\n\n".join(filter(None, map(as_text, value)))
+    if isinstance(value, dict):
+        inner = next((value[k] for k in ("text", "content") if k in value), None)
+        return as_text(inner) if inner is not None else json.dumps(value, ensure_ascii=False, sort_keys=True)
+    return json.dumps(value)
+
+
+def place(value) -> tuple:
+    """A total order of whatever stands for a turn's number: nothing, then numbers, then strings, then the rest by its JSON."""
+    if value is None:
+        return (0, 0, "")
+    if isinstance(value, (int, float)) and value == value:  # NaN is with the rest
+        return (1, value, "")
+    return (2, 0, value) if isinstance(value, str) else (3, 0, json.dumps(value, sort_keys=True))
+
+
 def field_paths(value, prefix: str = "") -> set[str]:
     if isinstance(value, dict):
         return {p for k, x in value.items() for p in field_paths(x, f"{prefix}.{k}" if prefix else k)} or {prefix}
@@ -101,11 +131,10 @@ class Layout:
     def read(self, record: dict) -> list[tuple[str, str]]:
         named = dict(self.roles)
         if self.turns:
-            items = list(record.get(self.turns) or [])
-            if self.order:
-                items.sort(key=lambda x: ((v := x.get(self.order)) is not None, v or 0, x.get(self.role) or "", x.get(self.text) or ""))
-            return [(named.get(r := x.get(self.role) or "", r), x.get(self.text) or "") for x in items]
-        out = [(role, "\n\n".join(str(record[x]) for x in fields if record.get(x))) for role, fields in self.parts]
+            items = [x for x in record[self.turns] if isinstance(x, dict)]
+            turns = [(place(x.get(self.order)) if self.order else (), as_text(x.get(self.role)), as_text(x.get(self.text))) for x in items]
+            return [(named.get(role, role), text) for _, role, text in (sorted(turns) if self.order else turns)]
+        out = [(role, "\n\n".join(filter(None, (as_text(record.get(x)) for x in fields)))) for role, fields in self.parts]
         return [(role, text) for role, text in out if text or role == "assistant"]
 
 
@@ -133,8 +162,21 @@ def registry(layouts: list[Layout]) -> tuple[dict[str, Layout], set[str]]:
 
 
 def layout_of(record: dict, by: dict[str, Layout], known: set[str]) -> Layout | None:
-    """By the fingerprint of the record's known paths; fields that no layout names don't matter."""
-    return by.get(schema_fingerprint(field_paths(record) & known))
+    """By the fingerprint of the record's known paths; fields that no layout names don't matter, nor does what is nested within one that a layout names."""
+    found = set()
+    for path in field_paths(record):
+        ends = [m.start() for m in re.finditer(r"\.|\[\]", path)]
+        found |= known & {path, *(path[:end] for end in ends)}
+    return by.get(schema_fingerprint(found))
+
+
+def record_of(raw: str | None) -> dict | None:
+    """The JSON object of a text; None if it is none."""
+    try:
+        record = json.loads(raw) if raw else None
+    except (ValueError, RecursionError):
+        return None
+    return record if isinstance(record, dict) else None
 
 
 def format_records(df: DataFrame, id_col: str, record_col: str, layouts: list[Layout] | None = None) -> DataFrame:
@@ -142,8 +184,11 @@ def format_records(df: DataFrame, id_col: str, record_col: str, layouts: list[La
 
     Columns: conv_id, layout (null: no layout fits), formatted, n_turns,
     turns_sha256, loss_chars, loss_sha256, formatted_chars.  Null texts and roles
-    are empty.  A record that is null, isn't an object or fits no layout has no
-    turns and an empty formatted text.  Repeated rows give a row each.
+    are empty; other values than strings are read as as_text() says, turns that
+    aren't objects left out.  A record that is null, no JSON or nested too deeply
+    to read, isn't an object or fits no layout has no turns and an empty formatted
+    text.  Turns of a layout with an order are sorted by place(), then role, then
+    text.  Repeated rows give a row each.
     """
     by, known = registry(layouts or LAYOUTS)
     digest = lambda parts: hashlib.sha256("".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
@@ -152,8 +197,8 @@ def format_records(df: DataFrame, id_col: str, record_col: str, layouts: list[La
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for raw in batch.column(1).to_pylist():
-                record = json.loads(raw) if raw else None
-                layout = layout_of(record, by, known) if isinstance(record, dict) else None
+                record = record_of(raw)
+                layout = layout_of(record, by, known) if record else None
                 formatted = format_turns(layout.read(record)) if layout else ""
                 back = read_back(formatted)
                 loss = [unescape(formatted[a:b]) for a, b in back.mask]

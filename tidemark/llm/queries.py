@@ -101,18 +101,19 @@ OP6_SQL = """
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(EXTRA_CONVERSATION, 0, "user", EXTRA_TEXT), (EXTRA_CONVERSATION, 1, "assistant", EXTRA_TEXT)], "conv_id long, turn long, role string, text string")
-    return format_records(records_of_rows(rows.unionByName(extra)), "conv_id", "record").drop("formatted")
+    records = records_of_rows(rows).unionByName(records_of_rows(extra))  # a conversation of the table that has this id too stays one of its own
+    return format_records(records, "conv_id", "record").drop("formatted")
 
 
 _ORDER = "ORDER BY turn NULLS FIRST, role, text"
 _MARKS = len(TURN + BODY + END)
 OP7_SQL = rf"""
-    WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-        UNION ALL VALUES ({EXTRA_CONVERSATION}, 0, 'user', '{EXTRA_TEXT}'), ({EXTRA_CONVERSATION}, 1, 'assistant', '{EXTRA_TEXT}'))
+    WITH turns AS (SELECT conv_id, 0 AS extra, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES ({EXTRA_CONVERSATION}, 1, 0, 'user', '{EXTRA_TEXT}'), ({EXTRA_CONVERSATION}, 1, 1, 'assistant', '{EXTRA_TEXT}'))
     SELECT conv_id, 'rows' AS layout, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
         CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
         CAST(sum({_MARKS} + length(role) + length(text) + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(text, '<\\*\|'))) AS BIGINT) AS formatted_chars
-    FROM turns GROUP BY conv_id"""
+    FROM turns GROUP BY conv_id, extra"""
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
