@@ -113,7 +113,7 @@ def test_sketches_merge(spark):
 # ---- line dedup ----
 
 
-def brute_lines(rows, ratio=line_dedup.RATIO, least=2):
+def brute_lines(rows, ratio=line_dedup.RATIO, least=1):
     pages = {}
     for _, t, s in rows:
         if t is not None:
@@ -141,8 +141,8 @@ def test_line_dedup_like_brute_force(spark, small, monkeypatch):
     key = lambda x: (x[0], x[1] or "")
     assert sorted(map(tuple, got), key=key) == sorted(brute_lines(rows), key=key)
     assert line_dedup.drop_boilerplate(docs_of(spark, []), "source").count() == 0
-    alone = line_dedup.drop_boilerplate(docs_of(spark, rows), "source", least=1).select("doc_id", "text", "n_lines", "n_dropped").collect()
-    assert sorted(map(tuple, alone), key=key) == sorted(brute_lines(rows, least=1), key=key)
+    alone = line_dedup.drop_boilerplate(docs_of(spark, rows), "source", least=2).select("doc_id", "text", "n_lines", "n_dropped").collect()
+    assert sorted(map(tuple, alone), key=key) == sorted(brute_lines(rows, least=2), key=key)
 
 
 def test_line_dedup_by_host_of_url(spark):
@@ -152,12 +152,18 @@ def test_line_dedup_by_host_of_url(spark):
     rows = [(k, f"menu\nown {k}", f"http://{'ab'[k % 2]}.example.com/{k}") for k in range(6)] + [(7, "menu\nown", "http://c.example.com/")]
     extra = {"n_lines": "mine", "n_dropped": "too", "__host": "h", "__bad": "b", "__split": "p", "__own": "o", "__kept": "k"}
     df = docs_of(spark, rows).withColumns({k: F.lit(x) for k, x in extra.items()})
-    got = line_dedup.drop_boilerplate(df, "source")
+    got = line_dedup.drop_boilerplate(df, "source", least=2)
     assert got.columns == [*df.columns, "n_lines_", "n_dropped_"]
     assert {r.doc_id: (r.text, r.n_lines_, r.n_dropped_) for r in got.collect()} == {**{k: (f"own {k}", 2, 1) for k in range(6)}, 7: ("menu\nown", 2, 0)}
     assert all(r[k] == x for r in got.collect() for k, x in extra.items())
 
 
+def test_lines_of_html(spark):
+    pages = {"<p>a <b>b</b></p><script>x</p></script><!-- <p> --><ul><li>c</li> <li>d\n\n e</li></ul>": "a b\nc\nd\ne", "": "", None: None, "<title>T</title>x<br/>y &amp; z<style>\np{}\n</style>": "T\nx\ny &amp; z"}
+    df = spark.createDataFrame([(h,) for h in pages], "html string").select("html", line_dedup.lines_of_html(F.col("html")).alias("text"))
+    assert {r.html: r.text.strip("\n") if r.text else r.text for r in df.collect()} == pages
+
+
 # ---- toxicity ----
 
 
@@ -535,7 +541,7 @@ def test_pipeline(spark):
             assert set(got) == {i for i, x in said.items() if not x}
             assert all(got[i].text == t for i, t, _ in rows if i in got)
         elif name == "line_dedup":
-            assert {i: r.text for i, r in got.items()} == {i: t for i, t, _, _ in brute_lines(rows)} and all(r.n_chars == len(r.text) for r in got.values())
+            assert {i: r.text for i, r in got.items()} == {i: t for i, t, _, _ in brute_lines(rows, least=2)} and all(r.n_chars == len(r.text) for r in got.values())
         elif name == "near_duplicates":
             assert set(got) == {i for i, _, c in brute_components([(i, t) for i, t, _ in rows], 5, 80) if i == c}
         elif name == "decontamination":

@@ -22,15 +22,22 @@ def host_of(url: Column) -> Column:
     return F.when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), host).otherwise(url)
 
 
-def drop_boilerplate(df: DataFrame, url: str, text: str = "text", ratio: float = RATIO, least: int = 2, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+def lines_of_html(html: Column) -> Column:
+    """The text of a page with a line for each block: scripts, styles and comments go, so do tags; entities stay."""
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
+    lines = F.regexp_replace(bare, r"(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|aside|main|h[1-6]|table|tr|td|th|title|head|body|html|br|hr|form|blockquote|pre)\b[^>]*>", "\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(lines, r"<[^>]*>", ""), r"[ \t\r]*\n\s*", "\n"))
+
+
+def drop_boilerplate(df: DataFrame, url: str, text: str = "text", ratio: float = RATIO, least: int = 1, counts_as: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """The rows of df with the boilerplate lines of their host taken out of the text, and two columns (long) with how many
     lines it had and lost, named by counts_as; a column of df that is called so stays, and the new one gets an underscore more.
 
     url: the column whose host_of is a page's host.  A line goes if it is on more
-    than `ratio` of the host's pages, and on at least `least`: on 2, since a line
-    that a host has on one page only repeats nothing, however few pages there are
-    (1: the ratio alone, by which hosts of fewer than 1 / ratio pages lose all
-    their texts).  A page of which every line goes has an empty text.
+    than `ratio` of the host's pages, and on at least `least` of them: by the ratio
+    alone (1), hosts of fewer than 1 / ratio pages lose all their texts, which a
+    caller who would keep what is on one page only asks for (2).  A page of which
+    every line goes has an empty text.
 
     A page is a distinct text of a host: copies under other ids are one page, so
     that copying a page doesn't make its content boilerplate.  Lines are compared

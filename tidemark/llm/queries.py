@@ -59,13 +59,35 @@ OP3_SQL = f"""
     WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE text IS NOT NULL),
     totals AS (SELECT source, count(*) AS total FROM pages GROUP BY source),
     lines AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10)))) AS line FROM pages) WHERE line <> '' GROUP BY ALL),
-    bad AS (SELECT l.source, list(line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 2 AND n > total * {line_dedup.RATIO} GROUP BY l.source),
+    bad AS (SELECT l.source, list(line) AS bad FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source WHERE n > total * {line_dedup.RATIO} GROUP BY l.source),
     split AS (SELECT doc_id, d.source, text, coalesce(string_split(text, chr(10)), []) AS every, coalesce(bad, []) AS bad FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source),
     kept AS (SELECT *, list_filter(every, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) AS final FROM split)
     SELECT doc_id, source, CAST(len(every) AS BIGINT) AS n_lines, CAST(len(every) - len(final) AS BIGINT) AS n_dropped,
         CASE WHEN text IS NULL THEN NULL ELSE array_to_string(final, chr(10)) END AS text FROM kept"""
 
 
+#: Of page_line_dedup: hosts have a few pages each, so a line goes if it is on two and on more than so many of them.
+PAGE_RATIO, PAGE_LEAST = 0.3, 2
+
+
+def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line dedup by the hosts of real URLs, over the lines of web pages."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", line_dedup.lines_of_html(F.col("html")).alias("text"))
+    return line_dedup.drop_boilerplate(pages, "url", ratio=PAGE_RATIO, least=PAGE_LEAST).select("page_id", line_dedup.host_of(F.col("url")).alias("host"), "n_lines", "n_dropped", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_HTML = "regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<!--.*?-->', '', 'g'), '(?i)</?(?:p|div|li|ul|ol|nav|article|section|header|footer|aside|main|h[1-6]|table|tr|td|th|title|head|body|html|br|hr|form|blockquote|pre)\\b[^>]*>', chr(10), 'g')"
+PAGE_SQL = rf"""
+    WITH p AS (SELECT page_id, rtrim(lower(regexp_replace(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1), '^.*@|:.*$', '', 'g')), '.') AS host,
+        trim(regexp_replace(regexp_replace({_HTML}, '<[^>]*>', '', 'g'), '[ \t\r]*\n\s*', chr(10), 'g')) AS text FROM pages),
+    texts AS (SELECT DISTINCT host, text FROM p WHERE text IS NOT NULL), totals AS (SELECT host, count(*) AS total FROM texts GROUP BY host),
+    lines AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT host, text, trim(unnest(string_split(text, chr(10)))) AS line FROM texts) WHERE line <> '' GROUP BY ALL),
+    bad AS (SELECT l.host, list(line) AS bad FROM lines l JOIN totals t ON l.host IS NOT DISTINCT FROM t.host WHERE n >= {PAGE_LEAST} AND n > total * {PAGE_RATIO} GROUP BY l.host),
+    split AS (SELECT page_id, p.host, text, coalesce(string_split(text, chr(10)), []) AS every, coalesce(bad, []) AS bad FROM p LEFT JOIN bad b ON p.host IS NOT DISTINCT FROM b.host),
+    kept AS (SELECT *, list_filter(every, lambda x: trim(x) = '' OR NOT list_contains(bad, trim(x))) AS final FROM split)
+    SELECT page_id, host, CAST(len(every) AS BIGINT) AS n_lines, CAST(len(every) - len(final) AS BIGINT) AS n_dropped, md5(CASE WHEN text IS NOT NULL THEN array_to_string(final, chr(10)) END) AS text_md5 FROM kept"""
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -229,8 +251,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, op12_conversation_repair, op13_hard_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_fingerprints, op3_line_dedup, op4_toxicity, op5_secrets, op6_mixing, op7_chat, op8_licenses, op9_decontamination, op10_ngram_join, op11_embedding_dedup, op12_conversation_repair, op13_hard_negatives, page_line_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op3_line_dedup": OP3_SQL, "page_line_dedup": PAGE_SQL, "op6_mixing": OP6_SQL, "op7_chat": OP7_SQL, "op8_licenses": licenses.oracle(), "op11_embedding_dedup": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_hard_negatives": OP13_SQL}
