@@ -30,7 +30,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source; n_chars is that of the new text."""
     names = unused(docs, "__lines"), unused(docs, "__dropped")
-    out = drop_boilerplate(docs, "source", counts_as=names)
+    out = drop_boilerplate(docs, "source", least=2, counts_as=names)  # a source of few documents keeps what it has once
     return out.withColumn("n_chars", F.when(F.col(names[1]) > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
