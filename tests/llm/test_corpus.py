@@ -270,7 +270,12 @@ def test_toxicity_cases(spark):
     new = docs_of(spark, [(0, None, "s"), (1, "", "s"), (2, "an idiot", "s"), (2, "an idiot", "s"), (3, " ".join(words_of(rng, 20_000)), "s"), (4, " ".join(words_of(rng, 20_000)) + " idiot", "s")])
     assert sorted((r.doc_id, r.toxic) for r in toxicity.score(new, chain).collect()) == [(0, False), (1, False), (2, True), (2, True), (3, False), (4, True)]
     assert sorted(r.doc_id for r in toxicity.keep_clean(new, chain).collect()) == [0, 1, 3]
-    none = toxicity.train(docs, labels.where("false"))
+    assert chain.off == ["low_quality"]
+    few = labels.where("toxic = 0 or doc_id < 45")
+    with pytest.warns(UserWarning, match="toxic will not be predicted"):
+        assert toxicity.train(docs, few).off == ["low_quality", "toxic"]
+    with pytest.warns(UserWarning, match="0 labelled texts"):
+        none = toxicity.train(docs, labels.where("false"))
     assert toxicity.score(new, none).where("toxic").count() == 0
     assert toxicity.score(docs_of(spark, []), chain).count() == 0
 

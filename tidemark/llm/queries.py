@@ -31,8 +31,8 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, cut = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
-    sketched = lambda df: fp.with_sketch(df, F.col("text"), "own")
-    docs = sketched(fp.with_next(docs, "doc_id", "text", ["own"], need=cut, prepare=sketched))
+    # A text is sketched once, before the shuffle, and its sketch (1 kB at most) goes with it and to the document before.
+    docs = fp.with_next(fp.with_sketch(docs, F.col("text"), "own"), "doc_id", "text", ["own"], need=cut)
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - cut), F.col("next.text")))
     docs = docs.select("doc_id", n.cast("long").alias("n_chars"), "own", F.col("next.own").alias("after"), F.col("next.doc_id").alias("next_doc_id"), "edited")
     docs = fp.with_sketch(docs, F.col("edited"), "new")

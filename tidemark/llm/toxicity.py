@@ -13,6 +13,7 @@ category in the tasks, and only the words that are chosen come to the driver.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -73,6 +74,8 @@ class Linear:
     weights: np.ndarray
     chained: np.ndarray
     bias: float
+    #: Whether there were examples enough to fit it; if not, it gives the rate and predicts nothing.
+    fitted: bool = True
 
     def margins(self, flat: np.ndarray, row: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
         return np.bincount(row, self.weights[flat], n) + earlier @ self.chained + self.bias
@@ -106,7 +109,7 @@ def fit_linear(flat: np.ndarray, row: np.ndarray, earlier: np.ndarray, y: np.nda
     rate = min(0.25, (float(w8 @ y) * len(y) + 0.5) / (len(y) + 10))
     weights, bias = np.zeros(len(use), np.float32), float(np.log(rate / (1 - rate)))
     if y.sum() < LEAST_POSITIVE or y.sum() > len(y) - LEAST_POSITIVE:
-        return Linear(weights, np.zeros(earlier.shape[1]), bias)
+        return Linear(weights, np.zeros(earlier.shape[1]), bias, fitted=False)
     name, n = np.cumsum(use) - 1, int(use.sum())
     keep = use[flat]
     cols, rows = name[flat[keep]], row[keep]
@@ -128,6 +131,11 @@ class Chain:
     names: list[str]
     models: list[Linear]
 
+    @property
+    def off(self) -> list[str]:
+        """Categories that are never predicted, for want of examples."""
+        return [name for name, model in zip(self.names, self.models, strict=True) if not model.fitted]
+
     def probabilities(self, sets: list[np.ndarray]) -> np.ndarray:
         """(texts, categories), each category seeing the earlier ones."""
         flat, row = flatten(sets)
@@ -185,6 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories=C
     are kept as a table; of it the driver gets the counts of features that some
     model may choose, and then, of each text, those only: at most FEATURES for
     each model, whatever the texts' lengths.
+
+    A category with fewer than LEAST_POSITIVE positive or negative texts is never
+    predicted; a warning says so, and the chain's `off` names it.
     """
     names, ys = [x[0] for x in categories], [f"y{k}" for k in range(len(categories))]
     found = docs.select("doc_id", "text").join(F.broadcast(sampled(docs, labels, categories, sample)), "doc_id").select("text", "weight", *ys)
@@ -230,6 +241,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories=C
     lists = pc.fill_null(got["places"].combine_chunks(), pa.scalar([], pa.list_(pa.int32()))) if got.num_rows else pa.array([], pa.list_(pa.int32()))
     row = np.repeat(np.arange(got.num_rows, dtype=np.int32), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
     chain = fit_chain(lists.flatten().to_numpy(), row, {name: got[y].to_numpy().astype(np.float64) for name, y in zip(names, ys, strict=True)}, got["weight"].to_numpy(), got["fold"].to_numpy(), use)
+    if chain.off:
+        warnings.warn(f"fewer than {LEAST_POSITIVE} examples, or all but that many, among {got.num_rows} labelled texts: {', '.join(chain.off)} will not be predicted", stacklevel=2)
     for model in chain.models:  # from places to buckets
         every = np.zeros(1 << FEATURE_BITS, np.float32)
         every[words] = model.weights
