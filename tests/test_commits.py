@@ -281,7 +281,7 @@ def test_reads_open_files_of_their_channels_only(spark, tmp_path):
     for c in (3, 4, 5):
         for f in (tmp_path / "m" / f"channel_id={c}").glob("*.parquet"):
             f.write_bytes(b"broken")
-    chosen = spark.createDataFrame([("a", "1", "35"), ("b", "7", "1990")], "entry_key string, channel_id string, cursor string")
+    chosen = spark.createDataFrame([("a", "1", "35", 35), ("b", "7", "1990", 1990), ("c", "o'\\dd", "0", 0)], "entry_key string, channel_id string, cursor string, cursor_num long")
     got = ranked_messages(chosen, read_messages(spark, f"{tmp_path}/m"), 100)
     assert sorted((r.entry_key, r.id_num) for r in got.collect()) == [*(("a", n) for n in range(36, 40)), *(("b", n) for n in range(1991, 2000))]
     plan = got._jdf.queryExecution().executedPlan().toString()

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursors import id_number, truthy
-from ..plans.cut import cut
 from .audit import active_queue, messages_after
 from .ledger import mark_queue
 from .select import select_worker
@@ -36,21 +35,19 @@ def _kept(df: DataFrame) -> DataFrame:
 
 
 def with_channels(candidates: DataFrame, entries: DataFrame, limits: Limits) -> DataFrame:
-    """rank, entry_key, cursor, channel_id, relative_path of the first `limits.entries` candidates, as a local table."""
+    """rank, entry_key, cursor, cursor_num, channel_id, relative_path of the first `limits.entries` candidates, as a local table."""
     first = candidates.select("rank", "entry_key", F.coalesce(truthy("cursor"), F.lit("0")).alias("cursor")).orderBy("rank").limit(limits.entries)
-    return _kept(first.join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key"))
+    return _kept(first.withColumn("cursor_num", id_number("cursor")).join(entries.select("entry_key", "channel_id", "relative_path"), "entry_key"))
 
 
 def of_channels(chosen: DataFrame, messages: DataFrame) -> DataFrame:
     """Messages of a few chosen channels after their cursors, by literals, which reach the scan; a table by channel (sources/messages.py) opens no other channel's files."""
-    rows = chosen.select("channel_id", id_number("cursor").alias("after")).where("channel_id is not null").collect()
+    rows = [r for r in chosen.select("channel_id", "cursor_num").collect() if r.channel_id is not None]
     if not rows:
         return messages.where(F.lit(False))
-    channel, number = F.col("channel_id"), F.col("id_num")
-    near = F.lit(False)
-    for r in rows:
-        near = near | ((channel == r.channel_id) & (number > r.after))
-    return messages.where(channel.isin(sorted({r.channel_id for r in rows})) & (number > min(r.after for r in rows)) & near)
+    name = lambda r: "'" + r.channel_id.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    near = " OR ".join(sorted({f"channel_id = {name(r)} AND id_num > {r.cursor_num}" for r in rows}))
+    return messages.where(f"channel_id IN ({', '.join(sorted({name(r) for r in rows}))}) AND id_num > {min(r.cursor_num for r in rows)} AND ({near})")
 
 
 def ranked_messages(chosen: DataFrame, messages: DataFrame, most: int) -> DataFrame:
@@ -66,8 +63,10 @@ def ranked_messages(chosen: DataFrame, messages: DataFrame, most: int) -> DataFr
 def plan_rows(chosen: DataFrame, rows: DataFrame, limits: Limits, errors: DataFrame | None = None) -> DataFrame:
     """The plan for chosen entries, from their first pages * page + 1 messages (entry_key, rn, id): a few rows."""
     size, pages, reads = F.lit(limits.page), F.lit(limits.pages), F.lit(limits.reads)
-    counts = rows.groupBy("entry_key").agg(F.max("rn").alias("n"))
-    c = chosen.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0))).drop("n")
+    # Of an entry's messages, the last one's id and those that end a page.
+    ends = F.collect_list(F.when(F.col("rn") % size == 0, F.struct("rn", "id"))).alias("ends")
+    counts = rows.groupBy("entry_key").agg(F.max("rn").alias("n"), F.max_by("id", "rn").alias("last"), ends)
+    c = chosen.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0)))
     c = c.withColumn("need", F.floor(F.col("behind") / size) + 1).withColumn("rest", F.col("behind") % size)
     if errors is not None:
         c = c.join(errors.select("entry_key", "ok_reads"), "entry_key", "left")
@@ -83,8 +82,8 @@ def plan_rows(chosen: DataFrame, rows: DataFrame, limits: Limits, errors: DataFr
     failed = F.col("fails") & (F.col("ok_reads") < F.col("left"))
     status = F.when(failed, "error").when(~F.col("fails") & (F.col("need") <= pages) & (F.col("cost") <= F.col("left")), "caught_up").otherwise("still_queued")
     c = c.withColumn("status", status)
-    reached = rows.select("entry_key", F.col("rn").alias("added"), F.col("id").alias("reached"))
-    return _kept(c.join(reached, ["entry_key", "added"], "left").select(
+    c = c.withColumn("reached", F.when(F.col("added") == F.col("n"), F.col("last")).otherwise(F.get(F.filter("ends", lambda x: x["rn"] == F.col("added")), F.lit(0))["id"]))
+    return _kept(c.select(
         "rank", "entry_key", "relative_path", "cursor", F.col("behind").cast("bigint").alias("behind"), F.col("batches").cast("bigint").alias("batches"), F.col("reads").cast("bigint").alias("reads"),
         F.col("added").cast("bigint").alias("added"), "status", F.coalesce("reached", "cursor").alias("new_cursor"),
     ))
@@ -101,7 +100,7 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
     it, counted to one more than a run can read of an entry; nothing depends on more.
     """
     chosen = with_channels(candidates, entries, limits)
-    rows = cut(ranked_messages(chosen, messages.select("channel_id", "id", "id_num"), limits.pages * limits.page + 1))
+    rows = ranked_messages(chosen, messages.select("channel_id", "id", "id_num"), limits.pages * limits.page + 1)
     return plan_rows(chosen, rows, limits, errors)
 
 
@@ -180,7 +179,7 @@ def daily_sync_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, l
     order = [F.coalesce(truthy("last_backup"), F.lit("0000-00-00")), F.col("entry_key")]
     checked = e.orderBy(*order).limit(limits.checked)
     checked = checked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most limits.checked rows
-    checked, most = _kept(checked.select("rank", "entry_key", "channel_id", "cursor")), limits.page * limits.pages
+    checked, most = _kept(checked.select("rank", "entry_key", "channel_id", "cursor", id_number("cursor").alias("cursor_num"))), limits.page * limits.pages
     rows = ranked_messages(checked, messages.select("channel_id", "id_num"), most + 1)
     counts = rows.groupBy("entry_key").agg(F.count("*").alias("n"))
     c = checked.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0)).cast("bigint"))
