@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names the shared folder in spark.checkpoint.dir; a folder of our own only where it is unset and all tasks run in this process (tests)."""
     context = spark.sparkContext
     if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
