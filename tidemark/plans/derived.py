@@ -17,7 +17,7 @@ _BASE = """base AS (SELECT user_id AS u, max(CASE WHEN CAST(ts AS DATE) < DATE '
 _ENTRIES = """entries AS (SELECT 'ch' || CAST(u AS STRING) AS entry_key,
     CASE WHEN u % 4 = 3 THEN 'thread' ELSE 'channel' END AS type,
     CASE WHEN u % 41 = 0 THEN NULL ELSE CAST(u - CASE WHEN u % 43 = 1 THEN 1 ELSE 0 END AS STRING) END AS channel_id,
-    CASE WHEN u % 23 = 0 THEN 'shared/path' WHEN u % 19 = 0 THEN 'hot/寫code/' || CAST(u AS STRING) ELSE 'archive/' || CAST(u AS STRING) END AS relative_path,
+    CASE WHEN u % 23 = 0 THEN 'shared/path' WHEN u % 19 = 0 THEN 'hot/lively/' || CAST(u AS STRING) ELSE 'archive/' || CAST(u AS STRING) END AS relative_path,
     CASE WHEN u % 13 = 0 THEN NULL WHEN u % 11 = 0 THEN '' ELSE CAST(cur AS STRING) END AS last_written_message_id,
     CASE WHEN u % 13 = 0 THEN NULL WHEN u % 17 = 0 THEN CAST(cur - 1 AS STRING) ELSE CAST(cur AS STRING) END AS last_message_id,
     CASE WHEN u % 6 = 1 THEN CAST(top AS STRING) END AS last_seen_message_id,

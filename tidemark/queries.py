@@ -13,6 +13,7 @@ from .functions.cursors import ACTIVE, id_number, newest_cursor
 from .operators import audit, catchup, digest, discover, ledger, migrate, select
 from .plans.cut import cut
 from .plans.derived import RUN_DATE, RUN_TIME, Ledger, with_ctes
+from .sources import documents
 from .sources.snapshots import retained
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -221,10 +222,22 @@ FOLDED = f"""keyed AS (SELECT q.ordinal, q.entry_key, e.channel_id, e.relative_p
 
 @query(f'{EQ}, {FOLDED} SELECT {", ".join(SHOWN)}, "group" FROM normal')
 def queue_normalize(x: Ledger) -> DataFrame:
-    """The hint, which depends on the fold's order, is tested against a model of the fold instead."""
+    """All but the hint, which depends on the fold's order and is in queue_hints."""
     return ledger.normalize_queue(x.queue, x.entries, RUN_TIME).select(*SHOWN, "group")
 
 
+_WINS = "(CASE WHEN x.n <> a.n THEN x.n > a.n WHEN x.done <> a.done THEN x.done ELSE x.p < a.p END)"
+_FOLD = f"""list_reduce(items, lambda a, x: {{'n': CASE WHEN {_WINS} THEN x.n ELSE a.n END, 'done': CASE WHEN {_WINS} THEN x.done ELSE a.done END, 'p': CASE WHEN {_WINS} THEN x.p ELSE a.p END,
+    'hint': coalesce(nullif(CASE WHEN {_WINS} THEN x.hint ELSE a.hint END, ''), CASE WHEN {_WINS} THEN a.hint ELSE x.hint END)}})"""
+
+
+@query(f"""{EQ}, {FOLDED}, lists AS (SELECT entry_key, list({{'n': {num('cursor_message_id')}, 'done': coalesce(status = 'caught_up', false), 'p': coalesce(nullif(priority, 0), 50), 'hint': target_hint_message_id}} ORDER BY ordinal) AS items FROM keyed GROUP BY 1)
+    SELECT entry_key, {_FOLD}.hint AS target_hint_message_id FROM lists""")
+def queue_hints(x: Ledger) -> DataFrame:
+    """Each folded item's target hint, which depends on the order of the fold."""
+    return ledger.normalize_queue(x.queue, x.entries, RUN_TIME).where("group = 1").select("entry_key", "target_hint_message_id")
+
+
 @query(f"{EQ} SELECT ordinal, entry_key, status FROM queue WHERE entry_key IS NOT NULL AND entry_key NOT IN (SELECT entry_key FROM entries)")
 def queue_orphans(x: Ledger) -> DataFrame:
     return ledger.queue_orphans(x.queue, x.entries).select("ordinal", "entry_key", "status")
@@ -499,6 +512,28 @@ def migrate_queue_order(x: Ledger) -> DataFrame:
     return run.ordered(out).select("entry_key", "priority", F.col("ordinal").alias("place"))
 
 
+@query(f"""{E}, h AS (SELECT consecutive_errors AS n, count(*) AS k FROM entries GROUP BY 1)
+    SELECT n, greatest(coalesce(CASE WHEN n > 0 THEN n END, 0), 3) AS version, 'state' AS schema, 'queue.json' AS queue_path, CASE WHEN n % 2 = 0 THEN 'own' ELSE 'last_written_message_id' END AS source_of_truth,
+        CASE WHEN n % 2 = 0 THEN NULL ELSE 'message read after cursor returns 0' END AS complete_when, k AS entries FROM h""")
+def migrate_headers(x: Ledger) -> DataFrame:
+    """Headers of older ledgers, one for each group of entries, at the current version; a policy that is there stays."""
+    n = F.col("n")
+    old = x.entries.groupBy(F.col("consecutive_errors").alias("n")).agg(F.count("*").alias("entries")).withColumns({
+        "version": F.when(n > 0, n), "schema": F.lit("old"), "queue_path": F.lit(None).cast("string"), "cursor_policy": F.when(n % 2 == 0, F.create_map(F.lit("source_of_truth"), F.lit("own"))),
+    })
+    new = migrate.migrate_header(old, "queue.json", "state")
+    policy = lambda k: F.try_element_at("cursor_policy", F.lit(k)).alias(k)
+    return new.select("n", "version", "schema", "queue_path", policy("source_of_truth"), policy("complete_when"), "entries")
+
+
+@query(f"""{E} SELECT entry_key, type, channel_id, relative_path, last_written_message_id, sync_status, sync_status IS NOT NULL AS has_sync_status, backlog_reason, hot, last_backup, consecutive_errors, backlog_attempts FROM entries""")
+def state_documents(x: Ledger) -> DataFrame:
+    """State documents, one for each entry, written as JSON and read into a table again."""
+    written = documents.state_json(x.entries).select(F.concat(F.lit('{"version": 3, "entries": '), F.to_json(F.create_map("entry_key", F.lit(0))), F.lit("}")).alias("frame"), "json")
+    docs = written.select(F.expr("replace(frame, ':0}', concat(':', json, '}'))").alias("value"))
+    return documents.state_rows(docs).select("entry_key", "type", "channel_id", "relative_path", "last_written_message_id", "sync_status", "has_sync_status", "backlog_reason", "hot", "last_backup", "consecutive_errors", "backlog_attempts")
+
+
 # ---- discovery and snapshots ----
 
 VALID = """valid AS (SELECT ordinal, CASE WHEN kind = 'thread' THEN parent || '/' || coalesce(name, channel_name) ELSE coalesce(name, channel_name) END AS entry_key, kind AS type, coalesce(id, other_id) AS channel_id, CASE WHEN kind = 'thread' THEN parent END AS parent_channel FROM inventory

@@ -94,7 +94,12 @@ def read_state(spark: SparkSession, path: str, recovered: list[dict[str, str]] |
 
     One that doesn't parse is recovered from its newest backup, which is noted in `recovered`.
     """
-    doc = whole_text(spark, path, recovered).select(F.from_json("value", "entries map<string,string>", {"mode": "FAILFAST"}).alias("d"))
+    return state_rows(whole_text(spark, path, recovered))
+
+
+def state_rows(documents: DataFrame) -> DataFrame:
+    """The entries of state documents (value)."""
+    doc = documents.select(F.from_json("value", "entries map<string,string>", {"mode": "FAILFAST"}).alias("d"))
     doc = doc.select(F.when(F.col("d.entries").isNull(), F.raise_error(F.lit("unsupported state: no entries"))).otherwise(F.col("d.entries")).alias("entries"))
     rows = doc.select(F.explode("entries").alias("entry_key", "json")).withColumn("f", F.from_json("json", "map<string,string>"))
     extra = F.map_filter("f", lambda k, _: ~k.isin(*ENTRY_FIELDS))
