@@ -518,6 +518,44 @@ def test_search_recalls_paraphrases(spark, monkeypatch):
     assert got <= every and len(every) >= 100 and len(got) >= 0.9 * len(every)
 
 
+def plain_words(text):
+    return [w for x in (text or "").split() if (w := "".join(c.lower() if c.isascii() else c for c in x).strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))]
+
+
+def plain_leak(words, item, answer):
+    """Whether some 96 words of a text (48 and 24 on either side, more for long items) have enough of an item in order: four fifths of it, or three fifths and as much of its answer."""
+    beside = max(0, len(item) - 48) + 24
+    for start in range(max(1, len(words) - 5)):
+        near = [w for w in words[max(0, start - beside) : start + 48 + beside] if w in set(item)]
+        if sum((Counter(near) & Counter(item)).values()) < 0.6 * len(item):
+            continue
+        share = brute_lcs(item, near) / len(item)
+        if share >= 0.8 or share >= 0.6 and (not answer or brute_lcs(answer, near) / len(answer) >= 0.6):
+            return True
+    return False
+
+
+def test_leaks_like_plain_brute_force(spark):
+    """Nothing of the operator is used: every text against every item, at every place."""
+    rng = random.Random(41)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet").orderBy("item_id").limit(20).collect()]
+    vocabulary = [w for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("text").limit(60).collect() for w in (r.text or "").split()]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 90))), "s") for k in range(40)]
+    for k in range(80):
+        words = rng.choice(items)[1].split()
+        kept = [w if rng.random() > 0.1 + 0.5 * (k % 20) / 20 else rng.choice(vocabulary) for w in words][: len(words) if k % 3 else max(4, len(words) * 2 // 3)]
+        rows.append((100 + k, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randint(0, 70))), *kept, *(rng.choice(vocabulary) for _ in range(rng.randint(0, 70)))]), "s"))
+    want = set()
+    for item, text in items:
+        tail = re.split(r"\?|answer:", text, flags=re.I)
+        answer = tail[-1] if len(tail) > 1 and tail[-1].strip() else ([x for x in re.split(r"(?<=[.!?])\s+", text.strip()) if x.strip()] or [""])[-1]
+        own, said = plain_words(text), plain_words(answer)
+        want |= {(i, item) for i, t, _ in rows if plain_leak(plain_words(t), own, said)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(want) >= 30 and len(got) >= 0.9 * len(want)
+    assert not {i for i, _ in got} & set(range(40))
+
+
 def test_leaks_of_the_tables(spark):
     d = f"{DATA}/sf0.01"
     found = {(r.doc_id, r.item_id) for r in queries.op9_decontamination(spark, d).collect()}
