@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, stored
+from .common import cut, discard, map_arrow, scratch_path, stored
 from .components import components
 from .cover_tree import RADII, SLACK, Traversal, Tree, arrange, covering
 from .vectors import as_floats, by_length, matrix_of, units
@@ -213,26 +213,30 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     keyed = map_arrow(rows, lambda x: _keys(x, False), "id long, key binary")
     vectors = map_arrow(rows, lambda x: _keys(x, True), f"id long, key binary, vec {kind}")
     distinct = vectors.groupBy("key").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    distinct = stored(distinct.withColumn("node_id", F.monotonically_increasing_id()))
+    paths = [scratch_path(spark) for _ in range(4)]
+    distinct = stored(distinct.withColumn("node_id", F.monotonically_increasing_id()), paths[0])
     upper = {n: fit_upper(x) for n, x in sample_of(distinct).items()}
-    where = stored(placed(distinct, upper))
+    where = stored(placed(distinct, upper), paths[1])
     nodes = where.groupBy("length", "node").agg(F.count("*").alias("rows"), F.max("angle").alias("angle")).orderBy("length", "node").collect()  # at most those of the upper levels, and a root for each length
     first, near = block_pairs(nodes, upper, least, {x.length: max(2, min(BLOCK, BLOCK_CELLS // x.length)) for x in nodes})
     of_node = spark.createDataFrame([(*k, *v) for k, v in first.items()], "length int, node int, first int, n int")
     block = F.col("first") + F.pmod(F.xxhash64("node_id"), F.col("n")).cast("int")
     dealt = where.join(F.broadcast(of_node), ["length", "node"]).select(block.alias("block"), "node_id", "copies", "vec")
-    blocks = stored(in_blocks(dealt, least))
+    blocks = stored(in_blocks(dealt, least), paths[2])
+    discard(spark, paths[1])
 
     ranges = spark.createDataFrame(near, "first_a int, n_a int, first_b int, n_b int")
     pairs = ranges.select(F.explode(F.sequence("first_a", F.col("first_a") + F.col("n_a") - 1)).alias("block_a"), "first_a", "first_b", "n_b")
     pairs = pairs.select("block_a", "first_a", "first_b", F.explode(F.sequence("first_b", F.col("first_b") + F.col("n_b") - 1)).alias("block_b")).where("first_a <> first_b or block_a < block_b").select("block_a", "block_b")
-    more = stored(across(blocks, pairs, least))
+    more = stored(across(blocks, pairs, least), paths[3])
 
     sets = components(more.where("other is not null").select(F.col("node_id").alias("a"), F.col("other").alias("b")))
     links = blocks.select("node_id", F.col("linked").alias("links")).unionByName(more.where("other is null").select("node_id", "links")).groupBy("node_id").agg(F.sum("links").alias("links"))
     known = blocks.select("node_id", "own").join(links, "node_id").join(distinct.select("node_id", "key", "least_id"), "node_id")
     known = known.join(sets.withColumnRenamed("node", "own"), "own", "left").select("key", "least_id", "links", F.coalesce("component", "own").alias("set"))
     known = cut(known)
+    for path in (paths[0], *paths[2:]):
+        discard(spark, path)
     smallest = known.groupBy("set").agg(F.min("least_id").alias("component_id"))
     of_key = known.join(smallest, "set").select("key", "links", "component_id")
     found = keyed.where("key is not null").join(of_key, "key").select("id", F.col("links") - 1, "component_id")
