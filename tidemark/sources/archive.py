@@ -1,7 +1,7 @@
 """Archives of messages by path and day, which grow batch by batch and lose and repeat nothing.
 
-A batch has a folder of its own under an id that its writer makes: a random one
-for a run, the stream's id and the batch's number for a stream.  It counts once
+A batch has a folder of its own under an id that its writer makes anew for each
+try: a random one, which for a stream begins with its id and the batch's number.  It counts once
 the list of committed batches, one file each, has it, and readers see those only;
 so an unfinished batch is never read, and a committed one never overwritten.
 
@@ -13,10 +13,10 @@ neither, and settle() tidies up after it.
 
 from __future__ import annotations
 
-import contextlib
 import json
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +58,10 @@ class Archive:
     def has(self, batch: str) -> bool:
         return self.files.exists(f"commits/{batch}")
 
+    def has_any(self, prefix: str) -> bool:
+        """Whether a batch whose id begins so is committed."""
+        return any(x.startswith(prefix) for x in self.files.names("commits"))
+
     def write(self, messages: DataFrame, batch: str, run_label: str) -> None:
         """Writes raw and then summary of a batch that isn't committed; files of a path and day hold the messages in id order."""
         if self.has(batch):
@@ -68,8 +72,8 @@ class Archive:
         summary_blocks(messages.dropDuplicates(IDENTITY), run_label).write.mode("overwrite").partitionBy("relative_path", "day").parquet(f"{self.root}/summary/batch={batch}")
 
     def announce(self, batch: str, ledger: Snapshots, commit: int) -> None:
-        """Says, before that commit of the ledger, that the batch counts if it comes about."""
-        self.files.put(f"pending/{batch}", json.dumps({"ledger": ledger.root, "commit": commit}))
+        """Says, before that commit of the ledger, that the batch counts if it comes about.  Each try has a batch of its own, so that another process can drop one that failed."""
+        self.files.put_new(f"pending/{batch}", json.dumps({"ledger": ledger.root, "commit": commit}))
 
     def confirm(self, batch: str) -> None:
         self.files.put_new(f"commits/{batch}", "")
@@ -84,11 +88,15 @@ class Archive:
         """Pending batches whose commit number is taken: by them or by another."""
         out = {}
         for batch in self.files.names("pending"):
-            with contextlib.suppress(Exception):  # another process may be confirming it
+            try:
                 said = json.loads(self.files.read(f"pending/{batch}"))
-                ledger = Snapshots(self.spark, said["ledger"])
-                if ledger.files.exists(f"_log/{said['commit']:012d}"):
-                    out[batch] = ledger.entry(said["commit"])["batch"] == batch
+            except Py4JJavaError as e:
+                if "FileNotFound" in str(e.java_exception):  # another process has settled it meanwhile
+                    continue
+                raise
+            ledger = Snapshots(self.spark, said["ledger"])
+            if ledger.files.exists(f"_log/{said['commit']:012d}"):
+                out[batch] = ledger.entry(said["commit"])["batch"] == batch
         return out
 
     def settle(self) -> None:

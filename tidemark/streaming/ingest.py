@@ -132,9 +132,9 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Sna
     The batch's rows are put down once, under the archive, and everything is made
     from there; so the state is read and moved once.
     """
-    to, name = Archive(spark, archive), f"{stream}-{number}"
+    to, name = Archive(spark, archive), f"{stream}-{number}."
     to.settle()
-    if to.has(name):
+    if to.has_any(name):
         batch.write.format("noop").mode("overwrite").save()  # the state moves on all the same
         return
     staged = f"{archive}/staging/{name}"
@@ -153,9 +153,9 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Sna
             new = new.where("not passed").unionByName(unwritten(to, new.where("passed")))
         moved, key = entries, None
         if not new.isEmpty():
-            key = name
-            to.write(new.drop("passed"), name, run_label)
-            to.announce(name, ledger, ledger.at + 1)
+            key = f"{name}{uuid.uuid4().hex}"
+            to.write(new.drop("passed"), key, run_label)
+            to.announce(key, ledger, ledger.at + 1)
             moved = advance(moved, new.select("entry_key", "id", "id_num"))
         if run_date and not said.isEmpty():
             moved = told(moved, said, run_date)
@@ -164,7 +164,8 @@ def ingest_batch(spark: SparkSession, batch: DataFrame, number: int, ledger: Sna
         try:
             ledger.patch(moved, expected=ledger.at, batch=key)
         except Moved:
-            to.drop(name)
+            if key:
+                to.drop(key)
             continue
         if key:
             to.confirm(name)
@@ -179,7 +180,8 @@ def start_from(spark: SparkSession, stream: DataFrame, ledger: Snapshots, archiv
 
     run_date: entries of which the source says that a read gave nothing (live.py)
     are caught up on that day, and those whose read failed in error.  Cursors are
-    kept in RocksDB, with the checkpoint.
+    kept in RocksDB, with the checkpoint.  Entries that the ledger gets after the
+    stream has begun are read from its next start on.
     """
     places, name = places_at_start(spark, ledger, checkpoint), stream_id(spark, checkpoint)
     before = spark.conf.get(PROVIDER)
