@@ -372,16 +372,6 @@ def test_components_like_brute_force(spark, seed, n, percent, side, monkeypatch)
     assert sorted(map(tuple, got)) == brute_components(rows, n, percent)
 
 
-def test_parity_sketches_differ_in_no_more_bits_than_sets():
-    rng = np.random.default_rng(3)
-    for _ in range(300):
-        common, a, b = (rng.integers(0, 2**64 - 1, rng.integers(0, 300), dtype=np.uint64, endpoint=True) for _ in range(3))
-        x, y = np.unique(np.concatenate([common, a])), np.unique(np.concatenate([common, b]))
-        p, q = ngram_join.parities(x), ngram_join.parities(y)
-        bits = sum(int(v).bit_count() for v in (p ^ q).view(np.uint64))
-        assert len(p) == ngram_join.PARITY and bits <= len(np.setxor1d(x, y)) and (bits > 50 or len(a) + len(b) < 150)
-
-
 def test_order_of_few_buckets_is_as_right(spark):
     """No shingle is known to be rare, so that lists are long; and a passage that all share."""
     rng, rows = random.Random(31), []
