@@ -226,6 +226,15 @@ def test_read_errors(spark):
     assert catchup.queue_after(queue_of(spark, item(0, "a")), plan, NOW).first().status == "retry"
 
 
+def test_plan_counts_all_behind(spark):
+    entries = entries_of(spark, entry("a", "2"), entry("b", "15"), entry("c", "30"), entry("d", None, channel_id=None))
+    messages = spark.createDataFrame([("1", str(n), n, None, None, None, None) for n in [*range(1, 31), *range(10, 25), 4]], MESSAGES)
+    candidates = spark.createDataFrame([(1, "a", "2"), (2, "b", "15"), (3, "c", "30"), (4, "d", None)], "rank int, entry_key string, cursor string")
+    plan = catchup.plan_candidates(candidates, entries, messages, catchup.Limits(4, 12, 2, 3))
+    assert [(r.entry_key, r.behind, r.added, r.new_cursor) for r in plan.orderBy("rank").collect()] == [("a", 28, 6, "8"), ("b", 15, 6, "21"), ("c", 0, 0, "30"), ("d", 0, 0, "0")]
+    assert "count" not in plan.select("entry_key", "added", "new_cursor")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_tables(spark):
     e, q, m = entries_of(spark), queue_of(spark), spark.createDataFrame([], MESSAGES)
     assert chosen(spark, e, q, 4) == []

@@ -3,7 +3,8 @@
 import pytest
 from conftest import DATA, against_oracle
 
-from tidemark.queries import ORACLES, QUERIES
+from tidemark.plans.derived import Ledger
+from tidemark.queries import LIMITS, ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -15,6 +16,19 @@ def test_query(spark, name):
         assert df.count() > 0
 
 
+def all_behind(spark, cursors: dict[str, str]) -> dict[str, int]:
+    """Messages after given cursors of entries, counted one by one."""
+    x = Ledger(spark, f"{DATA}/sf0.001")
+    channels, messages = {r.entry_key: r.channel_id for r in x.entries.collect()}, [(r.channel_id, r.id_num) for r in x.messages.select("channel_id", "id_num").collect()]
+    return {k: sum(c == channels[k] and n > int(cursor) for c, n in messages) for k, cursor in cursors.items()}
+
+
+def test_catchup_plan_counts_all_behind(spark):
+    rows = QUERIES["catchup_plan"](spark, f"{DATA}/sf0.001").collect()
+    assert {r.entry_key: r.behind for r in rows} == all_behind(spark, {r.entry_key: r.cursor for r in rows})
+    assert max(r.behind for r in rows) > LIMITS.pages * LIMITS.page + 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -50,18 +50,30 @@ def of_channels(chosen: DataFrame, messages: DataFrame) -> DataFrame:
     return messages.where(f"channel_id IN ({', '.join(sorted({name(r) for r in rows}))}) AND id_num > {min(r.cursor_num for r in rows)} AND ({near})")
 
 
+def after_cursors(chosen: DataFrame, messages: DataFrame) -> DataFrame:
+    """Each chosen entry's messages after its cursor, with entry_key."""
+    return messages_after(F.broadcast(chosen.select("entry_key", "channel_id", "cursor")), of_channels(chosen, messages)).drop("cursor")
+
+
+def messages_behind(chosen: DataFrame, messages: DataFrame) -> DataFrame:
+    """entry_key, behind: how many messages each chosen entry has after its cursor, all of them, each once however often the source repeats it; an entry without any gives no row.
+
+    Ids are dealt out by entry and id, so a channel with very many messages is counted by all tasks.
+    """
+    return after_cursors(chosen, messages.select("channel_id", "id_num")).groupBy("entry_key").agg(F.count_distinct("id_num").alias("behind"))
+
+
 def ranked_messages(chosen: DataFrame, messages: DataFrame, most: int) -> DataFrame:
     """The first `most` messages of each chosen entry after its cursor, numbered by id (rn), each once, however often the source repeats it.
 
     The constant bound limits the ranking in each task, so a channel with very many messages is no burden.
     """
-    after = messages_after(F.broadcast(chosen.select("entry_key", "channel_id", "cursor")), of_channels(chosen, messages)).drop("cursor")
     by = Window.partitionBy("entry_key").orderBy("id_num")
-    return after.withColumn("rn", F.dense_rank().over(by)).where(F.col("rn") <= most).dropDuplicates(["entry_key", "rn"])
+    return after_cursors(chosen, messages).withColumn("rn", F.dense_rank().over(by)).where(F.col("rn") <= most).dropDuplicates(["entry_key", "rn"])
 
 
 def plan_rows(chosen: DataFrame, rows: DataFrame, limits: Limits, errors: DataFrame | None = None) -> DataFrame:
-    """The plan for chosen entries, from their first pages * page + 1 messages (entry_key, rn, id): a few rows."""
+    """The plan for chosen entries, from their first pages * page + 1 messages (entry_key, rn, id): a few rows; behind is counted in those messages only."""
     size, pages, reads = F.lit(limits.page), F.lit(limits.pages), F.lit(limits.reads)
     # Of an entry's messages, the last one's id and those that end a page.
     ends = F.collect_list(F.when(F.col("rn") % size == 0, F.struct("rn", "id"))).alias("ends")
@@ -96,12 +108,15 @@ def plan_candidates(candidates: DataFrame, entries: DataFrame, messages: DataFra
     Entries that the budget doesn't reach give no row.  errors: entry_key,
     ok_reads; after so many reads, the probe after a short page included, the
     next one fails.  The pages read until then count, the failed read doesn't.
-    behind: messages after the cursor, each once however often the source repeats
-    it, counted to one more than a run can read of an entry; nothing depends on more.
+    behind: all messages after the cursor, each once however often the source
+    repeats it.  Nothing else in the plan depends on more than one message over what
+    a run can read of an entry, so they are counted where behind is asked for only.
     """
     chosen = with_channels(candidates, entries, limits)
     rows = ranked_messages(chosen, messages.select("channel_id", "id", "id_num"), limits.pages * limits.page + 1)
-    return plan_rows(chosen, rows, limits, errors)
+    plan = plan_rows(chosen, rows, limits, errors)
+    counted = plan.drop("behind").join(F.broadcast(messages_behind(chosen, messages)), "entry_key", "left")
+    return counted.withColumn("behind", F.coalesce("behind", F.lit(0).cast("bigint"))).select(plan.columns)
 
 
 def catchup_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, run_date: str, limits: Limits = Limits()) -> DataFrame:

@@ -336,10 +336,13 @@ def select_preview(x: Ledger) -> DataFrame:
 # ---- catch-up ----
 
 
-def planned(x: catchup.Limits) -> str:
+def planned(x: catchup.Limits, whole: bool = False) -> str:
+    """whole: behind counts all messages, for queries that return it; else as many as the plan depends on."""
+    n = "(SELECT count(*) FROM after a WHERE a.entry_key = c.entry_key)"
+    behind = n if whole else f"least({n}, {x.pages * x.page + 1})"
     return f"""{picked(x.entries)}, chosen AS (SELECT p.rank, p.entry_key, e.relative_path, e.channel_id, coalesce(nullif(p.cursor, ''), '0') AS cursor FROM picked p JOIN e USING (entry_key)),
     after AS (SELECT c.entry_key, m.*, row_number() OVER (PARTITION BY c.entry_key ORDER BY m.id_num) AS rn FROM chosen c JOIN messages m ON m.channel_id = c.channel_id AND m.id_num > {num('c.cursor')}),
-    sized AS (SELECT c.*, least((SELECT count(*) FROM after a WHERE a.entry_key = c.entry_key), {x.pages * x.page + 1}) AS behind FROM chosen c),
+    sized AS (SELECT c.*, {behind} AS behind FROM chosen c),
     needs AS (SELECT *, behind // {x.page} + 1 AS need, behind % {x.page} AS rest FROM sized),
     wants AS (SELECT n.*, ok_reads, least(need, {x.pages}) + CASE WHEN rest > 0 AND need <= {x.pages} THEN 1 ELSE 0 END AS wanted FROM needs n LEFT JOIN errors USING (entry_key)),
     costs AS (SELECT *, coalesce(ok_reads < wanted, false) AS fails, CASE WHEN coalesce(ok_reads < wanted, false) THEN ok_reads ELSE wanted END AS cost FROM wants),
@@ -351,6 +354,7 @@ def planned(x: catchup.Limits) -> str:
 
 
 CATCHUP = f"{EQM}, {FOLDED}, {TIERS}, {NO_ERRORS}, {planned(LIMITS)}"
+CATCHUP_WHOLE = f"{EQM}, {FOLDED}, {TIERS}, {NO_ERRORS}, {planned(LIMITS, whole=True)}"
 CATCHUP_ERRORS = CATCHUP.replace(NO_ERRORS, ERRORS)
 
 
@@ -358,7 +362,7 @@ def _plan(x: Ledger) -> DataFrame:
     return catchup.catchup_plan(x.entries, _normal(x), x.messages, RUN_DATE, LIMITS)
 
 
-@query(f"{CATCHUP} SELECT * FROM plan")
+@query(f"{CATCHUP_WHOLE} SELECT * FROM plan")
 def catchup_plan(x: Ledger) -> DataFrame:
     return _plan(x)
 
