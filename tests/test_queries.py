@@ -29,6 +29,13 @@ def test_catchup_plan_counts_all_behind(spark):
     assert max(r.behind for r in rows) > LIMITS.pages * LIMITS.page + 1
 
 
+def test_catchup_repeats_counts_all_behind_once(spark):
+    got = {(r.entry_key, r.behind) for r in QUERIES["catchup_repeats"](spark, f"{DATA}/sf0.001").collect()}
+    plan = QUERIES["catchup_plan"](spark, f"{DATA}/sf0.001").where("added > 0").collect()
+    assert got == set(all_behind(spark, {r.entry_key: r.cursor for r in plan}).items())
+    assert max(n for _, n in got) > LIMITS.pages * LIMITS.page + 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

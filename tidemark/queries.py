@@ -372,7 +372,7 @@ def catchup_messages(x: Ledger) -> DataFrame:
     return catchup.catchup_messages(_plan(x), x.entries, x.messages, LIMITS).select("entry_key", "relative_path", "id", "batch", "rn")
 
 
-@query(f"{CATCHUP} SELECT a.entry_key, p.relative_path, a.id, CAST(ceil(a.rn / {LIMITS.page}) AS BIGINT) AS batch, CAST(a.rn AS INT) AS rn, p.added, p.behind, p.new_cursor FROM after a JOIN plan p USING (entry_key) WHERE a.rn <= p.added")
+@query(f"{CATCHUP_WHOLE} SELECT a.entry_key, p.relative_path, a.id, CAST(ceil(a.rn / {LIMITS.page}) AS BIGINT) AS batch, CAST(a.rn AS INT) AS rn, p.added, p.behind, p.new_cursor FROM after a JOIN plan p USING (entry_key) WHERE a.rn <= p.added")
 def catchup_repeats(x: Ledger) -> DataFrame:
     """From a source that repeats messages: plan and rows are those without the repetitions."""
     messages = x.messages.unionByName(x.messages.where("id_num % 3 = 0")).unionByName(x.messages.where("id_num % 5 < 2"))
