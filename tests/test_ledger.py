@@ -235,6 +235,13 @@ def test_plan_counts_all_behind(spark):
     assert "count" not in plan.select("entry_key", "added", "new_cursor")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_daily_counts_all_behind(spark):
+    entries = entries_of(spark, entry("a", "2"), entry("b", "28", last_backup="2026-05-18"), entry("c", "30", last_backup="2026-05-19"), entry("d", "5", channel_id=None, last_backup="2026-05-20"))
+    messages = spark.createDataFrame([("1", str(n), n, None, None, None, None) for n in [*range(1, 31), *range(10, 25)]], MESSAGES)
+    plan = catchup.daily_sync_plan(entries, queue_of(spark), messages, catchup.DailyLimits(page=3))
+    assert [(r.entry_key, r.behind, r.added, r.status) for r in plan.orderBy("rank").collect()] == [("a", 28, 6, "partial"), ("b", 2, 2, "healthy"), ("c", 0, 0, "healthy"), ("d", 0, 0, "healthy")]
+
+
 def test_empty_tables(spark):
     e, q, m = entries_of(spark), queue_of(spark), spark.createDataFrame([], MESSAGES)
     assert chosen(spark, e, q, 4) == []

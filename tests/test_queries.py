@@ -4,7 +4,7 @@ import pytest
 from conftest import DATA, against_oracle
 
 from tidemark.plans.derived import Ledger
-from tidemark.queries import LIMITS, ORACLES, QUERIES
+from tidemark.queries import DAILY, LIMITS, ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -36,6 +36,12 @@ def test_catchup_repeats_counts_all_behind_once(spark):
     assert max(n for _, n in got) > LIMITS.pages * LIMITS.page + 1
 
 
+def test_daily_sync_plan_counts_all_behind(spark):
+    rows = QUERIES["daily_sync_plan"](spark, f"{DATA}/sf0.001").collect()
+    assert {r.entry_key: r.behind for r in rows} == all_behind(spark, {r.entry_key: r.cursor for r in rows})
+    assert max(r.behind for r in rows) > DAILY.pages * DAILY.page + 1
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -185,8 +185,8 @@ def daily_sync_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, l
 
     A second page is read only after a full first one.  An entry whose pages are
     all full is marked partial and queued; so is one that the message cap cuts
-    short.  Entries beyond the caps give no row.  behind is counted to one more
-    than a pass can read of an entry, and repeated messages once.
+    short.  Entries beyond the caps give no row.  behind counts all messages after
+    the cursor, repeated ones once.
     """
     healthy = F.when(F.col("has_sync_status"), F.coalesce(F.col("sync_status") == "healthy", F.lit(False))).otherwise(True)
     e = entries.where(healthy & truthy("backlog_reason").isNull()).withColumn("cursor", F.coalesce(truthy("last_written_message_id"), truthy("last_message_id"))).where("cursor is not null")
@@ -195,9 +195,7 @@ def daily_sync_plan(entries: DataFrame, queue: DataFrame, messages: DataFrame, l
     checked = e.orderBy(*order).limit(limits.checked)
     checked = checked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # over at most limits.checked rows
     checked, most = _kept(checked.select("rank", "entry_key", "channel_id", "cursor", id_number("cursor").alias("cursor_num"))), limits.page * limits.pages
-    rows = ranked_messages(checked, messages.select("channel_id", "id_num"), most + 1)
-    counts = rows.groupBy("entry_key").agg(F.count("*").alias("n"))
-    c = checked.join(counts, "entry_key", "left").withColumn("behind", F.coalesce("n", F.lit(0)).cast("bigint"))
+    c = checked.join(F.broadcast(messages_behind(checked, messages)), "entry_key", "left").withColumn("behind", F.coalesce("behind", F.lit(0).cast("bigint")))
     c = c.withColumn("want", F.least("behind", F.lit(most)))
     before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("used", F.coalesce(F.sum("want").over(before), F.lit(0))).withColumn("wrote", F.coalesce(F.sum(F.when(F.col("want") > 0, 1).otherwise(0)).over(before), F.lit(0)))
